@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import token_store
+from factgraph.llm import mixture, quality, token_store
 from factgraph.llm.tables import table
 
 
@@ -15,5 +15,16 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(token_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2))
 
 
-QUERIES = {"op4_token_store": op4_token_store}
+def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    return mixture.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counters and the calibrated verdict for every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.assess(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op4_token_store": op4_token_store, "op6_mixture": op6_mixture, "op9_quality": op9_quality}
 ORACLES: dict[str, str] = {}
