@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import mixture, quality, token_store
+from factgraph.llm import licenses, mixture, quality, secrets_scan, token_store, toxicity
 from factgraph.llm.tables import table
 
 
@@ -26,5 +26,29 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op4_token_store": op4_token_store, "op6_mixture": op6_mixture, "op9_quality": op9_quality}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain's chances and the verdict for every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.assess(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confirmed license notices of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base findings and those that the network adds, for every document."""
+    found = secrets_scan.candidates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return secrets_scan.report(found, secrets_scan.train(found)).drop("n_added")
+
+
+QUERIES = {
+    "op4_token_store": op4_token_store,
+    "op6_mixture": op6_mixture,
+    "op7_toxicity": op7_toxicity,
+    "op8_licenses": op8_licenses,
+    "op9_quality": op9_quality,
+    "op10_secrets": op10_secrets,
+}
 ORACLES: dict[str, str] = {}
