@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import licenses, mixture, quality, secrets_scan, token_store, toxicity
+from factgraph.llm import jaccard_join, licenses, mixture, quality, secrets_scan, token_store, toxicity
 from factgraph.llm.tables import table
 
 
@@ -15,6 +15,11 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(token_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, set size and number of links of every document."""
+    return jaccard_join.join(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     return mixture.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
@@ -45,6 +50,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_token_store": op4_token_store,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_mixture": op6_mixture,
     "op7_toxicity": op7_toxicity,
     "op8_licenses": op8_licenses,
