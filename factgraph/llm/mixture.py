@@ -73,7 +73,10 @@ def apportion(votes: np.ndarray, seats: int) -> np.ndarray:
 
 
 def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken for every document."""
+    """doc_id, source, size, source_size, target, taken and pieces for every document.
+
+    ``pieces`` are the runs of words (first, words) that the last, partial pass takes; whole passes are taken // size.
+    """
     sized = saved(sizes(docs), "sizes")
     count = sized.count()
     shards = max(1, -(-count // SHARD_DOCS))
@@ -104,6 +107,7 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS) -> Da
             passes, rest = MAX_EPOCHS, 0
         shard = rows.column("shard")[0].as_py()
         taken = size[order] * passes
+        pieces: list[list[dict]] = [[] for _ in order]
         if rest:
             rank = seeded(np.arange(blocks), seed + 1 + shard)
             chosen = np.zeros(blocks, np.int64)
@@ -116,11 +120,30 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS) -> Da
                 b = np.minimum(at // block_words, blocks - 1)
                 return until[b] + (at - b * block_words) * chosen[b]
 
-            taken = taken + before(ends) - before(ends - size[order])
-        return pa.table({"key": rows.column("key"), "source": rows.column("source"), "doc_id": rows.column("doc_id").take(order), "size": pa.array(size[order]), "taken": pa.array(taken)})
-
-    picked = rows.groupBy("shard", "key").applyInArrow(select, "key string, source string, doc_id long, size long, taken long")
-    return picked.join(goal, "key").select("doc_id", "source", "size", "source_size", "target", "taken")
+            begins = ends - size[order]
+            part = before(ends) - before(begins)
+            taken = taken + part
+            for i in np.flatnonzero((part > 0) & (part < size[order])):
+                at, until = begins[i], ends[i]
+                own = np.flatnonzero(chosen[at // block_words : -(-until // block_words)]) + at // block_words
+                pieces[i] = [{"first": int(max(at, b * block_words) - at), "words": int(min(until, (b + 1) * block_words) - max(at, b * block_words))} for b in own]
+        return pa.table({"key": rows.column("key"), "source": rows.column("source"), "doc_id": rows.column("doc_id").take(order), "size": pa.array(size[order]), "taken": pa.array(taken), "pieces": pa.array(pieces, pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())])))})
+
+    picked = rows.groupBy("shard", "key").applyInArrow(select, "key string, source string, doc_id long, size long, taken long, pieces array<struct<first: long, words: long>>")
+    return picked.join(goal, "key").select("doc_id", "source", "size", "source_size", "target", "taken", "pieces")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each whole pass over a document, and one for the words of a partial pass."""
+    plan = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), "pieces", F.expr("taken div size").cast("int").alias("_passes"))
+    words = F.filter(F.split(text_or_empty(), "[ \\x09-\\x0D]+"), lambda w: w != "")
+    part = F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice(words, (p["first"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    texts = F.concat(F.array_repeat("text", F.col("_passes")), F.when(F.size("pieces") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
+    rows = docs.join(plan, (F.col("doc_id") == F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source"))).withColumn("_texts", texts)
+    if "n_chars" in docs.columns:
+        rows = rows.drop("n_chars")
+    rows = rows.drop("text").withColumn("text", F.explode("_texts"))
+    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else rows.select(*docs.columns)
 
 
 def seeded(values: np.ndarray, seed: int) -> np.ndarray:

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import jaccard_join, licenses, mixture, quality, secrets_scan, token_store, toxicity
+from factgraph.llm import decontaminate, jaccard_join, licenses, mixture, quality, secrets_scan, token_store, toxicity
 from factgraph.llm.tables import table
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best window of each contaminated document and benchmark item."""
+    return decontaminate.find(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as patched frame-of-reference shards and read back."""
     import public_tokenizers
@@ -22,7 +27,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
-    return mixture.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    return mixture.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text")).drop("pieces")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +54,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_decontaminate": op3_decontaminate,
     "op4_token_store": op4_token_store,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_mixture": op6_mixture,

@@ -37,5 +37,15 @@ def saved(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table of ids may be broadcast; beyond it, joins shuffle.
+BROADCAST_IDS = 500_000
+
+
+def bounded(ids: DataFrame) -> DataFrame:
+    """Write a narrow table; mark it for broadcast if it is small enough."""
+    held = saved(ids, "ids")
+    return F.broadcast(held) if held.count() <= BROADCAST_IDS else held
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
