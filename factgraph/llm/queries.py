@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import decontaminate, jaccard_join, licenses, mixture, quality, secrets_scan, token_store, toxicity
+from factgraph.llm import decontaminate, jaccard_join, licenses, mixture, passages, quality, secrets_scan, token_store, toxicity
 from factgraph.llm.tables import table
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that each document shares with an earlier one."""
+    return passages.passages(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best window of each contaminated document and benchmark item."""
     return decontaminate.find(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -54,6 +59,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_passages": op2_passages,
     "op3_decontaminate": op3_decontaminate,
     "op4_token_store": op4_token_store,
     "op5_jaccard_join": op5_jaccard_join,
