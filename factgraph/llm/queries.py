@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import decontaminate, jaccard_join, licenses, mixture, passages, quality, secrets_scan, token_store, toxicity
+from factgraph.llm import decontaminate, jaccard_join, licenses, mixture, passages, pitman_yor, quality, secrets_scan, token_store, toxicity
 from factgraph.llm.tables import table
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every document."""
+    return pitman_yor.score(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that each document shares with an earlier one."""
     return passages.passages(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -59,6 +64,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pitman_yor": op1_pitman_yor,
     "op2_passages": op2_passages,
     "op3_decontaminate": op3_decontaminate,
     "op4_token_store": op4_token_store,
