@@ -33,14 +33,25 @@ def fit(indptr: np.ndarray, index: np.ndarray, value: np.ndarray, y: np.ndarray,
 
 
 def platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """a, b so that sigmoid(a * score + b) is the chance of y, by Newton's method with smoothed targets."""
+    """a, b so that sigmoid(a * score + b) is the chance of y, by Newton's method with halved steps and smoothed targets."""
     n1 = y.sum()
     target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (len(y) - n1 + 2))
     scale = max(float(np.abs(score).max(initial=0)), 1e-9)
     x, theta = np.column_stack((score / scale, np.ones(len(score)))), np.array([1.0, 0.0])
-    for _ in range(60):
+
+    def loss(t: np.ndarray) -> float:
+        z = x @ t
+        return float((np.logaddexp(0, z) - target * z).sum() + 5e-5 * (t @ t))
+
+    now = loss(theta)
+    for _ in range(100):
         p = sigmoid(x @ theta)
         hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2)
         step = np.linalg.solve(hess, x.T @ (p - target) + 1e-4 * theta)
-        theta -= step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
+        size = 1.0
+        while size > 1e-9 and (new := loss(theta - size * step)) > now:
+            size /= 2
+        if size <= 1e-9 or now - new < 1e-10 * (1 + abs(now)):
+            break
+        theta, now = theta - size * step, new
     return float(theta[0] / scale), float(theta[1])

@@ -39,7 +39,7 @@ def test_exact_and_near_items_are_found_and_clean_ones_left(spark, texts):
     docs = dict(texts)
     for i in range(8):
         words = items[i].split()
-        docs[200 + i] = prose(700 + i, 40) + " " + items[i].upper() + "\n" + prose(800 + i, 30)
+        docs[200 + i] = prose(700 + i, 40) + " " + items[i].replace("the", "THE") + "\n" + prose(800 + i, 30)
         docs[300 + i] = prose(900 + i, 10) + " " + " ".join([*words[:9], "other", *words[10:]]) + " " + prose(950 + i, 10)
         docs[400 + i] = " ".join(words[: len(words) // 2]) + " " + prose(990 + i, 50)
     docs[500] = "say Alpha beta twice"
