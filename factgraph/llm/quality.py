@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.llm.linear import fit, margins, platt, sigmoid
+from factgraph.llm.linear import fit, folds, margins, platt, sigmoid
 from factgraph.llm.words import combine, rows_of, text_slices, word_bounds, word_hashes
 
 BUCKETS = 1 << 18
@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model |
         return None
     index = [np.frombuffer(x, np.int32) for x in sample.column("index").to_pylist()]
     value = [np.frombuffer(x, np.float32) for x in sample.column("value").to_pylist()]
-    held = np.arange(len(y)) % 5 == 4
+    held = folds(np.asarray(sample.column("doc_id").to_numpy()), y, 5) == 4
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.ones(len(y), bool)
 

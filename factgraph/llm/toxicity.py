@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.llm.linear import fit, margins, platt, sigmoid
+from factgraph.llm.linear import fit, folds, margins, platt, sigmoid
 from factgraph.llm.words import BYTE_VALUES, _powers, lower_ascii, mix, rows_of, text_slices
 
 CATEGORIES = ("toxic", "toxic_prose", "toxic_junk")
@@ -91,9 +91,9 @@ class Chain:
         row, index = np.divmod(key, len(self.features))
         return np.searchsorted(row, np.arange(n + 1)), index, np.log1p(count)
 
-    def fit(self, x: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray) -> None:
-        """y: a row for each document, a column for each category."""
-        fold = np.arange(len(y)) % FOLDS
+    def fit(self, x: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, keys: np.ndarray) -> None:
+        """y: a row for each document, a column for each category; the folds go by the keys' hashes."""
+        fold = folds(keys, y @ (1 << np.arange(y.shape[1])), FOLDS)
         earlier = np.zeros((len(y), 0))
         for k in range(y.shape[1]):
             if not 2 * FOLDS <= y[:, k].sum() <= len(y) - 2 * FOLDS:
@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Chain |
     index = [np.frombuffer(x, np.int32) for x in got.column("index").to_pylist()]
     value = [np.frombuffer(x, np.float64) for x in got.column("value").to_pylist()]
     x = np.concatenate(([0], np.cumsum([len(i) for i in index]))), np.concatenate(index).astype(np.int64), np.concatenate(value)
-    chain.fit(x, np.column_stack((toxic, toxic & quality, toxic & ~quality)).astype(float))
+    chain.fit(x, np.column_stack((toxic, toxic & quality, toxic & ~quality)).astype(float), np.asarray(got.column("doc_id").to_numpy()))
     return chain
 
 
