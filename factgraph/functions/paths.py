@@ -65,7 +65,7 @@ def _wildcards(pattern: str, star: str, one: str) -> str:
         elif c == "?":
             out.append(one)
         elif close > 0:
-            body = pattern[i + 1 : close].replace("\\", "\\\\")
+            body = pattern[i + 1 : close].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
             out.append("[" + ("^" + body[1:] if body[0] == "!" else body.replace("^", "\\^", 1) if body[0] == "^" else body) + "]")
             i = close
         else:
