@@ -129,7 +129,9 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, chunk: int = CHUNK
     """doc_id, n_shingles, component_id, n_links for every document."""
     sets = described(docs, k, percent)
     equal = ["n_shingles", "one", "two"]
-    members = saved(sets.select("doc_id", *equal).join(sets.where("n_shingles > 0").groupBy(*equal).agg(F.min("doc_id").alias("rep"), F.count("doc_id").alias("copies")), equal, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")), "members")
+    # written first, so that the join below has a plain exchange on both sides and Spark can split a class of very many copies
+    classes = saved(sets.where("n_shingles > 0").groupBy(*equal).agg(F.min("doc_id").alias("rep"), F.count("doc_id").alias("copies")).where("copies > 1"), "classes")
+    members = saved(sets.select("doc_id", *equal).join(classes, equal, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")), "members")
     reps = members.where("doc_id = rep and n_shingles > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
     signs = sets.select("doc_id", "signatures").join(reps.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode("signatures").alias("signature"))
     shared = saved(signs.groupBy("signature").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high"), "shared")
@@ -164,6 +166,6 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, chunk: int = CHUNK
         return pa.table({"doc_id": names[hit], "links": links[hit], "root": names[root[hit]]})
 
     found = saved(tasks.groupBy("grp", "i", "j").applyInArrow(compare, "doc_id long, links long, root long"), "found")
-    classes = components(found.select("doc_id", "root"), "doc_id", "root")
-    degree = found.groupBy(F.col("doc_id").alias("node")).agg(F.sum("links").alias("links")).join(classes, "node", "left")
+    reached = components(found.select("doc_id", "root"), "doc_id", "root")
+    degree = found.groupBy(F.col("doc_id").alias("node")).agg(F.sum("links").alias("links")).join(reached, "node", "left")
     return members.join(degree, members["rep"] == degree["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

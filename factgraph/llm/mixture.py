@@ -20,6 +20,9 @@ shards; the driver holds one number for each weight round, never a row.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -33,6 +36,7 @@ BLOCK_WORDS = 32
 SHARD_DOCS = 512
 MAX_EPOCHS = 3
 SEED = 20240607
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -136,14 +140,24 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS) -> Da
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each whole pass over a document, and one for the words of a partial pass."""
     plan = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), "pieces", F.expr("taken div size").cast("int").alias("_passes"))
-    words = F.filter(F.split(text_or_empty(), "[ \\x09-\\x0D]+"), lambda w: w != "")
-    part = F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice(words, (p["first"] + 1).cast("int"), p["words"].cast("int")))), " ")
-    texts = F.concat(F.array_repeat("text", F.col("_passes")), F.when(F.size("pieces") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
-    rows = docs.join(plan, (F.col("doc_id") == F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source"))).withColumn("_texts", texts)
-    if "n_chars" in docs.columns:
-        rows = rows.drop("n_chars")
-    rows = rows.drop("text").withColumn("text", F.explode("_texts"))
-    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else rows.select(*docs.columns)
+    names = docs.columns
+    joined = docs.join(plan, (F.col("doc_id") == F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source"))).select(*names, "pieces", "_passes")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, texts = [], []
+            for i, (text, pieces, passes) in enumerate(zip(*(b.column(c).to_pylist() for c in ("text", "pieces", "_passes")), strict=True)):
+                if pieces:
+                    words = WORD.findall(text)
+                    texts.append(" ".join(w for p in pieces for w in words[p["first"] : p["first"] + p["words"]]))
+                    at.append(i)
+                texts += [text] * passes
+                at += [i] * passes
+            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c).take(rows) for c in names], names=names)
+
+    return joined.mapInArrow(build, docs.schema)
 
 
 def seeded(values: np.ndarray, seed: int) -> np.ndarray:
