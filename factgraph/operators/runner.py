@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factgraph.operators import index, metrics, textsearch
@@ -28,13 +28,11 @@ def execute(kind: str, text: str, tables: dict[str, DataFrame], qualified: bool
         found = index.references_of(tables["symbol_references"], text).select(F.concat_ws(":", "file_path", F.lpad("start_line", 9, "0")).alias("item"))
     elif kind in ("callers", "callees"):
         one, other = ("callee", "caller") if kind == "callers" else ("caller", "callee")
-        found = index.calls(tables["symbol_relations"], tables["symbols"], tables["symbol_ranges"], kind[:-1]).where(F.col(one if kind == "callees" else "callee") == text).select(F.col(other).alias("item"))
+        found = index.calls(tables["symbol_relations"], tables["symbols"], tables["symbol_ranges"], kind[:-1]).where(F.col(one) == text).select(F.col(other).alias("item"))
     else:
         found = index.contained_references(tables["references"], tables["test_case_bodies"]).where(F.col("symbol_identity") == text).select(F.col("case_identity").alias("item")).distinct()
-    from pyspark.sql import Window
-
-    found = found.distinct()
-    return found.select("item", F.row_number().over(Window.orderBy("item")).cast("long").alias("rank")) if limit is None else found.orderBy("item").limit(limit).select("item", F.row_number().over(Window.orderBy("item")).cast("long").alias("rank"))
+    found = found.distinct() if limit is None else found.distinct().orderBy("item").limit(limit)
+    return found.select("item", F.row_number().over(Window.orderBy("item")).cast("long").alias("rank"))
 
 
 def run(spark: SparkSession, suite: list[dict], tables: dict[str, DataFrame], clock: Callable[[], float] = time.perf_counter) -> DataFrame:

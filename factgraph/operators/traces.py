@@ -69,6 +69,9 @@ def staged_trace(edges: DataFrame, stages: DataFrame, seed: tuple[str, str], ord
     """
     targets = stages.where(F.col("stage") == order[-1]).select("namespace", "key")
     useful = graph.reaching(edges, targets, relations, max_depth)
+    if useful.where((F.col("namespace") == seed[0]) & (F.col("key") == seed[1])).isEmpty():
+        none = edges.sparkSession.createDataFrame([], "state int, path array<string>, gaps array<string>")
+        return Trace(none, "incomplete", False, ("missing_entry_stage",))
     kept = edges.join(useful.select(F.col("namespace").alias("dst_ns"), F.col("key").alias("dst_key")), ["dst_ns", "dst_key"], "left_semi").select(*graph.KEY)
     ended = kept.join(targets.select(F.col("namespace").alias("src_ns"), F.col("key").alias("src_key")), ["src_ns", "src_key"], "left_anti").select(*graph.KEY)
     found = graph.simple_paths(ended, *seed, max_depth, max_paths, max_states, relations)
@@ -82,8 +85,5 @@ def staged_trace(edges: DataFrame, stages: DataFrame, seed: tuple[str, str], ord
     gaps = F.concat(missing, F.when(in_order, F.array().cast("array<string>")).otherwise(F.array(F.lit("stage_order"))), F.when(F.col("ambiguous"), F.array(F.lit("ambiguous_role"))).otherwise(F.array().cast("array<string>")))
     paths = seen.select("state", F.transform("steps", lambda s: s["key"]).alias("path"), gaps.alias("gaps")).orderBy("state")
     facts = paths.agg(F.count("*"), F.count_if(F.size("gaps") == 0), F.bool_or(F.array_contains("gaps", "ambiguous_role"))).first()
-    whole = int(facts[0])
-    reached = whole and not useful.where((F.col("namespace") == seed[0]) & (F.col("key") == seed[1])).isEmpty()
-    issues = found.issues if reached else (*found.issues, "missing_entry_stage")
-    status = "ambiguous" if whole > 1 or facts[2] else "complete" if found.exhaustive and facts[1] == 1 else "incomplete"
-    return Trace(paths, status, found.exhaustive and bool(reached), issues)
+    status = "ambiguous" if facts[0] > 1 or facts[2] else "complete" if found.exhaustive and facts[1] == 1 else "incomplete"
+    return Trace(paths, status, found.exhaustive, found.issues)

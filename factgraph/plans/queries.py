@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factgraph.functions import identity, paths, ranges
-from factgraph.operators import changes, graph, index, metrics, retrieval, rules, snippets, textsearch
+from factgraph.operators import changes, expansion, graph, index, metrics, retrieval, rules, snippets, textsearch, traces
 from factgraph.plans.projection import fact, oracle
-from factgraph.sources import diffs, files, tests
+from factgraph.sources import diffs, files, graphs, tests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -383,6 +383,46 @@ def component_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.component_members(mapping(spark, sf_dir))
 
 
+@query(
+    """SELECT src_key, dst_key, count(*) AS proofs, CASE WHEN count(*) = count(*) FILTER (given) THEN 'verified' ELSE 'broken' END AS state FROM (SELECT concat('supplier:', l_suppkey) AS src_key, concat('part:', l_partkey) AS dst_key, l_linenumber, bool_or(l_returnflag <> 'R') AS given FROM lineitem GROUP BY ALL) GROUP BY src_key, dst_key"""
+)
+def edge_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.lit("symbol").alias("src_ns"), F.concat(F.lit("supplier:"), "l_suppkey").alias("src_key"), F.lit("symbol").alias("dst_ns"), F.concat(F.lit("part:"), "l_partkey").alias("dst_key"), F.lit("call").alias("relation"), "l_linenumber", "l_returnflag")
+    return traces.verified_edges(rows.where("l_returnflag <> 'R'").drop("l_returnflag"), rows.drop("l_returnflag")).select("src_key", "dst_key", "proofs", "state")
+
+
+@query(
+    f"""SELECT s.identity, s.parent_identity AS owner, m.role, m.component FROM symbols s LEFT JOIN (SELECT DISTINCT x.identity, r.role, coalesce(r.component, '') AS component FROM ({ROLE}) x JOIN symbols c ON c.identity = x.identity JOIN rules r ON r.qualified_name = c.qualified_name
+    JOIN symbol_ranges g ON g.symbol_identity = c.identity AND g.file_path = r.file_path WHERE x.reason = 'exact_catalog_match') m ON m.identity = s.parent_identity""",
+    "symbols", "symbol_ranges", "rules",
+)
+def owner_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces.owner_roles(fact(spark, sf_dir, "symbols"), mapping(spark, sf_dir))
+
+
+@query("SELECT DISTINCT key FROM (SELECT src_key AS key FROM edges UNION ALL SELECT dst_key FROM edges WHERE src_key IN ('region:0', 'region:2')) WHERE key IN ('region:0', 'region:2') OR key LIKE 'nation:%' AND key IN (SELECT dst_key FROM edges WHERE src_key IN ('region:0', 'region:2'))", "edges")
+def graph_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = spark.createDataFrame([("symbol", "region:2"), ("symbol", "region:0"), ("symbol", "region:2")], "namespace string, key string")
+    return expansion.expand(nodes_of(spark, sf_dir), fact(spark, sf_dir, "edges"), seeds, expansion.Policy(depth=1)).nodes.select("key")
+
+
+@query("SELECT concat_ws('>', a.src_key, a.dst_key, b.dst_key) AS path, '' AS gaps FROM edges a JOIN edges b ON b.src_key = a.dst_key WHERE a.src_key = (SELECT concat('region:', min(n_regionkey)) FROM nation JOIN supplier ON s_nationkey = n_nationkey) AND b.dst_key LIKE 'supplier:%'", "edges")
+def staged_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths region > nation > supplier, of the first region that has a supplier."""
+    edges = fact(spark, sf_dir, "edges")
+    stage = F.substring_index("key", ":", 1)
+    stages = nodes_of(spark, sf_dir).select("namespace", "key", stage.alias("stage")).where("stage in ('region', 'nation', 'supplier')")
+    seed = edges.where("dst_key like 'nation:%'").join(edges.where("dst_key like 'supplier:%'").select(F.col("src_key").alias("dst_key")), "dst_key", "left_semi").agg(F.min("src_key")).first()[0]
+    found = traces.staged_trace(edges, stages, ("symbol", seed), ["region", "nation", "supplier"], max_paths=1_000_000, max_states=1_000_000)
+    return found.paths.select(F.array_join("path", ">").alias("path"), joined("gaps"))
+
+
+@query("SELECT * FROM nation")
+def graph_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return graphs.decoded(graphs.encoded(rows), ", ".join(f"{n} {t}" for n, t in rows.dtypes))
+
+
 # --- retrieval
 
 HINTS = """SELECT CAST(n_nationkey AS bigint) AS task_id, 1 AS ordinal, 'component' AS kind, n_name AS value, true AS valid FROM nation UNION ALL SELECT n_nationkey, 2, 'symbol', r_name || '::' || n_name, true FROM nation JOIN region ON n_regionkey = r_regionkey
