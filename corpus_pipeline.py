@@ -19,8 +19,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays, the one of the smallest doc_id."""
-    gone = jaccard_join.join(docs).where("component_id <> doc_id").select("doc_id")
+    """One document of each group of linked ones stays, the one of the smallest doc_id; five words and 80 %, op5's own contract is narrower."""
+    gone = jaccard_join.join(docs, k=5, percent=80).where("component_id <> doc_id").select("doc_id")
     return docs.join(bounded(gone), "doc_id", "left_anti").select(*docs.columns)
 
 

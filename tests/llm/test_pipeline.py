@@ -60,3 +60,10 @@ def test_run_ends_in_token_rows(spark, folder):
         at += r.n_tokens
     assert rows and {"doc_id", "start", "n_tokens", "ids_crc32"} == set(rows[0].asDict())
     assert zlib.crc32(np.array([2], "<u4").tobytes()) >= 0
+
+
+def test_near_copies_of_five_words_and_four_fifths_go(spark):
+    words = prose(5000, 200).split()
+    block = [*words[:90], *(f"other{i}" for i in range(14)), *words[104:]]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(block)), (3, prose(5001, 200))], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 3}
