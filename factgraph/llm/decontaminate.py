@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from factgraph.llm.tables import saved
 
 K = 5
-RADIUS = 11
+#: Of 64 bits. At similarity 0.8 a ninth of the words differs at most: 9.7 bits expected for distinct words, 13.3 if the changed ones are all the same word; over 21 lie under 1 % of either.
+RADIUS = 21
 SIMILARITY = 0.8
 #: Rows up to which a side may be broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 500_000

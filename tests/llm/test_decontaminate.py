@@ -59,3 +59,29 @@ def test_empty_tables(spark, empty, docs):
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontaminate.find(empty, bench).count() == 0
     assert decontaminate.find(docs, bench.limit(0)).count() == 0
+
+
+def test_near_items_down_to_the_threshold_are_found(spark):
+    docs, items, want = {}, {}, {}
+    for n in (20, 22, 31, 41, 60, 103, 200):
+        for ends in (True, False):
+            for part in (1.0, 0.5):
+                for i in range(8):
+                    q = len(items)
+                    item = prose(20_000 + q, n).split()
+                    best = None
+                    for c in range(1, n):
+                        at = {(n - 1 - j) if ends else (j * n // c + n // (2 * c)) for j in range(c)}
+                        near = [f"new{q}x{j}" if j in at else w for j, w in enumerate(item)]
+                        a, b = shingles(near, 5), shingles(item, 5)
+                        alike = sum((a & b).values()) / sum((a | b).values())
+                        if alike < 1 - 0.2 * part:
+                            break
+                        best = near, alike
+                    if best:
+                        items[q] = " ".join(item)
+                        docs[q] = prose(40_000 + q, 15) + " " + " ".join(best[0]) + " " + prose(60_000 + q, 15)
+                        want[q, q] = best[1]
+    got = found(spark, docs, items)
+    missed = {p: alike for p, alike in want.items() if p not in got}
+    assert len(want) > 100 and min(want.values()) < 0.81 and len(missed) <= 0.01 * len(want), missed
