@@ -9,34 +9,44 @@ union.
 2. Sets that link differ in at most D tokens, so of D + 1 + s parts of the tokens at
    least s + 1 are equal. Each set gives the signatures of its non-empty parts; linked
    sets share one of them (a set with more than s empty parts gives those too).
-   Classes that share signatures make up a group, by connected components.
-3. A group is cut into chunks; each pair of chunks goes to one task, which joins their
-   signature trees. Links are exact intersections of whole sets.
+   Signatures go, sorted and packed, to buckets by ranges of their hashes; of the
+   documents of one signature each meets the next, and the components of these meetings
+   are the groups in which all links lie.
+3. The sets of a group are the leaves of signature trees. A group of more than
+   ``chunk`` sets is cut into cells by size and smallest token hash, whose nodes (the OR
+   of the bitmaps, the range of sizes) are met first; only the sets of pairs of nodes
+   that can have overlap enough go to a task, which goes on down their trees. Links are
+   exact intersections of whole sets.
 4. Components of the links, and the number of links of each document.
 
-A null text is empty, a null doc_id gets a row with null component; repeated rows
-count as copies of one document; an empty table gives no rows; other columns are not
-read. Work inside a group of m classes grows as m * m / CHUNK rows; equal copies don't
-count for m.
+A null text is empty; of the rows of a doc_id that have different sets the one with most
+shingles counts (then the largest hash), and a document is one row however often it is
+repeated; null doc_ids are one document; an empty table gives no rows; other columns are
+not read. Two nodes of a group meet in one narrow row if their sizes allow a link.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factgraph.llm import signature_tree
 from factgraph.llm.components import components
-from factgraph.llm.tables import saved
+from factgraph.llm.packing import bucket_edges, expand, expand_sorted, squeeze, squeeze_sorted
+from factgraph.llm.tables import bounded, lookup, saved
 from factgraph.llm.words import combine, lower_ascii, mix, shingle_hashes, text_slices, word_bounds, word_hashes
 
 K = 3
 PERCENT = 90
 CHUNK = 512
+#: Signatures that leave a task at once, and about how many a bucket holds.
+SENT, HELD = 1 << 20, 1 << 21
+#: Bits of a node's bitmap above the trees of one task.
+NODE_BITS = 1 << 14
 
 
 def token_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -94,21 +104,77 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def described(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the whole set and its signatures, written to the shared folder."""
+def digests(tokens: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a whole set."""
+    return int(mix(tokens).sum(dtype=np.uint64).astype(np.int64)), int(mix(tokens ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64).astype(np.int64))
+
+
+def described(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n_shingles, two hashes of the set and a hash of its smallest token, written to the shared folder."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, one, two, sign = [], [], [], []
+            size, one, two, low = [], [], [], []
             for s in token_sets(b.column("text"), k):
+                x, y = digests(s)
                 size.append(len(s))
-                one.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)))
-                two.append(int(mix(s ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64).astype(np.int64)))
-                sign.append(signatures(s, percent).view(np.int64))
-            at = np.concatenate(([0], np.cumsum([len(x) for x in sign]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sign) if sign else [], pa.int64()))], names=["doc_id", "n_shingles", "one", "two", "signatures"])
+                one.append(x)
+                two.append(y)
+                low.append(int(mix(mix(s).min(keepdims=True))[0] >> np.uint64(32)) if len(s) else 0)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, one, two, low))], names=["doc_id", "n_shingles", "one", "two", "low"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(look, "doc_id long, n_shingles long, one long, two long, low long")
+    return saved(rows.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "one", "two", "low")).alias("s")).select("doc_id", "s.*"), "sets")
+
+
+def meetings(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
+    """a, b: documents next to each other among those that share a signature."""
+
+    def send(sign: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((owner, sign))
+        sign, owner = sign[order], owner[order]
+        again = np.flatnonzero(sign[1:] == sign[:-1]) + 1
+        near = np.unique(np.stack((owner[again - 1], owner[again])), axis=1)
+        # of equal signatures of one task the first goes on; the others are linked with it here
+        first = np.ones(len(sign), bool)
+        first[again] = False
+        sign, owner = sign[first], owner[first]
+        edges = bucket_edges(sign, buckets)
+        own = np.flatnonzero(np.diff(edges))
+        keys, owners = ([f(x[edges[i] : edges[i + 1]]) for i in own] for f, x in ((squeeze_sorted, sign), (squeeze, owner)))
+        place = int(mix(np.array([len(sign)], np.uint64))[0] % np.uint64(buckets))
+        return pa.RecordBatch.from_pydict({"bucket": pa.array([*own, place], pa.int32()), "met": pa.array([False] * len(own) + [True]), "a": pa.array([*keys, squeeze(near[0])], pa.binary()), "b": pa.array([*owners, squeeze(near[1])], pa.binary())})
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign, owner, held = [], [], 0
+        for b in batches:
+            for name, s in zip(b.column("doc_id").to_numpy(), token_sets(b.column("text"), k), strict=True):
+                own = signatures(s, percent)
+                sign.append(own)
+                owner.append(np.full(len(own), name, np.int64))
+                held += len(own)
+                if held >= SENT:
+                    yield send(np.concatenate(sign), np.concatenate(owner))
+                    sign, owner, held = [], [], 0
+        if held:
+            yield send(np.concatenate(sign), np.concatenate(owner))
+
+    def meet(key: tuple, part: pa.Table) -> pa.Table:
+        met = np.asarray(part.column("met").to_pylist(), bool)
+        a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
+        pairs = [np.stack((expand(a[i], np.int64), expand(b[i], np.int64))) for i in np.flatnonzero(met)]
+        rest = np.flatnonzero(~met)
+        if len(rest):
+            sign, owner = np.concatenate([expand_sorted(a[i]) for i in rest]), np.concatenate([expand(b[i], np.int64) for i in rest])
+            order = np.lexsort((owner, sign))
+            sign, owner = sign[order], owner[order]
+            again = np.flatnonzero((sign[1:] == sign[:-1]) & (owner[1:] != owner[:-1]))
+            pairs.append(np.stack((owner[again], owner[again + 1])))
+        found = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        return pa.table({"a": found[0], "b": found[1]})
 
-    return saved(docs.select("doc_id", "text").mapInArrow(look, "doc_id long, n_shingles long, one long, two long, signatures array<long>"), "sets")
+    rows = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(look, "bucket int, met boolean, a binary, b binary")
+    return rows.groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 def labels_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -125,37 +191,66 @@ def labels_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def join(docs: DataFrame, k: int = K, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for every document."""
-    sets = described(docs, k, percent)
-    equal = ["n_shingles", "one", "two"]
-    # written first, so that the join below has a plain exchange on both sides and Spark can split a class of very many copies
-    classes = saved(sets.where("n_shingles > 0").groupBy(*equal).agg(F.min("doc_id").alias("rep"), F.count("doc_id").alias("copies")).where("copies > 1"), "classes")
-    members = saved(sets.select("doc_id", *equal).join(classes, equal, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")), "members")
-    reps = members.where("doc_id = rep and n_shingles > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    signs = sets.select("doc_id", "signatures").join(reps.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode("signatures").alias("signature"))
-    shared = saved(signs.groupBy("signature").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high"), "shared")
-    more = signs.join(shared.where("n > 2").select("signature", "low"), "signature").select("low", "doc_id")
-    groups = saved(components(shared.select("low", F.col("high").alias("doc_id")).union(more), "low", "doc_id"), "groups")
-    sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("m")), "component").join(reps, groups["node"] == reps["doc_id"]).select("doc_id", F.col("component").alias("grp"), "copies", F.ceil(F.col("m") / F.lit(chunk)).cast("int").alias("chunks"))
-    rows = docs.select("doc_id", "text").join(sized, "doc_id").dropDuplicates(["doc_id"])
+def parts(rows: DataFrame, on: list[str], chunk: int, by: Column) -> DataFrame:
+    """``rows`` with ``part``: for each key, so many parts that about ``chunk`` rows fall in each, by a hash below 2**32."""
+    large = rows.groupBy(*on).agg(F.count("*").alias("m")).where(F.col("m") > chunk)
+    cut = lookup(rows, large, on, "m").withColumn("part", F.when(F.col("m").isNull(), 0).otherwise((by * F.ceil(F.col("m") / chunk) / F.lit(float(1 << 32))).cast("int")))
+    return saved(cut.drop("m"), "parts")
 
-    def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def placed(rows: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """``rows`` (doc_id, grp, n_shingles, low, ...) with band and cell; a group of at most ``chunk`` sets is one cell."""
+    sized = rows.groupBy("grp").agg(F.count("*").alias("m"))
+    rows = saved(lookup(rows, sized, ["grp"], "m").where("m > 1"), "grouped")
+    small = rows.where(F.col("m") <= chunk).select(*rows.columns, F.lit(0).alias("band"), F.col("grp").alias("cell"))
+    # linked sets are in one band or in two next to each other
+    large = saved(rows.where(F.col("m") > chunk).withColumn("band", F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")), "large")
+    if large.isEmpty():
+        return small.drop("m")
+    cut = parts(large.drop("m"), ["grp", "band"], chunk, F.col("low")).withColumnRenamed("part", "slice")
+    cut = parts(cut, ["grp", "band", "slice"], chunk, F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 32) - 1)))
+    cut = cut.withColumn("cell", F.xxhash64("grp", "band", "slice", "part")).drop("slice", "part")
+    return small.drop("m").unionByName(cut)
+
+
+def node_pairs(held: DataFrame, percent: int) -> DataFrame:
+    """p, q: cells of one group that can hold linked sets, judged by their nodes; a cell alone in its group isn't listed."""
+
+    def node(key: tuple, rows: pa.Table) -> pa.Table:
+        tokens = [np.frombuffer(x, np.uint64) for x in rows.column("tokens").to_pylist()]
+        bits, low, high, few = signature_tree.Tree(tokens, NODE_BITS).levels[-1]
+        return pa.table({"grp": pa.array([key[0].as_py()], pa.int64()), "band": pa.array([key[1].as_py()], pa.int32()), "cell": pa.array([key[2].as_py()], pa.int64()), "least": pa.array(low), "most": pa.array(high), "few": pa.array(few), "bits": pa.array([bits[0].tobytes()], pa.binary())})
+
+    nodes = saved(held.where("cell <> grp").groupBy("grp", "band", "cell").applyInArrow(node, "grp long, band int, cell long, least long, most long, few long, bits binary"), "nodes")
+    one = nodes.select("grp", F.explode(F.array("band", F.col("band") + 1)).alias("other"), "band", F.col("cell").alias("p"), *(F.col(c).alias(f"{c}_p") for c in ("least", "most", "few", "bits")))
+    two = nodes.select("grp", F.col("band").alias("other"), F.col("cell").alias("q"), *(F.col(c).alias(f"{c}_q") for c in ("least", "most", "few", "bits")))
+    both = one.join(two, ["grp", "other"]).where("(other > band or p <= q) and 100 * most_p >= %d * least_q and 100 * most_q >= %d * least_p" % (percent, percent))
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, s in enumerate(token_sets(b.column("text"), k)):
-                yield pa.RecordBatch.from_arrays([b.column(c).slice(i, 1) for c in ("doc_id", "grp", "copies", "chunks")] + [pa.array([s.tobytes()], pa.binary())], names=["doc_id", "grp", "copies", "chunks", "tokens"])
+            sides = []
+            for s in "pq":
+                bits = np.array([np.frombuffer(x, np.uint64) for x in b.column(f"bits_{s}").to_pylist()], np.uint64).reshape(b.num_rows, -1)
+                sides.append((bits, *(np.asarray(b.column(f"{c}_{s}").to_numpy()) for c in ("least", "most", "few"))))
+            keep = signature_tree.overlap_possible(*sides, percent) if b.num_rows else np.zeros(0, bool)
+            keep |= np.asarray(b.column("p").to_numpy()) == np.asarray(b.column("q").to_numpy())
+            at = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([b.column(c).take(at) for c in "pq"], names=["p", "q"])
+
+    return saved(both.mapInArrow(test, "p long, q long"), "pairs")
 
-    held = rows.mapInArrow(attach, "doc_id long, grp long, copies long, chunks int, tokens binary").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
-    tasks = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("doc_id", "copies", "tokens", "own", "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
+def compared(percent: int) -> Callable[[tuple, pa.Table], pa.Table]:
     def compare(key: tuple, part: pa.Table) -> pa.Table:
-        names, copies, own = (np.asarray(part.column(c).to_numpy()) for c in ("doc_id", "copies", "own"))
-        tokens = [np.frombuffer(x, np.uint64) for x in part.column("tokens").to_pylist()]
-        i, j = key[1].as_py(), key[2].as_py()
-        if i == j:
+        names, at = np.unique(np.asarray(part.column("doc_id").to_numpy()), return_index=True)
+        copies, cell = (np.asarray(part.column(c).to_numpy())[at] for c in ("copies", "cell"))
+        column = part.column("tokens").combine_chunks()
+        tokens = [np.frombuffer(column[int(i)].as_buffer(), np.uint64) for i in at]
+        p, q = key[0].as_py(), key[1].as_py()
+        if p == q:
             a, b = signature_tree.join(tokens, None, percent)
         else:
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            left, right = np.flatnonzero(cell == p), np.flatnonzero(cell == q)
             a, b = signature_tree.join([tokens[x] for x in left], [tokens[x] for x in right], percent)
             a, b = left[a], right[b]
         links = np.zeros(len(names), np.int64)
@@ -165,7 +260,44 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, chunk: int = CHUNK
         root = labels_of(len(names), a, b)
         return pa.table({"doc_id": names[hit], "links": links[hit], "root": names[root[hit]]})
 
-    found = saved(tasks.groupBy("grp", "i", "j").applyInArrow(compare, "doc_id long, links long, root long"), "found")
+    return compare
+
+
+def join(docs: DataFrame, k: int = K, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for every document."""
+    sets = described(docs, k)
+    equal = ["n_shingles", "one", "two"]
+    filled = sets.where("n_shingles > 0 and doc_id is not null")
+    classes = saved(filled.groupBy(*equal).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "classes")
+    members = saved(lookup(sets, classes, equal, "copies").select("doc_id", *equal, "low", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("copies")), F.lit(1)).alias("copies")), "members")
+    shingles = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    # a set has about 2.6 signatures for each token that may differ, if not so few tokens that the spare parts count
+    buckets = max(1, -(-int(shingles * 2.6 * (100 - percent) / 100) // HELD))
+    groups = components(meetings(docs, k, percent, buckets)).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "grp")
+    leaves = placed(saved(members.where("doc_id = rep and n_shingles > 0").join(groups, "doc_id"), "leaves"), percent, chunk)
+    wanted = bounded(leaves.select("doc_id", "one", "two", "grp", "band", "cell", "copies"))
+
+    def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.asarray(b.column(c).to_numpy()) for c in ("one", "two")]
+            keep, held = [], []
+            for i, s in enumerate(token_sets(b.column("text"), k)):
+                if digests(s) == (own[0][i], own[1][i]):
+                    keep.append(i)
+                    held.append(s.tobytes())
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("doc_id", "grp", "band", "cell", "copies")), pa.array(held, pa.binary())], names=["doc_id", "grp", "band", "cell", "copies", "tokens"])
+
+    held = docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(attach, "doc_id long, grp long, band int, cell long, copies long, tokens binary")
+    if not leaves.where("cell <> grp").isEmpty():
+        held = saved(held, "leaves")
+        pairs = node_pairs(held, percent)
+        ways = pairs.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("cell"))
+        tasks = held.where("cell = grp").select("doc_id", "copies", "cell", "tokens", F.col("cell").alias("p"), F.col("cell").alias("q"))
+        tasks = tasks.unionByName(held.where("cell <> grp").join(ways, "cell").select(*tasks.columns))
+    else:
+        tasks = held.select("doc_id", "copies", "cell", "tokens", F.col("cell").alias("p"), F.col("cell").alias("q"))
+    found = saved(tasks.groupBy("p", "q").applyInArrow(compared(percent), "doc_id long, links long, root long"), "found")
     reached = components(found.select("doc_id", "root"), "doc_id", "root")
-    degree = found.groupBy(F.col("doc_id").alias("node")).agg(F.sum("links").alias("links")).join(reached, "node", "left")
-    return members.join(degree, members["rep"] == degree["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    degree = saved(found.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("links")).join(reached.withColumnRenamed("node", "rep"), "rep", "left").join(members.where("doc_id = rep").select("rep", F.col("copies").alias("met")), "rep"), "degrees")
+    return lookup(members, degree, ["rep"], "met").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

@@ -46,16 +46,23 @@ class Tree:
         return np.repeat(np.arange(len(nodes)), count), np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
 
 
+Side = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def overlap_possible(one: Side, two: Side, percent: int) -> np.ndarray:
+    """Whether sets below pairs of nodes (bitmaps, smallest and largest size, fewest bits) can have overlap enough."""
+    (bits_a, low_a, high_a, few_a), (bits_b, low_b, high_b, few_b) = one, two
+    shared = np.bitwise_count(bits_a & bits_b).sum(axis=1, dtype=np.int64)
+    most = np.minimum(high_a - np.maximum(0, few_a - shared), high_b - np.maximum(0, few_b - shared))
+    return linked(most, low_a, low_b, percent) & (100 * high_a >= percent * low_b) & (100 * high_b >= percent * low_a)
+
+
 def possible(one: Tree, two: Tree, level: int, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """Whether some pair of sets below the nodes can have overlap enough."""
     keep = np.zeros(len(a), bool)
-    bits_a, low_a, high_a, few_a = one.levels[level]
-    bits_b, low_b, high_b, few_b = two.levels[level]
     for i in range(0, len(a), PAIRS_AT_ONCE):
         p, q = a[i : i + PAIRS_AT_ONCE], b[i : i + PAIRS_AT_ONCE]
-        shared = np.bitwise_count(bits_a[p] & bits_b[q]).sum(axis=1, dtype=np.int64)
-        most = np.minimum(high_a[p] - np.maximum(0, few_a[p] - shared), high_b[q] - np.maximum(0, few_b[q] - shared))
-        keep[i : i + PAIRS_AT_ONCE] = linked(most, low_a[p], low_b[q], percent) & (100 * high_a[p] >= percent * low_b[q]) & (100 * high_b[q] >= percent * low_a[p])
+        keep[i : i + PAIRS_AT_ONCE] = overlap_possible(tuple(x[p] for x in one.levels[level]), tuple(x[q] for x in two.levels[level]), percent)
     return keep
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,9 +22,11 @@ def partitions(spark: SparkSession) -> int:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is made only where the session names none."""
+    """The folder all executors share; a local one is made only where the session names none and has no executors elsewhere."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-work-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -47,5 +50,25 @@ def bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(held) if held.count() <= BROADCAST_IDS else held
 
 
+#: A key of a 1/HEAVY part of all rows or more is heavy, so there are at most so many heavy keys.
+HEAVY = 10_000
+
+
+def lookup(rows: DataFrame, found: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """Left join of ``rows`` (a written table) with one row of ``found`` for each key, whose ``weight`` says how many rows meet it.
+
+    Rows of heavy keys meet a broadcast table of at most HEAVY keys; only the others are dealt by their key.
+    """
+    total = found.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    least = max(1000, -(-int(total) // HEAVY))
+    heavy = saved(found.where(F.col(weight) >= least), "heavy")
+    light = found.where(F.col(weight) < least)
+    if heavy.isEmpty():
+        return rows.join(light, on, "left")
+    heavy = F.broadcast(heavy)
+    rest = rows.join(heavy.select(*on), on, "left_anti")
+    return rows.join(heavy, on).unionByName(rest.join(light, on, "left"))
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))

@@ -65,7 +65,39 @@ def test_empty_and_repeats(spark, empty):
     assert jaccard_join.join(empty).count() == 0
     docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d")], "doc_id long, text string")
     rows = jaccard_join.join(docs).collect()
-    assert len(rows) == 3 and {r.component_id for r in rows if r.doc_id} == {1}
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in rows} == {1: (2, 1, 0), None: (2, None, 0)} and len(rows) == 2
+
+
+def test_rows_of_one_doc_id_with_different_texts(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (1, "x y z"), (2, "A b c d e f g"), (3, "x y z"), (3, None)], "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.join(docs).collect()} == {1: (5, 1, 1), 2: (5, 1, 1), 3: (1, 3, 0)}
+
+
+def test_a_group_that_percolates(spark):
+    """Each text is near the one before, so 300 texts are one group, though few pairs of nodes can be linked."""
+    words, rows = [f"w{i}" for i in range(200)], {}
+    for i in range(300):
+        rows[i] = " ".join(words)
+        words = words[2:] + [f"w{200 + 2 * i}", f"w{201 + 2 * i}"]
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    want = brute(rows, 5, 80)
+    assert {c for _, c, _ in want.values()} == {0}
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.join(docs, 5, 80, chunk=16).collect()} == want
+
+
+def test_copies_of_one_text_beyond_the_heavy_bound(spark, monkeypatch):
+    monkeypatch.setattr("factgraph.llm.tables.HEAVY", 2)
+    near = variants(9, 30, 60)
+    rows = {i: near[i % 2] for i in range(1500)} | {2000 + i: t for i, t in near.items()}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in jaccard_join.join(docs).collect()}
+    want = brute({i: rows[i] for i in (0, 1, *range(2000, 2030))})
+    size = {0: 750, 1: 750}
+    assert len(got) == 1530
+    for i in range(2000, 2030):
+        sets = [set(zip(*(rows[j].lower().split()[k:] for k in range(3)))) for j in (i, 0, 1)]
+        extra = sum(size[c] - 1 for c in (0, 1) if 100 * len(sets[0] & sets[c + 1]) >= 90 * len(sets[0] | sets[c + 1]))
+        assert got[i] == want[i][2] + extra
 
 
 @settings(max_examples=50, deadline=None)
