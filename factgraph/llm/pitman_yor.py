@@ -5,24 +5,27 @@ for each text. The word before is the context (a start mark before the first one
 context is a restaurant, and all of them share the unigram restaurant as parent, whose
 base gives every training token and one unknown token the same chance.
 
-Documents fall into blocks by a hash of doc_id; a block's distinct bigrams (64-bit
-hashes) and words go, sorted and packed, to buckets by ranges of their hashes, which are
-even for any data, however hot a context or a word is: what a block says of a hot word
-is one number. Buckets add up and answer each block in the order it asked in.
-
-Seating: the customers of a context are its training bigrams' counts; a restaurant's
-tables are the parent's customers. The first round has a table for every distinct
-bigram. Each of the ``ROUNDS`` then draws every bigram's number of tables from Gibbs
-chains run with the totals of the round before (restaurants are conditionally
-independent given these), and adds the tables up for the next totals. A chain's state is
-the seating of c customers of one dish; a Gibbs step takes one customer up and seats it
-at a table of n with weight n - d, or at a new one with weight (theta + d * tables) *
-parent chance. The conditional depends only on c and this last weight, so chains are
-run on a grid of both (octaves of the weight; over ``SMALL`` customers also of c, where
-tables are drawn in the order of arrival instead); a bigram takes ``SAMPLES`` of the
-grid's chains by its hash, the same in every block. Predictive chances are averaged over
-the samples; the last totals count the very tables that the chances use, so a
-context's chances sum to one.
+Texts are read once, into blocks of about ``BLOCK_TOKENS`` tokens of packed word codes.
+A block's distinct bigrams (64-bit hashes) and words go, sorted and packed, to buckets
+by ranges of their hashes, which are even for any data, however hot a context or a word
+is: what a block says of a hot word is one number. Buckets add up and answer each block
+in the order it asked in.
+
+Seating: the customers of a context are its training bigrams; a restaurant's tables are
+the parent's customers. Each sweep seats the customers of all dishes (a dish is a word
+in a restaurant) by Gibbs steps with the other restaurants as the sweep before left
+them: a customer of a dish gets up, who had a table alone with chance S(c-1, t-1) /
+S(c, t) (generalized Stirling numbers: the share of such seatings among those of c
+customers at t tables), and sits down at a new table with weight (strength + discount *
+tables of the restaurant) * parent chance or at one of the dish's with weight c - 1 -
+discount * t. The state of a dish is its number of tables. Dishes of more than ``SINGLE``
+customers take steps of an ``LEAP``-th of them at once, rates held within a step, and of
+more than ``STIRLING`` customers the chance of a table alone is that of many customers.
+Random numbers are hashes of dish, sweep and step, so every block that holds a dish
+seats it alike. The first sweep starts with one table for a dish.
+
+Predictive chances of the seatings after each of the ``SWEEPS`` are averaged; each takes
+the totals that count the very tables it uses, so a context's chances sum to one.
 
 score = sum of log10 of the predictive chances of a text's tokens. Held-out documents
 (crc32 of doc_id as text, modulo 7, is 2) give no counts. base_score is the add-one
@@ -35,10 +38,12 @@ rows; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,91 +53,147 @@ from factgraph.llm.words import combine, lower_ascii, mix, text_slices, word_bou
 
 DISCOUNT, STRENGTH = 0.8, 1.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.5, 1.0
-ROUNDS = 1
-SAMPLES = 8
-SMALL = 32
-CHAINS, BURN_IN = 32, 12
-LOW_OCTAVE, HIGH_OCTAVE, COUNT_OCTAVES = -30, 18, 40
+SWEEPS = 2
+BLOCK_TOKENS = 1 << 21
+#: Steps of one sweep for each customer, and at most.
+STEPS, MOST_STEPS = 2, 24
+SINGLE, LEAP, STIRLING = 24, 8, 400
 END, START = np.uint64(0x0E0D0E0D0E0D0E0D), np.uint64(0x57A7757A7757A775)
 
 
-def seat(customers: int, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Numbers of tables in Gibbs chains, one for each weight of a new table."""
-    m, rows = len(weight), np.arange(len(weight))
-    tables = np.zeros((m, customers))
-    tables[:, 0] = customers
-    place = np.zeros((m, customers), np.int64)
-    for _ in range(BURN_IN):
-        for i in range(customers):
-            tables[rows, place[:, i]] -= 1
-            chance = np.where(tables > 0, tables - discount, 0.0)
-            free = (tables == 0).argmax(axis=1)
-            chance[rows, free] = weight
-            until = np.cumsum(chance, axis=1)
-            new = (until < (rng.random(m) * until[:, -1])[:, None]).sum(axis=1)
-            place[:, i] = new
-            tables[rows, new] += 1
-    return (tables > 0).sum(axis=1)
-
-
-def arrive(customers: int, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Numbers of tables of many customers, drawn as they arrive, in steps that grow with the crowd."""
-    tables, here = np.ones(len(weight)), 1
-    while here < customers:
-        step = min(max(1, here // 8), customers - here)
-        tables = tables + np.minimum(step, rng.poisson(step * weight / (weight + np.maximum(here + step / 2 - discount * tables, 0.1))))
-        here += step
-    return np.minimum(tables, customers)
-
-
 @lru_cache(4)
-def seatings(discount: float) -> np.ndarray:
-    """Tables of each chain by (count class, octave of the weight)."""
-    rng = np.random.default_rng(20240531)
-    octaves = np.arange(LOW_OCTAVE, HIGH_OCTAVE + 1)
-    weight = np.repeat(2.0 ** (octaves + 0.5), CHAINS)
-    grid = [seat(c, weight, discount, rng) if c > 1 else np.full(len(weight), c) for c in range(SMALL + 1)]
-    grid += [arrive(int(SMALL * 2 ** ((i + 0.5) / 2)), weight, discount, rng) for i in range(COUNT_OCTAVES)]
-    return np.array(grid, np.float32).reshape(len(grid), len(octaves), CHAINS)
-
-
-def mean_tables(count: np.ndarray, weight: np.ndarray, key: np.ndarray, discount: float) -> np.ndarray:
-    """Mean number of tables of each dish over its samples; between the count classes it is carried in proportion."""
-    grid = seatings(discount)
-    large = np.clip(2 * np.log2(np.maximum(count, 1) / SMALL), 0, COUNT_OCTAVES - 1).astype(np.int64)
-    row = np.where(count <= SMALL, count, SMALL + 1 + large).astype(np.int64)
-    octave = (np.clip(np.floor(np.log2(np.maximum(weight, 1e-300))), LOW_OCTAVE, HIGH_OCTAVE) - LOW_OCTAVE).astype(np.int64)
-    first = (mix(key) % np.uint64(CHAINS)).astype(np.int64)
-    total = np.zeros(len(count))
-    for s in range(SAMPLES):
-        total += grid[row, octave, (first + s) % CHAINS]
-    return np.minimum(np.maximum(total / SAMPLES, np.minimum(count, 1)), count)
+def alone_chances(discount: float) -> np.ndarray:
+    """By customers and tables up to STIRLING: the chance S(c-1, t-1) / S(c, t) that a customer has a table alone."""
+    out = np.zeros((STIRLING + 1, STIRLING + 1), np.float32)
+    log = np.full(STIRLING + 1, -np.inf)
+    log[1] = 0.0
+    out[1, 1] = 1
+    t = np.arange(STIRLING + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for c in range(2, STIRLING + 1):
+            fewer = np.append(-np.inf, log[:-1])
+            new = np.logaddexp(fewer, np.log(np.maximum(c - 1 - discount * t, 0)) + log)
+            new[(t < 1) | (t > c)] = -np.inf
+            out[c] = np.where(np.isfinite(new), np.exp(fewer - new), 0)
+            log = new
+    return out
+
+
+def alone(count: np.ndarray, tables: np.ndarray, discount: float) -> np.ndarray:
+    """Chance that one of a dish's customers has a table alone; for very many customers, of which few tables hold one, its limit."""
+    small = count <= STIRLING
+    out = np.minimum(1.0, discount * (tables - 1) / np.maximum(count - 1, 1) * (1 + discount / np.maximum(count, 1)))
+    out[small] = alone_chances(discount)[count[small], np.minimum(tables[small], STIRLING)]
+    return out
+
+
+def uniform(key: np.ndarray, step: int) -> np.ndarray:
+    """Numbers between 0 and 1 by key and step."""
+    return (mix(key + np.uint64(step * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(11)).astype(float) * 2.0**-53
+
+
+def events(mean: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """Poisson numbers by inversion, of means above 12 by their normal approximation (a logistic quantile)."""
+    out = np.maximum(0, np.rint(mean + np.sqrt(mean) * np.log(np.maximum(draw, 1e-12) / np.maximum(1 - draw, 1e-12)) / 1.702))
+    low = mean <= 12
+    if low.any():
+        m, d = mean[low], draw[low]
+        part = np.exp(-m)
+        until, n = part.copy(), np.zeros(len(m))
+        for k in range(1, 40):
+            more = d > until
+            if not more.any():
+                break
+            n += more
+            part = part * m / k
+            until += part
+        out[low] = n
+    return out.astype(np.int64)
+
+
+def seated(count: np.ndarray, tables: np.ndarray, weight: np.ndarray, key: np.ndarray, discount: float, sweep: int) -> np.ndarray:
+    """Tables of each dish after a sweep of Gibbs steps from ``tables``; ``weight``: of a new table."""
+    out = np.minimum(count, tables).astype(np.int64)
+    more = np.flatnonzero(count > 1)
+    more = more[np.argsort(-count[more], kind="stable")]
+    c, q, k = count[more].astype(np.int64), weight[more], key[more]
+    t = np.maximum(out[more], 1)
+    steps = np.minimum(STEPS * c, MOST_STEPS)
+    single = int(np.searchsorted(-c, -SINGLE))  # dishes before it have more customers than SINGLE
+    for step in range(MOST_STEPS):
+        n = int(np.searchsorted(-steps, -step))  # those with more steps than this
+        if not n:
+            break
+        first, second = uniform(k[:n], 2 * (sweep * MOST_STEPS + step)), uniform(k[:n], 2 * (sweep * MOST_STEPS + step) + 1)
+        gone = alone(c[:n], t[:n], discount)
+        if single:
+            s = min(single, n)
+            leap = np.maximum(1, c[:s] // LEAP)
+            # tables fall as the power of the customers left that the discount is; new ones come at the rate half-way back
+            share = leap / c[:s]
+            down = np.minimum(events(gone[:s] * c[:s] * (1 - (1 - share) ** discount) / discount, first[:s]), t[:s] - 1)
+            left = t[:s] - down
+            up = events(leap * q[:s] / (q[:s] + np.maximum(c[:s] - leap / 2 - discount * left, 0.1)), second[:s])
+            t[:s] = np.minimum(left + np.minimum(up, leap), c[:s])
+        if n > single:
+            s = slice(single, n)
+            left = t[s] - (first[s] < gone[s])
+            t[s] = left + (second[s] * (q[s] + c[s] - 1 - discount * left) < q[s])
+    out[more] = t
+    return out
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Blocks of documents: block, names, held, sizes (tokens), words (sorted hashes), codes (places in words of the tokens)."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, null, held, codes, sizes, total, made = [], [], [], [], [], 0, 0
+        part = TaskContext.get().partitionId()
+
+        def block() -> pa.RecordBatch:
+            words, code = np.unique(np.concatenate(codes), return_inverse=True)
+            out = {"names": squeeze(np.concatenate(names)), "nulls": squeeze(np.concatenate(null)), "held": squeeze(np.concatenate(held)), "sizes": squeeze(np.concatenate(sizes)), "words": squeeze_sorted(words), "codes": squeeze(code.astype(np.uint32))}
+            return pa.RecordBatch.from_pydict({"block": pa.array([(part << 24) + made], pa.int64())} | {k: pa.array([v], pa.binary()) for k, v in out.items()})
+
+        for b in batches:
+            column, first = b.column("doc_id"), 0
+            own, flags = column.fill_null(0).to_numpy(), b.column("held").to_numpy(zero_copy_only=False)
+            for _, data, offsets in text_slices(b.column("text")):
+                data = lower_ascii(data)
+                starts, ends, bounds = word_bounds(data, offsets)
+                codes.append(np.insert(word_hashes(data, starts, ends), bounds[1:], END))
+                sizes.append((np.diff(bounds) + 1).astype(np.uint32))
+                rows = slice(first, first + len(offsets) - 1)
+                names.append(own[rows])
+                null.append(np.asarray(column.is_null())[rows].astype(np.uint8))
+                held.append(flags[rows].astype(np.uint8))
+                first, total = rows.stop, total + len(codes[-1])
+                if total >= BLOCK_TOKENS:
+                    yield block()
+                    names, null, held, codes, sizes, total, made = [], [], [], [], [], 0, made + 1
+        if codes:
+            yield block()
+
+    held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
+    return docs.select("doc_id", "text", held.alias("held")).mapInArrow(look, "block long, names binary, nulls binary, held binary, sizes binary, words binary, codes binary")
 
 
 class Block:
     """The tokens of a block of documents, with its distinct words and bigrams in the order of their hashes."""
 
     def __init__(self, part: pa.Table):
-        part = part.combine_chunks()
-        self.names = part.column("doc_id").combine_chunks() if part.num_rows else part.column("doc_id")
-        self.held = np.asarray(part.column("held").to_numpy())
-        codes, sizes = [], []
-        for _, data, offsets in text_slices(part.column("text")):
-            data = lower_ascii(data)
-            starts, ends, bounds = word_bounds(data, offsets)
-            codes.append(np.insert(word_hashes(data, starts, ends), bounds[1:], END))
-            sizes.append(np.diff(bounds) + 1)
-        token = np.concatenate(codes)
-        self.sizes = np.concatenate(sizes)
+        row = {c: part.column(c)[0].as_py() for c in part.column_names}
+        self.id = row["block"]
+        self.names, self.nulls = expand(row["names"], np.int64), expand(row["nulls"], np.uint8).astype(bool)
+        self.held, self.sizes = expand(row["held"], np.uint8).astype(bool), expand(row["sizes"], np.uint32).astype(np.int64)
+        words, code = expand_sorted(row["words"]), expand(row["codes"], np.uint32).astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        context = np.concatenate(([START], token[:-1]))
-        context[np.cumsum(self.sizes) - self.sizes] = START
-        self.words, word = np.unique(np.append(token, START), return_inverse=True)
-        self.word = word[:-1]
-        self.start = int(word[-1])
+        self.start = int(np.searchsorted(words, START))
+        self.words = words if self.start < len(words) and words[self.start] == START else np.insert(words, self.start, START)
+        self.word = code + ((code >= self.start) & (len(self.words) > len(words)))
         self.context = np.concatenate(([self.start], self.word[:-1]))
         self.context[np.cumsum(self.sizes) - self.sizes] = self.start
-        self.pairs, first, self.pair = np.unique(combine(context, token), return_index=True, return_inverse=True)
+        self.pairs, first, self.pair = np.unique(combine(self.words[self.context], self.words[self.word]), return_index=True, return_inverse=True)
         self.pair_context, self.pair_word = self.context[first], self.word[first]
         self.known = ~self.held[self.doc]
 
@@ -146,39 +207,34 @@ class Block:
         return out.astype(np.uint32)
 
 
-def spread(keys: np.ndarray, buckets: int, block: int, *columns: np.ndarray) -> pa.Table:
-    """Rows bucket, block, keys, a, b, c: sorted keys and values aligned to them, cut by bucket."""
+ASKED = "bucket int, block long, seats double, distinct long, keys binary, a binary, b binary, c binary"
+COLUMNS = ("a", "b", "c", "d")
+#: training tokens, distinct training words, the parent's customers, the parent's tables
+TOTALS = ("tokens", "distinct", "tables", "seats")
+ANSWER = "block long, sweep int, bucket int, a binary, b binary, c binary, d binary, tokens long, distinct long, tables double, seats double"
+
+
+def spread(keys: np.ndarray, buckets: int, block: int, *columns: np.ndarray, seats: float = 0.0, distinct: int = 0) -> pa.Table:
+    """Rows of ASKED: sorted keys and values aligned to them, cut by bucket."""
     edges = bucket_edges(keys, buckets)
     own = np.flatnonzero(np.diff(edges))
     cut = [(edges[i], edges[i + 1]) for i in own]
-    data = {"bucket": pa.array(own, pa.int32()), "block": pa.array(np.full(len(own), block), pa.int32()), "keys": pa.array([squeeze_sorted(keys[p:q]) for p, q in cut], pa.binary())}
+    n = len(own)
+    data = {"bucket": pa.array(own, pa.int32()), "block": pa.array(np.full(n, block), pa.int64()), "seats": pa.array(np.full(n, float(seats))), "distinct": pa.array(np.full(n, distinct), pa.int64()), "keys": pa.array([squeeze_sorted(keys[p:q]) for p, q in cut], pa.binary())}
     for name, values in zip("abc", [*columns, *[None] * (3 - len(columns))], strict=True):
-        data[name] = pa.array([squeeze(values[p:q]) for p, q in cut] if values is not None else [b""] * len(cut), pa.binary())
+        data[name] = pa.array([squeeze(values[p:q]) for p, q in cut] if values is not None else [b""] * n, pa.binary())
     return pa.table(data)
 
 
-ASKED = "bucket int, block int, keys binary, a binary, b binary, c binary"
-ANSWER = "block int, kind int, bucket int, a binary, b binary, c binary, tokens long, distinct long, tables double, seats double"
-
-
-#: training tokens, distinct training words, the parent's customers, the parent's tables
-TOTALS = ("tokens", "distinct", "tables", "seats")
-
-
-def answers(kind: int, bucket: int, part: pa.Table, results: list[list[np.ndarray]], totals: tuple[float, ...] | None = None) -> pa.Table:
-    rows = {"block": part.column("block").to_pylist(), "a": [], "b": [], "c": []}
-    for columns in results:
-        for name, values in zip("abc", columns, strict=True):
-            rows[name].append(squeeze(values))
-    n = len(results)
-    if totals is not None:  # a row for no block: the bucket's part of the totals
-        rows = {"block": [*rows["block"], -1]} | {k: [*rows[k], b""] for k in "abc"}
-    sums = [[0] * n + ([x] if totals is not None else []) for x in totals or (0, 0, 0.0, 0.0)]
-    kinds = {"block": pa.int32(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary()}
-    data = {k: pa.array(v, kinds[k]) for k, v in rows.items()}
-    size = len(data["block"])
-    data |= {"kind": pa.array([kind] * size, pa.int32()), "bucket": pa.array([bucket] * size, pa.int32())} | {k: pa.array(v, pa.int64() if k in TOTALS[:2] else pa.float64()) for k, v in zip(TOTALS, sums, strict=True)}
-    return pa.table({k: data[k] for k in ("block", "kind", "bucket", "a", "b", "c", *TOTALS)})
+def answers(sweep: int, bucket: int, part: pa.Table, results: list[list[np.ndarray]], totals: tuple[float, ...] | None = None) -> pa.Table:
+    """A row for each asking block; with totals also one for no block, the bucket's part of them."""
+    blocks = part.column("block").to_pylist()
+    rows = {c: [squeeze(r[i]) if i < len(r) else b"" for r in results] for i, c in enumerate(COLUMNS)}
+    if totals is not None:
+        blocks, rows = [*blocks, -1], {c: [*v, b""] for c, v in rows.items()}
+    n = len(blocks)
+    sums = {c: pa.array([0] * (n - 1) + [x] if totals is not None else [0] * n, pa.int64() if c in TOTALS[:2] else pa.float64()) for c, x in zip(TOTALS, totals or (0, 0, 0.0, 0.0), strict=True)}
+    return pa.table({"block": pa.array(blocks, pa.int64()), "sweep": pa.array([sweep] * n, pa.int32()), "bucket": pa.array([bucket] * n, pa.int32())} | {c: pa.array(v, pa.binary()) for c, v in rows.items()} | sums)
 
 
 def add_pairs(key: tuple, part: pa.Table) -> pa.Table:
@@ -193,72 +249,71 @@ def add_pairs(key: tuple, part: pa.Table) -> pa.Table:
     first = np.zeros(len(own), np.uint8)
     first[trained[at]] = 1
     cuts = np.cumsum([len(x) for x in asked])[:-1]
-    return answers(1, key[0].as_py(), part, [[a, b, np.zeros(0, np.uint8)] for a, b in zip(np.split(total[back], cuts), np.split(first, cuts), strict=True)])
-
+    return answers(-1, key[0].as_py(), part, [list(x) for x in zip(np.split(total[back], cuts), np.split(first, cuts), strict=True)])
 
-def parent_tables(customers: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Mean tables of each word in the parent, whose new tables weigh nearly its discount for any large vocabulary."""
-    return mean_tables(np.rint(customers).astype(np.int64), np.full(len(customers), PARENT_DISCOUNT), words, PARENT_DISCOUNT)
 
+def adding(sweep: int):
+    def add_words(key: tuple, part: pa.Table) -> pa.Table:
+        """Training count of each word, tables of its restaurant, and its customers and tables in the parent; totals of the bucket."""
+        part = part.sort_by("block")
+        asked = [expand_sorted(x) for x in part.column("keys").to_pylist()]
+        keys, back = np.unique(np.concatenate(asked), return_inverse=True)
+        count, tables, guests = (np.rint(np.bincount(back, np.concatenate([expand(x, np.uint32) for x in part.column(c).to_pylist()]), len(keys))).astype(np.int64) for c in "abc")
+        seats, distinct = part.column("seats")[0].as_py(), part.column("distinct")[0].as_py()
+        weight = (PARENT_STRENGTH + PARENT_DISCOUNT * seats) / (distinct + 1) if distinct else PARENT_DISCOUNT
+        own = seated(guests, np.minimum(guests, 1), np.full(len(keys), weight), keys, PARENT_DISCOUNT, sweep)
+        real = keys != START
+        cuts = np.cumsum([len(x) for x in asked])[:-1]
+        columns = [x.astype(np.uint32) for x in (count, tables, guests, own)]
+        return answers(sweep, key[0].as_py(), part, [list(x) for x in zip(*(np.split(c[back], cuts) for c in columns), strict=True)], (int(count[real].sum()), int((count[real] > 0).sum()), float(guests.sum()), float(own.sum())))
 
-def add_words(key: tuple, part: pa.Table) -> pa.Table:
-    """Training count of each word, tables of its restaurant, and its customers in the parent; totals of the bucket."""
-    part = part.sort_by("block")
-    asked = [expand_sorted(x) for x in part.column("keys").to_pylist()]
-    keys, back = np.unique(np.concatenate(asked), return_inverse=True)
-    sums = [np.bincount(back, np.concatenate([expand(x, kind) for x in part.column(c).to_pylist()])) for c, kind in (("a", np.uint32), ("b", np.float32), ("c", np.float32))]
-    count = np.rint(sums[0]).astype(np.int64)
-    real = keys != START
-    cuts = np.cumsum([len(x) for x in asked])[:-1]
-    columns = [count.astype(np.uint32), sums[1].astype(np.float32), sums[2].astype(np.float32)]
-    return answers(2, key[0].as_py(), part, [list(x) for x in zip(*(np.split(c[back], cuts) for c in columns), strict=True)], (int(count[real].sum()), int((count[real] > 0).sum()), float(columns[2].sum(dtype=float)), float(parent_tables(columns[2], keys).sum())))
+    return add_words
 
 
 class State:
-    """What a block knows: counts of its bigrams and words, tables, and the corpus totals.
-
-    ``kind`` is 2 for the last totals, 3 for those of the round before, which the last tables were drawn with.
-    """
+    """What a block knows: counts of its bigrams, and of each sweep the counts and tables of its words and the corpus totals."""
 
-    def __init__(self, block: Block, rows: pa.Table, which: int = 2):
+    def __init__(self, block: Block, rows: pa.Table):
         self.block = block
-        rows = rows.sort_by([("kind", "ascending"), ("bucket", "ascending")])
-        kind = np.asarray(rows.column("kind").to_numpy())
+        rows = rows.sort_by([("sweep", "ascending"), ("bucket", "ascending")])
+        sweep = np.asarray(rows.column("sweep").to_numpy())
 
         def column(own: int, name: str, form: type) -> np.ndarray:
-            parts = [expand(x, form) for x, k in zip(rows.column(name).to_pylist(), kind, strict=True) if k == own]
+            parts = [expand(x, form) for x, k in zip(rows.column(name).to_pylist(), sweep, strict=True) if k == own]
             return np.concatenate(parts) if parts else np.zeros(0, form)
 
-        self.count = column(1, "a", np.uint32).astype(np.int64)
-        self.first = column(1, "b", np.uint8).astype(bool)
-        at = np.flatnonzero(kind == which)
-        self.known = len(at) > 0
-        if self.known:
-            self.words = column(which, "a", np.uint32).astype(np.int64)
-            self.tables = column(which, "b", np.float32).astype(float)
-            self.parent = column(which, "c", np.float32).astype(float)
-            self.n, self.v, self.t, self.seats = (rows.column(c)[int(at[0])].as_py() for c in TOTALS)
-
-    def parent_chance(self) -> np.ndarray:
+        self.count = column(-1, "a", np.uint32).astype(np.int64)
+        self.first = column(-1, "b", np.uint8).astype(bool)
+        self.sweeps = []
+        for own in range(int(sweep.max()) + 1):
+            at = int(np.flatnonzero(sweep == own)[0])
+            self.sweeps.append([column(own, c, np.uint32).astype(np.int64) for c in COLUMNS] + [rows.column(c)[at].as_py() for c in TOTALS])
+
+    def parent_chance(self, sweep: int) -> np.ndarray:
         """Chance of each of the block's words in the shared parent restaurant."""
-        whole = PARENT_STRENGTH + self.t
-        seated = np.maximum(self.parent - PARENT_DISCOUNT * parent_tables(self.parent, self.block.words), 0)
-        return (seated + (PARENT_STRENGTH + PARENT_DISCOUNT * self.seats) / (self.v + 1)) / whole
+        _, _, guests, own, _, distinct, tables, seats = self.sweeps[sweep]
+        return (guests - PARENT_DISCOUNT * own + (PARENT_STRENGTH + PARENT_DISCOUNT * seats) / (distinct + 1)) / (PARENT_STRENGTH + tables)
 
-    def pair_tables(self) -> np.ndarray:
-        """Mean tables of each of the block's bigrams, drawn with these totals; one for each bigram without totals."""
+    def weight(self, sweep: int) -> np.ndarray:
+        """Weight of a new table for each of the block's bigrams."""
         b = self.block
-        if not self.known:
-            return np.minimum(self.count, 1).astype(float)
-        weight = (STRENGTH + DISCOUNT * self.tables[b.pair_context]) * self.parent_chance()[b.pair_word]
-        return mean_tables(self.count, weight, b.pairs, DISCOUNT)
+        return (STRENGTH + DISCOUNT * self.sweeps[sweep][1][b.pair_context]) * self.parent_chance(sweep)[b.pair_word]
+
+    def seatings(self) -> list[np.ndarray]:
+        """Tables of each of the block's bigrams at the start and after each sweep that the totals known allow."""
+        out = [np.minimum(self.count, 1)]
+        for sweep in range(len(self.sweeps)):
+            out.append(seated(self.count, out[-1], self.weight(sweep), self.block.pairs, DISCOUNT, sweep))
+        return out
 
-    def token_chances(self, tables: np.ndarray) -> np.ndarray:
-        """Predictive chance of each token; ``tables`` are those that the totals count."""
+    def token_chances(self) -> np.ndarray:
+        """Predictive chance of each token, the mean over the seatings after each sweep."""
         b = self.block
-        whole = STRENGTH + self.words[b.pair_context]
-        chance = (np.maximum(self.count - DISCOUNT * tables, 0) + (STRENGTH + DISCOUNT * self.tables[b.pair_context]) * self.parent_chance()[b.pair_word]) / whole
-        return chance[b.pair]
+        made = self.seatings()
+        chance = np.zeros(len(b.pairs))
+        for sweep in range(1, len(self.sweeps)):
+            chance += (self.count - DISCOUNT * made[sweep] + self.weight(sweep)) / (STRENGTH + self.sweeps[sweep][0][b.pair_context])
+        return (chance / (len(self.sweeps) - 1))[b.pair]
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -267,43 +322,36 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
-    One plan: the documents are dealt to their blocks once, and Spark reuses that exchange for every step.
+    One plan: the documents are packed into blocks once, and Spark reuses that exchange for every step.
     """
     n = partitions(docs.sparkSession)
-    held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
-    rows = docs.select("doc_id", "text", held.alias("held"), F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"))
+    rows = packed(docs)
 
     def ask_pairs(key: tuple, part: pa.Table) -> pa.Table:
         b = Block(part)
-        return spread(b.pairs, n, key[0].as_py(), b.pair_counts())
+        return spread(b.pairs, n, b.id, b.pair_counts())
 
     def ask_words(key: tuple, part: pa.Table, got: pa.Table) -> pa.Table:
         b = Block(part)
         state = State(b, got)
-        own = np.where(state.first, state.pair_tables(), 0.0)
-        context, word = (np.bincount(at, own, len(b.words)).astype(np.float32) for at in (b.pair_context, b.pair_word))
-        return spread(b.words, n, key[0].as_py(), b.word_counts(), context, word)
+        own = np.where(state.first, state.seatings()[-1], 0)
+        context, word = (np.bincount(at, own, len(b.words)).astype(np.uint32) for at in (b.pair_context, b.pair_word))
+        _, _, _, _, _, distinct, _, seats = state.sweeps[-1] if state.sweeps else [0] * 8
+        return spread(b.words, n, b.id, b.word_counts(), context, word, seats=seats, distinct=distinct)
 
     def final(key: tuple, part: pa.Table, got: pa.Table) -> pa.Table:
         b = Block(part)
         state = State(b, got)
-        per_doc = [np.bincount(b.doc, x, len(b.sizes)) for x in (np.log10(state.token_chances(State(b, got, 3).pair_tables())), np.log10((state.words[b.word] + 1) / (state.n + (state.v + 1))), state.words[b.word] > 0)]
-        size = len(b.sizes)
-        return pa.table({"doc_id": b.names, "held_out": pa.array(b.held), "n_tokens": pa.array(b.sizes.astype(np.int64)), "n_known": pa.array(np.rint(per_doc[2]).astype(np.int64)), "train_tokens": pa.array(np.full(size, state.n), pa.int64()), "base_score": pa.array(per_doc[1]), "score": pa.array(per_doc[0])})
+        words, _, _, _, tokens, distinct, _, _ = state.sweeps[-1]
+        per_doc = [np.bincount(b.doc, x, len(b.sizes)) for x in (np.log10(state.token_chances()), np.log10((words[b.word] + 1) / (tokens + (distinct + 1))), words[b.word] > 0)]
+        return pa.table({"doc_id": pa.array(b.names, pa.int64(), mask=b.nulls), "held_out": pa.array(b.held), "n_tokens": pa.array(b.sizes), "n_known": pa.array(np.rint(per_doc[2]).astype(np.int64)), "train_tokens": pa.array(np.full(len(b.sizes), tokens), pa.int64()), "base_score": pa.array(per_doc[1]), "score": pa.array(per_doc[0])})
 
     def with_totals(found: DataFrame) -> DataFrame:
-        sums = found.where("block < 0").groupBy("kind").agg(*(F.sum(c).alias(c) for c in TOTALS))
-        return found.where("block >= 0").drop(*TOTALS).join(F.broadcast(sums), "kind").select("block", "kind", "bucket", "a", "b", "c", *TOTALS)
+        sums = found.where("block < 0").groupBy("sweep").agg(*(F.sum(c).alias(c) for c in TOTALS))
+        return found.where("block >= 0").drop(*TOTALS).join(F.broadcast(sums), "sweep").select("block", "sweep", "bucket", *COLUMNS, *TOTALS)
 
-    pairs = rows.groupBy("block").applyInArrow(ask_pairs, ASKED).groupBy("bucket").applyInArrow(add_pairs, ANSWER)
-    last, before = None, None
-    for _ in range(ROUNDS + 1):
-        known = pairs if last is None else pairs.union(last)
+    known = rows.groupBy("block").applyInArrow(ask_pairs, ASKED).groupBy("bucket").applyInArrow(add_pairs, ANSWER)
+    for sweep in range(SWEEPS + 1):
         asked = rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(ask_words, ASKED)
-        last, before = with_totals(asked.groupBy("bucket").applyInArrow(add_words, ANSWER)), last
-    known = pairs.union(last)
-    if before is not None:
-        known = known.union(before.withColumn("kind", F.lit(3)))
+        known = known.union(with_totals(asked.groupBy("bucket").applyInArrow(adding(sweep), ANSWER)))
     return rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(final, RESULT)
-
-
