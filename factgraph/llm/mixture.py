@@ -12,8 +12,9 @@ Targets: the sources in code-point order (null last) weigh 5, 2, 1, repeating; t
 share the words of all documents, and a source stops at ``MAX_EPOCHS`` times its
 words while the others share the excess by weight.
 
-A null text has size 0; a null source is a source of its own; repeated rows of a
-doc_id are summed up before mixing; an empty table gives no rows. A shard has about
+A null text has size 0; a null source is a source of its own; of the rows of a doc_id in
+one source the one with most words (then the largest hash of the text) counts, once; an
+empty table gives no rows; other columns can have any name. A shard has about
 ``SHARD_DOCS`` documents, whatever the input, so a hot source is split over all
 shards; the driver holds one number for each weight round, never a row.
 """
@@ -40,10 +41,10 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, key (never null), size (words); one row for each doc_id and source."""
+    """doc_id, source, key (never null), size (words) and code (hash) of the text that counts, rows; one row for each doc_id and source."""
     words = F.size(F.filter(F.split(text_or_empty(), "[ \\x09-\\x0D]+"), lambda w: w != ""))
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
-    return docs.select("doc_id", "source", key.alias("key"), words.cast("long").alias("size")).groupBy("doc_id", "source", "key").agg(F.sum("size").alias("size"))
+    return docs.select("doc_id", "source", key.alias("key"), F.struct(words.cast("long").alias("size"), F.xxhash64("text").alias("code")).alias("text")).groupBy("doc_id", "source", "key").agg(F.max("text").alias("text"), F.count("*").alias("rows")).select("doc_id", "source", "key", "text.size", "text.code", "rows")
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -77,7 +78,7 @@ def apportion(votes: np.ndarray, seats: int) -> np.ndarray:
 
 
 def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and pieces for every document.
+    """doc_id, source, size, source_size, target, taken, pieces, and code and rows of its text for every document.
 
     ``pieces`` are the runs of words (first, words) that the last, partial pass takes; whole passes are taken // size.
     """
@@ -96,12 +97,12 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS) -> Da
         return pa.table({"shard": rows.column("shard"), "key": rows.column("key"), "quota": pa.array(won)})
 
     quota = plan.groupBy("shard").applyInArrow(quotas, "shard long, key string, quota long")
-    rows = cell.join(quota, ["shard", "key"]).select("shard", "key", "source", "doc_id", "size", "quota")
+    rows = cell.join(quota, ["shard", "key"]).select("shard", "key", "source", "doc_id", "size", "code", "rows", "quota")
 
     def select(key: tuple, rows: pa.Table) -> pa.Table:
         names = np.asarray(rows.column("doc_id").fill_null(-1).to_numpy())
         size = np.asarray(rows.column("size").to_numpy())
-        order = np.lexsort((names, seeded(names, seed)))
+        order = np.lexsort((np.asarray(rows.column("doc_id").is_null()), names, seeded(names, seed)))
         ends = np.cumsum(size[order])
         total = int(ends[-1])
         quota = int(rows.column("quota")[0].as_py())
@@ -131,33 +132,49 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS) -> Da
                 at, until = begins[i], ends[i]
                 own = np.flatnonzero(chosen[at // block_words : -(-until // block_words)]) + at // block_words
                 pieces[i] = [{"first": int(max(at, b * block_words) - at), "words": int(min(until, (b + 1) * block_words) - max(at, b * block_words))} for b in own]
-        return pa.table({"key": rows.column("key"), "source": rows.column("source"), "doc_id": rows.column("doc_id").take(order), "size": pa.array(size[order]), "taken": pa.array(taken), "pieces": pa.array(pieces, pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())])))})
+        return pa.table({"key": rows.column("key"), "source": rows.column("source"), "doc_id": rows.column("doc_id").take(order), "size": pa.array(size[order]), "code": rows.column("code").take(order), "rows": rows.column("rows").take(order), "taken": pa.array(taken), "pieces": pa.array(pieces, pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())])))})
 
-    picked = rows.groupBy("shard", "key").applyInArrow(select, "key string, source string, doc_id long, size long, taken long, pieces array<struct<first: long, words: long>>")
-    return picked.join(goal, "key").select("doc_id", "source", "size", "source_size", "target", "taken", "pieces")
+    picked = rows.groupBy("shard", "key").applyInArrow(select, "key string, source string, doc_id long, size long, code long, rows long, taken long, pieces array<struct<first: long, words: long>>")
+    return picked.join(goal, "key").select("doc_id", "source", "size", "source_size", "target", "taken", "pieces", "code", "rows")
+
+
+def cut(text: str, pieces: list[dict]) -> str:
+    """The words of the pieces with what stands between them in the text; a line break where words are left out."""
+    at = [m.span() for m in WORD.finditer(text)]
+    runs: list[list[int]] = []
+    for p in pieces:
+        if runs and runs[-1][1] == p["first"]:
+            runs[-1][1] += p["words"]
+        else:
+            runs.append([p["first"], p["first"] + p["words"]])
+    return "\n".join(text[at[a][0] : at[b - 1][1]] for a, b in runs)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each whole pass over a document, and one for the words of a partial pass."""
-    plan = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), "pieces", F.expr("taken div size").cast("int").alias("_passes"))
     names = docs.columns
-    joined = docs.join(plan, (F.col("doc_id") == F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source"))).select(*names, "pieces", "_passes")
+    doc, source, pieces, passes, code, rows = (next(n for i in range(len(names) + 1) if (n := f"_{c}{i}") not in names) for c in ("doc", "source", "pieces", "passes", "code", "rows"))
+    plan = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("pieces").alias(pieces), F.expr("taken div size").cast("int").alias(passes), F.col("code").alias(code), F.col("rows").alias(rows))
+    found = docs.join(plan, F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source)) & (F.xxhash64("text") == F.col(code)))
+    # only repeated rows have to be dealt out by their document
+    found = found.where(F.col(rows) == 1).unionByName(found.where(F.col(rows) > 1).dropDuplicates([doc, source])).select(*names, pieces, passes)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, texts = [], []
-            for i, (text, pieces, passes) in enumerate(zip(*(b.column(c).to_pylist() for c in ("text", "pieces", "_passes")), strict=True)):
-                if pieces:
-                    words = WORD.findall(text)
-                    texts.append(" ".join(w for p in pieces for w in words[p["first"] : p["first"] + p["words"]]))
+            for i, (text, own, n) in enumerate(zip(*(b.column(c).to_pylist() for c in ("text", pieces, passes)), strict=True)):
+                if own:
+                    texts.append(cut(text, own))
                     at.append(i)
-                texts += [text] * passes
-                at += [i] * passes
-            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
-            rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c).take(rows) for c in names], names=names)
-
-    return joined.mapInArrow(build, docs.schema)
+                texts += [text] * n
+                at += [i] * n
+            new = {"text": pa.array(texts, pa.string())}
+            if "n_chars" in names:
+                new["n_chars"] = pa.array([len(t) for t in texts], b.column("n_chars").type)
+            taken = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c).take(taken) for c in names], names=names)
+
+    return found.mapInArrow(build, docs.schema)
 
 
 def seeded(values: np.ndarray, seed: int) -> np.ndarray:
