@@ -1,6 +1,6 @@
 """Quality rules: exact counters and a hashed n-gram logistic model over whole texts.
 
-The model reads word unigrams and bigrams and byte 3- and 4-grams of every text,
+The model reads word unigrams and bigrams and character 3- and 4-grams of every text,
 hashed to ``BUCKETS`` places; a feature's value is its share of the text's n-grams
 of that kind. It is fitted on at most ``TRAIN_ROWS`` labelled documents (those with
 the smallest hashes of doc_id; a fifth of them calibrates the probability) and
@@ -97,6 +97,16 @@ def counters(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarra
     }, words, bounds
 
 
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the bytes, and where the rows begin in them; a byte that isn't UTF-8 is one replacement point or more."""
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    at = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
+    if len(points) == at[-1]:
+        return points, at
+    rows = [np.frombuffer(data[p:q].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for p, q in zip(offsets[:-1], offsets[1:], strict=True)]
+    return np.concatenate([*rows, np.zeros(0, np.uint32)]), np.concatenate(([0], np.cumsum([len(x) for x in rows])))
+
+
 def buckets(data: np.ndarray, offsets: np.ndarray, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(bucket of every n-gram, row offsets in them) for each kind of n-gram; none crosses rows."""
     mask = np.uint64(BUCKETS // 4 - 1)
@@ -105,15 +115,15 @@ def buckets(data: np.ndarray, offsets: np.ndarray, words: np.ndarray, bounds: np
     same = rows[1:] == rows[:-1]
     got = combine(words[:-1], words[1:])[same] if len(words) > 1 else words[:0]
     yield (got & mask).astype(np.int64) + BUCKETS // 4, np.concatenate(([0], np.cumsum(np.maximum(np.diff(bounds) - 1, 0))))
-    wide = data.astype(np.uint32)
+    wide, offsets = code_points(data, offsets)
     for kind, n in ((2, 3), (3, 4)):
         count = np.maximum(np.diff(offsets) - n + 1, 0)
-        if len(data) < n:
+        if len(wide) < n:
             yield np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
             continue
-        gram = wide[: len(data) - n + 1].copy()
+        gram = wide[: len(wide) - n + 1].copy()
         for i in range(1, n):
-            gram = gram * np.uint32(256) + wide[i : len(data) - n + 1 + i]
+            gram = gram * np.uint32(16777619) + wide[i : len(wide) - n + 1 + i]
         spread = (gram * np.uint32(2654435769)) >> np.uint32(16)
         keep = np.ones(len(gram) + n - 1, bool)
         for i in range(1, n):

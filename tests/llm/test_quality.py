@@ -40,3 +40,23 @@ def test_one_class_and_empty(spark, docs, empty):
     assert quality.train(docs, labels) is None
     assert quality.train(empty, labels) is None
     assert quality.assess(empty, None).count() == 0
+
+
+def test_character_grams_are_of_whole_characters():
+    import numpy as np
+    import pyarrow as pa
+
+    from factgraph.llm.words import text_slices
+
+    texts = ["aé日b😀c", "日é", None, "abcd"]
+    _, data, offsets = next(iter(text_slices(pa.array(texts))))
+    _, words, bounds = quality.counters(data, offsets)
+    for n, (got, at) in zip((3, 4), list(quality.buckets(data, offsets, words, bounds))[2:], strict=True):
+        assert np.diff(at).tolist() == [max(0, len(t or "") - n + 1) for t in texts]
+        grams = {}
+        for r, t in enumerate(texts):
+            for i, bucket in enumerate(got[at[r] : at[r + 1]].tolist()):
+                grams.setdefault((t or "")[i : i + n], set()).add(bucket)
+        assert all(len(b) == 1 for b in grams.values()) and len({min(b) for b in grams.values()}) == len(grams)
+    points, at = quality.code_points(np.frombuffer(b"a\xff\x80bc\xc3", np.uint8), np.array([0, 3, 6]))
+    assert at[-1] == len(points)
