@@ -35,13 +35,53 @@ def mapped_symbols(anchors: DataFrame, symbol_ranges: DataFrame) -> DataFrame:
     return a.join(symbol_ranges, (a["a_file"] == symbol_ranges["file_path"]) & relation.isNotNull()).select("anchor_id", "symbol_identity", "role", relation.alias("relation")).distinct()
 
 
-def mapping_status(anchors: DataFrame, matches: DataFrame, scope: DataFrame, max_candidates: int = 128) -> DataFrame:
-    """Status and reason of each anchor: mapped, unresolved, truncated, not_applicable; anchors may lack path or range."""
-    n = matches.groupBy("anchor_id").agg(F.count_distinct("symbol_identity").alias("n"), F.bool_or(F.col("relation") != "intersecting").alias("held"))
-    rows = anchors.join(n, "anchor_id", "left").join(scope.select(F.col("path").alias("file_path"), F.lit(True).alias("covered")).distinct(), "file_path", "left")
-    reason = F.when(F.col("file_path").isNull(), "file_absent").when(F.col("start_line").isNull(), "no_edit_range").when(F.col("covered").isNull(), "scope_insufficient").when(F.col("n").isNull(), "no_match").when(F.col("n") > max_candidates, "limit").when(~F.col("held"), "no_enclosing")
-    status = F.when(F.col("file_path").isNull(), "not_applicable").when(reason.isin("no_edit_range", "scope_insufficient", "no_match"), "unresolved").when(reason == "limit", "truncated").otherwise("mapped")
-    return rows.select("anchor_id", status.alias("status"), reason.alias("reason"), F.coalesce("n", F.lit(0)).cast("long").alias("candidates"), (F.coalesce("n", F.lit(0)) > 1).alias("ambiguous"))
+def mapping_status(anchors: DataFrame, matches: DataFrame, sides: DataFrame, files: DataFrame, symbol_counts: DataFrame | None = None, max_candidates: int = 128, max_ranges: int = 512, max_files: int = 128, max_symbols: int = 10_000) -> DataFrame:
+    """Status and reason of each anchor: anchor_id, status, reason, candidates, ambiguous.
+
+    anchors: anchor_id, ordinal, side, file_path (null if the file isn't on this side), start_line, end_line (null without an
+    edit); sides: side, revision, session, bound (whether the session is of that revision); files: side, path, in_scope,
+    fingerprinted, language_ok, readable, lines; symbol_counts: side, path, symbols.
+
+    Reasons in the order they are looked at: file_absent_on_side (not_applicable); revision_absent, session_absent,
+    binding_mismatch, no_edit_range (unresolved); mapping_limit beyond max_ranges (truncated); scope_insufficient,
+    source_not_fingerprinted (unresolved); mapping_limit beyond max_files (truncated); unsupported_language (unsupported);
+    backend_failure (failure); range_outside_source (unresolved); mapping_limit of symbols or candidates (truncated);
+    no_proven_extent (unresolved); intersection_only and null (mapped).
+    """
+    c = F.col
+    n = matches.groupBy("anchor_id").agg(F.count_distinct("symbol_identity").alias("n"), F.bool_or(c("relation") != "intersecting").alias("held"))
+    rows = anchors.join(n, "anchor_id", "left").join(F.broadcast(sides), "side", "left").join(files.select("side", c("path").alias("file_path"), F.lit(True).alias("known"), "in_scope", "fingerprinted", "language_ok", "readable", "lines"), ["side", "file_path"], "left")
+    if symbol_counts is not None:
+        rows = rows.join(symbol_counts.select("side", c("path").alias("file_path"), "symbols"), ["side", "file_path"], "left")
+    else:
+        rows = rows.withColumn("symbols", F.lit(0))
+    no = lambda x: ~F.coalesce(x, F.lit(False))
+    asked = (c("ordinal") <= max_ranges) & c("start_line").isNotNull() & F.coalesce(c("in_scope") & c("fingerprinted"), F.lit(False))
+    # a side reads at most so many files, in the order in which anchors ask for them
+    first = rows.where(asked).groupBy("side", "file_path").agg(F.min("ordinal").alias("first_asked"))
+    placed = first.withColumn("file_no", F.row_number().over(Window.partitionBy("side").orderBy("first_asked", "file_path")))
+    rows = rows.join(placed.select("side", "file_path", "file_no"), ["side", "file_path"], "left")
+    place = lambda line: (line >= 1) & (line <= c("lines") + 1)
+    reason = (
+        F.when(c("file_path").isNull(), "file_absent_on_side").when(c("revision").isNull(), "revision_absent").when(no(c("session")), "session_absent").when(no(c("bound")), "binding_mismatch").when(c("start_line").isNull(), "no_edit_range")
+        .when(c("ordinal") > max_ranges, "mapping_limit").when(no(c("in_scope")), "scope_insufficient").when(no(c("fingerprinted")), "source_not_fingerprinted").when(c("file_no") > max_files, "mapping_limit").when(no(c("language_ok")), "unsupported_language")
+        .when(no(c("readable")), "backend_failure").when(~(place(c("start_line")) & place(c("end_line"))), "range_outside_source").when((F.coalesce("symbols", F.lit(0)) > max_symbols) | (F.coalesce("n", F.lit(0)) > max_candidates), "mapping_limit")
+        .when(c("n").isNull(), "no_proven_extent").when(~c("held"), "intersection_only")
+    )
+    status = F.when(reason == "file_absent_on_side", "not_applicable").when(reason == "mapping_limit", "truncated").when(reason == "unsupported_language", "unsupported").when(reason == "backend_failure", "failure").when(reason.isNull() | (reason == "intersection_only"), "mapped").otherwise("unresolved")
+    found = F.when(status.isin("mapped", "truncated") & (c("ordinal") <= max_ranges), F.coalesce("n", F.lit(0))).otherwise(0).cast("long")
+    return rows.select("anchor_id", status.alias("status"), reason.alias("reason"), found.alias("candidates"), (found > 1).alias("ambiguous"))
+
+
+def mapping_seeds(statuses: DataFrame, matches: DataFrame, anchors: DataFrame) -> DataFrame:
+    """side, seed_kind and key of the symbols that mapped ranges touch: what each side's retrieval starts from."""
+    good = statuses.where("status in ('mapped', 'truncated')").select("anchor_id")
+    return matches.join(good, "anchor_id", "left_semi").join(anchors.select("anchor_id", "side"), "anchor_id").select("side", F.lit("symbol").alias("seed_kind"), F.col("symbol_identity").alias("key")).distinct()
+
+
+def reverse_dependencies(dependencies: DataFrame) -> DataFrame:
+    """path and the sorted units that depend on it."""
+    return dependencies.groupBy("path").agg(F.array_sort(F.collect_set("tu")).alias("units"))
 
 
 def impact(changes: DataFrame, contexts: DataFrame, dependencies: DataFrame, config_inputs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions import ranges
@@ -102,6 +102,28 @@ def tested_symbols(test_references: DataFrame) -> DataFrame:
     return test_references.groupBy("case_identity", "symbol_identity").agg(F.array_sort(F.collect_set(F.struct(*RANGE))).alias("references"))
 
 
+def referenced_symbols(test_references: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """case_identity and identity of the symbols that each case refers to directly (those of ``symbols``, if given)."""
+    own = test_references.select("case_identity", F.col("symbol_identity").alias("identity")).distinct()
+    return own if symbols is None else own.join(symbols.select("identity"), "identity", "left_semi").select("case_identity", "identity")
+
+
+def at_exact_range(references: DataFrame, evidence: DataFrame) -> DataFrame:
+    """References whose whole range equals an evidence's range, with the evidence's other columns."""
+    return references.join(evidence, RANGE)
+
+
+def nearest_before(rows: DataFrame, group: list[str], order: str, is_declaration: Column, at: str) -> DataFrame:
+    """Adds ``at``: the order of the last declaration before each row of its group, in one ordered pass."""
+    before = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(at, F.last(F.when(is_declaration, F.col(order)), ignorenulls=True).over(before))
+
+
+def mixed_kinds(entities: DataFrame) -> DataFrame:
+    """Identities that are both a fixture and a case."""
+    return entities.where("kind = 'fixture'").select("identity").intersect(entities.where("kind = 'case'").select("identity"))
+
+
 def merge_facts(facts: DataFrame) -> DataFrame:
     """Union of the items of each (identity, kind), sorted."""
     return facts.groupBy("identity", "kind").agg(F.array_sort(F.collect_set("item")).alias("items"))

@@ -52,7 +52,61 @@ def suite_summary(cases: DataFrame, metrics: list[str]) -> DataFrame:
     return cases.agg(F.count("*").alias("cases"), *(F.avg(m).alias(f"mean_{m}") for m in metrics), *(F.count(m).alias(f"n_{m}") for m in metrics))
 
 
-def failure_classes(cases: DataFrame) -> DataFrame:
-    """Classes of what went wrong in each case, comma-joined: execution_error, empty_result, missing, unexpected, late."""
-    found = F.array_compact(F.array(F.when(F.col("error"), "execution_error"), F.when(~F.col("error") & (F.col("n_observed") == 0) & (F.col("n_expected") > 0), "empty_result"), F.when((F.col("missing") > 0) & (F.col("n_observed") > 0), "missing_items"), F.when(F.col("unexpected") > 0, "unexpected_items"), F.when(F.col("first_rank") > 10, "late_first_match")))
-    return cases.select("case_id", F.array_join(found, ",").alias("failures"))
+#: Classes of failures of a case, in the order they are told: what kept it from running, then what its results lack or have too much.
+ERRORS = ("query_rejected", "backend_unavailable", "backend_failure", "index_failure", "unexpected_error")
+DIMENSIONS = ("file", "symbol", "test", "relation")
+
+
+def failure_classes(cases: DataFrame, expected: DataFrame, observed: DataFrame) -> DataFrame:
+    """case_id and its failures, comma-joined in a fixed order (15 classes).
+
+    cases: case_id, error (of ERRORS, null if it ran), evaluated (dimensions that have an annotation, maybe an empty one);
+    expected, observed: case_id, dimension (of DIMENSIONS), item, and for symbols identity and name. A case that didn't run
+    has its error alone. Only relations are wrong by every item too many; of other dimensions only where none is expected.
+    A symbol of which only the identity or only the name is right is a mismatch.
+    """
+    own = lambda rows, flag: rows.select("case_id", "dimension", "item", F.lit(1).alias(flag)).distinct()
+    both = own(expected, "want").join(own(observed, "have"), ["case_id", "dimension", "item"], "full")
+    each = both.groupBy("case_id", "dimension").agg(F.count("want").alias("wanted"), F.count("have").alias("had"), F.count_if(F.col("have").isNull()).alias("missing"), F.count_if(F.col("want").isNull()).alias("extra"))
+    of = lambda d, c: F.coalesce(F.max(F.when(F.col("dimension") == d, F.col(c))), F.lit(0)).alias(f"{d}_{c}")
+    counts = each.groupBy("case_id").agg(*(of(d, c) for d in DIMENSIONS for c in ("wanted", "had", "missing", "extra")))
+    want, have = (rows.where("dimension = 'symbol'").select("case_id", F.col("identity").alias(f"{n}_identity"), F.col("name").alias(f"{n}_name")).distinct() for rows, n in ((expected, "want"), (observed, "have")))
+    half = want.join(have, "case_id").where("(want_identity = have_identity) <> (want_name = have_name)").select("case_id", F.lit(True).alias("half")).distinct()
+    rows = cases.join(counts, "case_id", "left").join(half, "case_id", "left").na.fill(0)
+    c = F.col
+    had, wanted = (sum((c(f"{d}_{n}") for d in DIMENSIONS[1:]), c(f"file_{n}")) for n in ("had", "wanted"))
+    judged = lambda d: F.array_contains("evaluated", d)
+    tests = [("empty_result", (had == 0) & (wanted > 0))]
+    for d in ("file", "symbol", "test"):
+        tests.append((f"target_{d}_miss", judged(d) & (c(f"{d}_missing") > 0)))
+        if d == "symbol":
+            tests.append(("symbol_identity_mismatch", judged(d) & F.coalesce(c("half"), F.lit(False))))
+        tests.append((f"unexpected_{d}", judged(d) & (c(f"{d}_wanted") == 0) & (c(f"{d}_had") > 0)))
+    tests += [("direct_relation_miss", judged("relation") & (c("relation_missing") > 0)), ("unexpected_direct_relation", judged("relation") & (c("relation_extra") > 0))]
+    found = F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t in tests)))
+    return rows.select("case_id", F.when(c("error").isNotNull(), c("error")).otherwise(F.array_join(found, ",")).alias("failures"))
+
+
+def coverage_counts(rows: DataFrame, by: list[str], size: str) -> DataFrame:
+    """How many rows, and how much of ``size``, each group has in each status: not_covered (null), complete (1) or partial."""
+    status = F.when(F.col("covered").isNull(), "not_covered").when(F.col("covered") == 1, "complete").otherwise("partial")
+    return rows.groupBy(*by, status.alias("status")).agg(F.count("*").alias("n"), F.sum(size).alias(size))
+
+
+def relation_summary(cases: DataFrame, states: DataFrame) -> DataFrame:
+    """One row: cases, pooled relation coverage (1 without targets), mean chain score and counts of traces, missing and incorrect relations.
+
+    cases: case_id, expected, present, missing, incorrect; states: case_id, chain_correct (null for a case that is no trace).
+    """
+    rows = cases.join(states, "case_id", "full")
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return rows.agg(F.count("*").alias("cases"), F.count("chain_correct").alias("traces"), F.coalesce(F.avg("chain_correct"), F.lit(0.0)).alias("chain_accuracy"), F.coalesce(F.try_divide(n("present").cast("double"), n("expected").cast("double")), F.lit(1.0)).alias("relation_coverage"), n("missing").alias("missing"), n("incorrect").alias("incorrect"))
+
+
+def label_counts(cases: DataFrame, columns: list[str]) -> DataFrame:
+    """what, label and n: how often each label stands in array columns (statuses, gaps, failures) over all cases."""
+    parts = [cases.select(F.lit(c).alias("what"), F.explode(c).alias("label")) for c in columns]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.groupBy("what", "label").agg(F.count("*").alias("n"))

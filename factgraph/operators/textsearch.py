@@ -77,8 +77,10 @@ def _literal(rows: DataFrame, text: str) -> DataFrame:
 
 def _folded(rows: DataFrame, text: str) -> DataFrame:
     """An ASCII literal in any case; lines where lower-casing moves positions go the slow way."""
-    low = F.transform(F.split("line_text", ""), lambda c: F.when(F.length(F.lower(c)) == 1, F.lower(c)).otherwise(c))
-    folded = rows.withColumn("low", F.array_join(low, "")).where(F.col("low").contains(text.lower()))
+    whole = F.lower("line_text")
+    slow = F.array_join(F.transform(F.split("line_text", ""), lambda c: F.when(F.length(F.lower(c)) == 1, F.lower(c)).otherwise(c)), "")
+    hit = rows.where(whole.contains(text.lower()))
+    folded = hit.withColumn("low", F.when(F.length(whole) == F.length("line_text"), whole).otherwise(slow)).where(F.col("low").contains(text.lower()))
     pieces = F.split("low", "\\Q" + text.lower() + "\\E")
     ends = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.array().cast("array<struct<at:int,size:int>>"), lambda done, p: F.concat(done, F.array(F.struct((F.coalesce(F.try_element_at(done, F.lit(-1))["at"] + len(text), F.lit(0)) + F.length(p)).cast("int").alias("at"), F.lit(len(text)).alias("size")))))
     return _placed(folded, ends)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factgraph.functions import identity, paths, ranges
-from factgraph.operators import changes, expansion, graph, index, metrics, retrieval, rules, snippets, textsearch, traces
+from factgraph.operators import changes, expansion, graph, index, materialize, metrics, retrieval, rules, snippets, textsearch, traces
 from factgraph.plans.projection import fact, oracle
 from factgraph.sources import diffs, files, graphs, tests
 
@@ -227,7 +227,7 @@ def tested_symbol_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT case_identity, count(DISTINCT symbol_identity) AS symbols FROM ({NEAREST}) x WHERE case_identity IS NOT NULL GROUP BY case_identity", "event_references", "test_case_bodies")
 def symbols_referenced_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contained(spark, sf_dir).groupBy("case_identity").agg(F.count_distinct("symbol_identity").alias("symbols"))
+    return index.referenced_symbols(contained(spark, sf_dir)).groupBy("case_identity").agg(F.count("*").alias("symbols"))
 
 
 @query(f"SELECT DISTINCT case_identity FROM ({NEAREST}) x WHERE case_identity IS NOT NULL AND symbol_identity = 'type:error'", "event_references", "test_case_bodies")
@@ -238,10 +238,7 @@ def cases_for_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c.event_id, (SELECT max(v.line) FROM event_lines v WHERE v.user_id = c.user_id AND v.event_type = 'view' AND v.line < c.line) AS declared_line FROM event_lines c WHERE c.event_type = 'purchase'", "event_lines")
 def preceding_declaration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest view before each purchase: one ordered pass over a user's lines instead of a range join."""
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("user_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    rows = fact(spark, sf_dir, "event_lines").withColumn("declared_line", F.last(F.when(F.col("event_type") == "view", F.col("line")), ignorenulls=True).over(before))
+    rows = index.nearest_before(fact(spark, sf_dir, "event_lines"), ["user_id"], "line", F.col("event_type") == "view", "declared_line")
     return rows.where("event_type = 'purchase'").select("event_id", "declared_line")
 
 
@@ -288,7 +285,7 @@ def merge_semantic_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exact_range_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References whose whole range equals an evidence's range."""
     evidence = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_returnflag = 'R'").select(F.concat(F.lit("order/"), "l_orderkey").alias("file_path"), F.col("l_linenumber").cast("long").alias("start_line"), F.lit(1).cast("long").alias("start_column"), F.col("l_linenumber").cast("long").alias("end_line"), F.lit(5).cast("long").alias("end_column")).distinct()
-    return fact(spark, sf_dir, "symbol_references").join(evidence, list(ranges.FIELDS)).groupBy("symbol_identity", "file_path", "start_line").agg(F.count("*").alias("matches"))
+    return index.at_exact_range(fact(spark, sf_dir, "symbol_references"), evidence).groupBy("symbol_identity", "file_path", "start_line").agg(F.count("*").alias("matches"))
 
 
 # --- graph
@@ -312,20 +309,20 @@ def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.dangling_edges(nodes_of(spark, sf_dir).join(part, "key", "left_anti"), fact(spark, sf_dir, "edges")).select("src_key", "dst_key", "relation", "missing")
 
 
-PROJECTION = """SELECT 'edge' AS what, relation AS kind, count(*) AS n FROM (SELECT DISTINCT 'define' AS relation, file_path, symbol_identity, start_line, start_column, end_line, end_column FROM symbol_ranges WHERE role = 'definition'
+TESTED = f"(SELECT case_identity, symbol_identity, file_path, start_line FROM ({NEAREST}) x WHERE case_identity IS NOT NULL AND start_line < (SELECT end_line FROM test_case_bodies b WHERE b.case_identity = x.case_identity)) t"
+PROJECTION = f"""SELECT 'edge' AS what, relation AS kind, count(*) AS n FROM (SELECT DISTINCT 'define' AS relation, file_path, symbol_identity, start_line, start_column, end_line, end_column FROM symbol_ranges WHERE role = 'definition'
     UNION ALL SELECT DISTINCT 'declare', file_path, symbol_identity, start_line, start_column, end_line, end_column FROM symbol_ranges WHERE role = 'declaration' UNION ALL SELECT 'reference', file_path, symbol_identity, start_line, start_column, end_line, end_column FROM symbol_references
     UNION ALL SELECT 'call', source_identity, target_identity, 0, 0, 0, 0 FROM symbol_relations UNION ALL SELECT 'test', fixture_identity, case_identity, 0, 0, 0, 0 FROM test_fixture_cases
-    UNION ALL SELECT 'test', concat('case:', 1), symbol_identity, 0, 0, 0, 0 FROM event_references WHERE start_line < 3) GROUP BY relation
+    UNION ALL SELECT DISTINCT 'test', case_identity, symbol_identity, start_line, hash(file_path), 0, 0 FROM {TESTED}) GROUP BY relation
     UNION ALL SELECT 'node', kind, count(*) FROM (SELECT CASE kind WHEN 'function' THEN 'function' WHEN 'class' THEN 'class' WHEN 'struct' THEN 'class' ELSE 'symbol' END AS kind, identity FROM symbols UNION SELECT 'test_' || kind, identity FROM test_entities
-    UNION SELECT 'symbol', target_identity FROM symbol_relations WHERE target_identity NOT IN (SELECT identity FROM symbols) UNION SELECT 'symbol', source_identity FROM symbol_relations WHERE source_identity NOT IN (SELECT identity FROM symbols) UNION SELECT 'symbol', symbol_identity FROM event_references WHERE start_line < 3 UNION SELECT 'symbol', 'case:1' WHERE NOT EXISTS (SELECT 1 FROM test_entities WHERE identity = 'case:1') AND EXISTS (SELECT 1 FROM event_references)
+    UNION SELECT 'symbol', target_identity FROM symbol_relations WHERE target_identity NOT IN (SELECT identity FROM symbols) UNION SELECT 'symbol', source_identity FROM symbol_relations WHERE source_identity NOT IN (SELECT identity FROM symbols) UNION SELECT 'symbol', symbol_identity FROM {TESTED}
     UNION SELECT 'file', file_path FROM symbol_ranges UNION SELECT 'file', file_path FROM symbol_references) GROUP BY kind"""
 
 
-@query(PROJECTION.replace("UNION ALL SELECT 'test', concat('case:', 1), symbol_identity, 0, 0, 0, 0 FROM event_references WHERE start_line < 3", "UNION ALL SELECT DISTINCT 'test', concat('case:', 1), symbol_identity, start_line, hash(file_path), 0, 0 FROM event_references WHERE start_line < 3"), "symbols", "symbol_ranges", "symbol_references", "symbol_relations", "test_entities", "test_fixture_cases", "event_references")
+@query(PROJECTION, "symbols", "symbol_ranges", "symbol_references", "symbol_relations", "test_entities", "test_fixture_cases", "event_references", "test_case_bodies")
 def graph_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = [fact(spark, sf_dir, t) for t in ("symbols", "symbol_ranges", "symbol_references", "symbol_relations", "test_entities", "test_fixture_cases")]
-    tested = fact(spark, sf_dir, "event_references").where("start_line < 3").withColumn("case_identity", F.lit("case:1"))
-    nodes, evidence = graph.project(*tables, tested)
+    nodes, evidence = graph.project(*tables, contained(spark, sf_dir))
     return evidence.groupBy(F.col("relation").alias("kind")).agg(F.count("*").alias("n")).select(F.lit("edge").alias("what"), "kind", "n").union(nodes.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("node").alias("what"), "kind", "n"))
 
 
@@ -497,16 +494,25 @@ def changed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.mapped_symbols(fact(spark, sf_dir, "anchors"), fact(spark, sf_dir, "symbol_ranges"))
 
 
+MAPPED_FILES = """SELECT concat('src/', b, '.cpp') AS path, n % 11 <> 3 AS in_scope, n % 11 <> 4 AS fingerprinted, n % 11 <> 5 AS language_ok, n % 11 <> 6 AS readable, CASE WHEN n % 11 = 7 THEN 10 ELSE 10000000 END AS lines FROM (SELECT p_brand AS b, min(p_partkey) AS n FROM part GROUP BY p_brand) x"""
+
+
 @query(
-    f"""SELECT anchor_id, CASE WHEN reason = 'file_absent' THEN 'not_applicable' WHEN reason IN ('no_edit_range', 'scope_insufficient', 'no_match') THEN 'unresolved' WHEN reason = 'limit' THEN 'truncated' ELSE 'mapped' END AS status, reason, candidates FROM (SELECT a.anchor_id, coalesce(n, 0) AS candidates,
-    CASE WHEN file_path IS NULL THEN 'file_absent' WHEN start_line IS NULL THEN 'no_edit_range' WHEN file_path NOT IN (SELECT concat('src/', p_brand, '.cpp') FROM part WHERE p_partkey < 100) THEN 'scope_insufficient' WHEN n IS NULL THEN 'no_match' WHEN n > 3 THEN 'limit' WHEN NOT held THEN 'no_enclosing' END AS reason
-    FROM anchors a LEFT JOIN (SELECT anchor_id, count(DISTINCT symbol_identity) AS n, bool_or(relation <> 'intersecting') AS held FROM ({MATCHES}) m GROUP BY 1) g ON g.anchor_id = a.anchor_id) x""",
+    f"""SELECT anchor_id, reason, CASE WHEN reason = 'file_absent_on_side' THEN 'not_applicable' WHEN reason = 'mapping_limit' THEN 'truncated' WHEN reason = 'unsupported_language' THEN 'unsupported' WHEN reason = 'backend_failure' THEN 'failure' WHEN reason IS NULL OR reason = 'intersection_only' THEN 'mapped' ELSE 'unresolved' END AS status,
+    CASE WHEN reason IS NULL OR reason = 'intersection_only' OR reason = 'mapping_limit' AND ordinal <= 1500 THEN coalesce(n, 0) ELSE 0 END AS candidates FROM (SELECT a.anchor_id, k.ordinal, g.n,
+    CASE WHEN a.file_path IS NULL THEN 'file_absent_on_side' WHEN k.side = 3 THEN 'revision_absent' WHEN k.side = 4 THEN 'session_absent' WHEN k.side = 5 THEN 'binding_mismatch' WHEN a.start_line IS NULL THEN 'no_edit_range' WHEN k.ordinal > 1500 THEN 'mapping_limit' WHEN NOT f.in_scope THEN 'scope_insufficient' WHEN NOT f.fingerprinted THEN 'source_not_fingerprinted'
+    WHEN NOT f.language_ok THEN 'unsupported_language' WHEN NOT f.readable THEN 'backend_failure' WHEN a.start_line > f.lines + 1 OR a.end_line > f.lines + 1 THEN 'range_outside_source' WHEN g.n > 3 THEN 'mapping_limit' WHEN g.n IS NULL THEN 'no_proven_extent' WHEN NOT g.held THEN 'intersection_only' END AS reason
+    FROM anchors a JOIN (SELECT concat('a', p_partkey) AS anchor_id, p_partkey + 1 AS ordinal, p_partkey % 40 AS side FROM part) k ON k.anchor_id = a.anchor_id LEFT JOIN ({MAPPED_FILES}) f ON f.path = a.file_path LEFT JOIN (SELECT anchor_id, count(DISTINCT symbol_identity) AS n, bool_or(relation <> 'intersecting') AS held FROM ({MATCHES}) m GROUP BY 1) g ON g.anchor_id = a.anchor_id) x""",
     "anchors", "symbol_ranges",
 )
 def mapping_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    anchors = fact(spark, sf_dir, "anchors")
-    scope = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 100").select(F.concat(F.lit("src/"), "p_brand", F.lit(".cpp")).alias("path"))
-    return changes.mapping_status(anchors, changes.mapped_symbols(anchors, fact(spark, sf_dir, "symbol_ranges")), scope, 3).select("anchor_id", "status", "reason", "candidates")
+    anchors = fact(spark, sf_dir, "anchors").withColumn("ordinal", F.expr("cast(substring(anchor_id, 2) as long) + 1")).withColumn("side", F.col("ordinal") - 1).withColumn("side", F.when(F.col("side") % 40 >= 6, 0).otherwise(F.col("side") % 40))
+    sides = spark.range(6).select(F.col("id").alias("side"), F.when(F.col("id") != 3, "r1").alias("revision"), (F.col("id") != 4).alias("session"), (F.col("id") != 5).alias("bound"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_brand").agg(F.min("p_partkey").alias("n"))
+    c = F.col("n") % 11
+    files = part.select(F.explode(F.expr("sequence(0L, 5L)")).alias("side"), F.concat(F.lit("src/"), "p_brand", F.lit(".cpp")).alias("path"), (c != 3).alias("in_scope"), (c != 4).alias("fingerprinted"), (c != 5).alias("language_ok"), (c != 6).alias("readable"), F.when(c == 7, 10).otherwise(10_000_000).alias("lines"))
+    matches = changes.mapped_symbols(anchors, fact(spark, sf_dir, "symbol_ranges"))
+    return changes.mapping_status(anchors, matches, sides, files, None, 3, max_ranges=1500).select("anchor_id", "status", "reason", "candidates")
 
 
 IMPACT = ("changes", "contexts", "dependencies", "config_inputs")
@@ -539,7 +545,7 @@ def impact_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT path, count(DISTINCT tu) AS units FROM dependencies GROUP BY path", "dependencies")
 def reverse_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fact(spark, sf_dir, "dependencies").groupBy("path").agg(F.size(F.array_sort(F.collect_set("tu"))).cast("long").alias("units"))
+    return changes.reverse_dependencies(fact(spark, sf_dir, "dependencies")).select("path", F.size("units").cast("long").alias("units"))
 
 
 @query("SELECT path, CASE WHEN doc_id % 10 = 0 THEN 'removed' ELSE 'changed' END AS drift FROM files WHERE doc_id % 10 = 0 OR doc_id % 7 = 0 UNION ALL SELECT concat('new/', path), 'added' FROM files WHERE doc_id % 50 = 1", "files")
@@ -564,11 +570,20 @@ def snippet_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snippets.clusters(rows, ["user_id"]).select("user_id", "id", "cluster")
 
 
-@query("SELECT path, CAST(substr(content, 11, 30) AS varchar) AS snippet FROM files WHERE length(content) >= 40", "files")
-def snippet_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = fact(spark, sf_dir, "files").where(F.length("content") >= 40)
-    spans = own.select("path", F.lit(10).alias("start"), F.lit(40).alias("end"), F.col("doc_id").alias("id"))
-    return snippets.materialized(spans, own).select("path", "snippet")
+@query(
+    """SELECT path, line, CASE WHEN line % 9 = 0 THEN 'range_invalid' WHEN doc_id % 13 = 0 THEN 'source_hash_mismatch' WHEN doc_id % 17 = 0 THEN 'binding_mismatch' ELSE 'available' END AS status, CASE WHEN line % 9 > 0 AND doc_id % 13 > 0 AND doc_id % 17 > 0 THEN l END AS snippet
+    FROM (SELECT path, doc_id, unnest(string_split(content, chr(10))) AS l, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM files) x WHERE NOT (line % 9 = 0 AND (doc_id % 13 = 0 OR doc_id % 17 = 0))""",
+    "files",
+)
+def snippet_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every text as a span; every ninth one ends a column too late."""
+    own = fact(spark, sf_dir, "files")
+    lines = own.select("path", "doc_id", F.posexplode(F.split("content", "\n")).alias("at", "l")).withColumn("line", (F.col("at") + 1).cast("long")).where("not (line % 9 = 0 and (doc_id % 13 = 0 or doc_id % 17 = 0))")
+    wanted = lines.select(F.concat_ws(":", "path", "line").alias("candidate_id"), F.lit("s").alias("snapshot"), (F.col("doc_id") % 17 != 0).alias("bound"), "path", F.col("line").alias("start_line"), F.lit(1).alias("start_column"), F.col("line").alias("end_line"), (F.length("l") + F.when(F.col("line") % 9 == 0, 2).otherwise(1)).alias("end_column"), F.col("doc_id"))
+    sources = own.select(F.lit("s").alias("snapshot"), "path", "content", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"), F.lit(True).alias("readable"))
+    wanted = wanted.join(sources.select("path", F.col("sha256").alias("seen")), "path").withColumn("sha256", F.when(F.col("doc_id") % 13 == 0, "other").otherwise(F.col("seen"))).withColumn("bound", F.col("bound") | (F.col("doc_id") % 13 == 0)).drop("doc_id", "seen")
+    found = materialize.snippet_statuses(wanted, sources)
+    return found.select(F.substring_index("candidate_id", ":", 1).alias("path"), F.substring_index("candidate_id", ":", -1).cast("long").alias("line"), "status", "snippet")
 
 
 EO = ("expected", "observed")
@@ -616,16 +631,30 @@ def chain_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.chain_correct(lines, seen, states)
 
 
-@query("SELECT concat('p', p_partkey) AS case_id, array_to_string(list_filter([CASE WHEN p_size % 9 = 0 THEN 'execution_error' END, CASE WHEN p_size % 9 > 0 AND p_size % 4 = 0 THEN 'empty_result' END, CASE WHEN p_size % 3 > 0 AND p_size % 4 > 0 THEN 'missing_items' END, CASE WHEN p_size % 5 > 0 THEN 'unexpected_items' END, CASE WHEN p_size > 10 THEN 'late_first_match' END], lambda x: x IS NOT NULL), ',') AS failures FROM part")
+FAILED_ITEMS = """SELECT concat('c', l_orderkey) AS case_id, ['file', 'symbol', 'test', 'relation'][CAST(1 + l_partkey % 4 AS bigint)] AS dimension, CAST(l_partkey AS varchar) AS item, CAST(l_partkey AS varchar) AS identity, CASE WHEN l_returnflag = 'A' AND l_partkey % 8 = 1 THEN 'odd' ELSE 'n' || CAST(l_partkey AS varchar) END AS name FROM lineitem WHERE l_returnflag {}"""
+
+
+@query(
+    f"""SELECT case_id, CASE WHEN error IS NOT NULL THEN error ELSE array_to_string(list_filter([CASE WHEN h = 0 AND w > 0 THEN 'empty_result' END, CASE WHEN fm > 0 THEN 'target_file_miss' END, CASE WHEN fw = 0 AND fh > 0 THEN 'unexpected_file' END, CASE WHEN sm > 0 AND sj THEN 'target_symbol_miss' END, CASE WHEN half AND sj THEN 'symbol_identity_mismatch' END,
+    CASE WHEN sw = 0 AND sh > 0 AND sj THEN 'unexpected_symbol' END, CASE WHEN tm > 0 THEN 'target_test_miss' END, CASE WHEN tw = 0 AND th > 0 THEN 'unexpected_test' END, CASE WHEN rm > 0 THEN 'direct_relation_miss' END, CASE WHEN re > 0 THEN 'unexpected_direct_relation' END], lambda x: x IS NOT NULL), ',') END AS failures
+    FROM (SELECT 'c' || o_orderkey AS case_id, CASE o_orderkey % 50 WHEN 0 THEN 'query_rejected' WHEN 1 THEN 'backend_unavailable' WHEN 2 THEN 'backend_failure' WHEN 3 THEN 'index_failure' WHEN 4 THEN 'unexpected_error' END AS error, o_orderkey % 3 > 0 AS sj FROM orders) o
+    LEFT JOIN (SELECT case_id, sum(a)::bigint AS w, sum(b)::bigint AS h, count(*) FILTER (dimension = 'file' AND b = 0) AS fm, count(*) FILTER (dimension = 'file' AND a = 1) AS fw, count(*) FILTER (dimension = 'file' AND b = 1) AS fh, count(*) FILTER (dimension = 'symbol' AND b = 0) AS sm, count(*) FILTER (dimension = 'symbol' AND a = 1) AS sw, count(*) FILTER (dimension = 'symbol' AND b = 1) AS sh,
+    count(*) FILTER (dimension = 'test' AND b = 0) AS tm, count(*) FILTER (dimension = 'test' AND a = 1) AS tw, count(*) FILTER (dimension = 'test' AND b = 1) AS th, count(*) FILTER (dimension = 'relation' AND b = 0) AS rm, count(*) FILTER (dimension = 'relation' AND a = 0) AS re
+    FROM (SELECT case_id, dimension, item, max(a) AS a, max(b) AS b FROM (SELECT case_id, dimension, item, 1 AS a, 0 AS b FROM ({FAILED_ITEMS.format("<> 'A'")}) x UNION ALL SELECT case_id, dimension, item, 0, 1 FROM ({FAILED_ITEMS.format("<> 'R'")}) y) GROUP BY ALL) GROUP BY case_id) c ON c.case_id = o.case_id
+    LEFT JOIN (SELECT DISTINCT x.case_id AS hc, true AS half FROM ({FAILED_ITEMS.format("<> 'A'")}) x JOIN ({FAILED_ITEMS.format("<> 'R'")}) y ON x.case_id = y.case_id AND x.dimension = 'symbol' AND y.dimension = 'symbol' AND (x.identity = y.identity) <> (x.name = y.name)) h ON h.hc = o.case_id""".replace("SELECT case_id, CASE WHEN error", "SELECT o.case_id, CASE WHEN error")
+)
 def failure_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.col("p_size")
-    return metrics.failure_classes(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("p"), "p_partkey").alias("case_id"), (size % 9 == 0).alias("error"), (size % 4).alias("n_observed"), F.lit(2).alias("n_expected"), (size % 3).alias("missing"), (size % 5).alias("unexpected"), size.alias("first_rank")))
+    key, c = F.col("o_orderkey") % 50, F.col
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.concat(F.lit("c"), "l_orderkey").alias("case_id"), F.element_at(F.array(*map(F.lit, metrics.DIMENSIONS)), (1 + c("l_partkey") % 4).cast("int")).alias("dimension"), c("l_partkey").cast("string").alias("item"), c("l_partkey").cast("string").alias("identity"), F.when((c("l_returnflag") == "A") & (c("l_partkey") % 8 == 1), "odd").otherwise(F.concat(F.lit("n"), "l_partkey")).alias("name"), "l_returnflag")
+    cases = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("c"), "o_orderkey").alias("case_id"), F.when(key < 5, F.element_at(F.array(*map(F.lit, metrics.ERRORS)), (key + 1).cast("int"))).alias("error"), F.when(c("o_orderkey") % 3 > 0, F.array(*map(F.lit, metrics.DIMENSIONS))).otherwise(F.array(*map(F.lit, ("file", "test", "relation")))).alias("evaluated"))
+    return metrics.failure_classes(cases, lines.where("l_returnflag <> 'A'"), lines.where("l_returnflag <> 'R'"))
 
 
 @query("SELECT lang, CASE WHEN l.doc_id IS NULL THEN 'not_covered' WHEN quality = 1 THEN 'complete' ELSE 'partial' END AS status, count(*) AS n, sum(d.n_chars)::bigint AS chars FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY ALL")
 def coverage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return docs.select("doc_id", "lang", "n_chars").join(labels, "doc_id", "left").groupBy("lang", F.when(F.col("quality").isNull(), "not_covered").when(F.col("quality") == 1, "complete").otherwise("partial").alias("status")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    rows = docs.select("doc_id", "lang", F.col("n_chars").alias("chars")).join(labels.select("doc_id", F.col("quality").alias("covered")), "doc_id", "left")
+    return metrics.coverage_counts(rows, ["lang"], "chars")
 
 
 # --- parsers: rows only, or against what the generated text says
@@ -653,3 +682,6 @@ def depfile_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.depfile_rules(rows)
 
 
+
+
+from factgraph.plans import service_queries  # noqa: E402, F401  (registers its queries here)
