@@ -6,7 +6,7 @@ context is a restaurant, and all of them share the unigram restaurant as parent,
 base gives every training token and one unknown token the same chance.
 
 Texts are read once, into blocks of about ``BLOCK_TOKENS`` tokens of packed word codes.
-A block's distinct bigrams (64-bit hashes) and words go, sorted and packed, to buckets
+A block's distinct bigrams (56-bit hashes) and words (64 bits) go, sorted and packed, to buckets
 by ranges of their hashes, which are even for any data, however hot a context or a word
 is: what a block says of a hot word is one number. Buckets add up and answer each block
 in the order it asked in.
@@ -54,10 +54,12 @@ from factgraph.llm.words import combine, lower_ascii, mix, text_slices, word_bou
 DISCOUNT, STRENGTH = 0.8, 1.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.5, 1.0
 SWEEPS = 2
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 2_400_000
 #: Steps of one sweep for each customer, and at most.
-STEPS, MOST_STEPS = 2, 24
+STEPS, MOST_STEPS = 2, 12
 SINGLE, LEAP, STIRLING = 24, 8, 400
+#: Bits of a bigram's hash that count; the rest would be sent for nothing.
+KEY_BITS = np.uint64((1 << 64) - (1 << 8))
 END, START = np.uint64(0x0E0D0E0D0E0D0E0D), np.uint64(0x57A7757A7757A775)
 
 
@@ -193,7 +195,7 @@ class Block:
         self.word = code + ((code >= self.start) & (len(self.words) > len(words)))
         self.context = np.concatenate(([self.start], self.word[:-1]))
         self.context[np.cumsum(self.sizes) - self.sizes] = self.start
-        self.pairs, first, self.pair = np.unique(combine(self.words[self.context], self.words[self.word]), return_index=True, return_inverse=True)
+        self.pairs, first, self.pair = np.unique(combine(self.words[self.context], self.words[self.word]) & KEY_BITS, return_index=True, return_inverse=True)
         self.pair_context, self.pair_word = self.context[first], self.word[first]
         self.known = ~self.held[self.doc]
 
@@ -299,17 +301,17 @@ class State:
         b = self.block
         return (STRENGTH + DISCOUNT * self.sweeps[sweep][1][b.pair_context]) * self.parent_chance(sweep)[b.pair_word]
 
-    def seatings(self) -> list[np.ndarray]:
-        """Tables of each of the block's bigrams at the start and after each sweep that the totals known allow."""
+    def seatings(self, sweeps: int | None = None) -> list[np.ndarray]:
+        """Tables of each of the block's bigrams at the start and after each sweep (that the totals known allow)."""
         out = [np.minimum(self.count, 1)]
-        for sweep in range(len(self.sweeps)):
+        for sweep in range(len(self.sweeps) if sweeps is None else sweeps):
             out.append(seated(self.count, out[-1], self.weight(sweep), self.block.pairs, DISCOUNT, sweep))
         return out
 
     def token_chances(self) -> np.ndarray:
         """Predictive chance of each token, the mean over the seatings after each sweep."""
         b = self.block
-        made = self.seatings()
+        made = self.seatings(len(self.sweeps) - 1)
         chance = np.zeros(len(b.pairs))
         for sweep in range(1, len(self.sweeps)):
             chance += (self.count - DISCOUNT * made[sweep] + self.weight(sweep)) / (STRENGTH + self.sweeps[sweep][0][b.pair_context])
