@@ -7,8 +7,9 @@ union.
 
 1. Documents of equal sets become one class, carried by its smallest doc_id.
 2. Sets that link differ in at most D tokens, so of D + 1 + s parts of the tokens at
-   least s + 1 are equal. Each set gives the signatures of its non-empty parts; linked
-   sets share one of them (a set with more than s empty parts gives those too).
+   least s + 1 are equal. Each set gives the signatures of its parts of two tokens or
+   more (of one, where too many parts would have fewer than two); linked sets share one
+   of them (a set with more than s thinner parts gives all).
    Signatures go, sorted and packed, to buckets by ranges of their hashes; of the
    documents of one signature each meets the next, and the components of these meetings
    are the groups in which all links lie.
@@ -27,7 +28,9 @@ not read. Two nodes of a group meet in one narrow row if their sizes allow a lin
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +45,9 @@ from factgraph.llm.words import combine, lower_ascii, mix, shingle_hashes, text_
 
 K = 3
 PERCENT = 90
-CHUNK = 512
+CHUNK = 2048
+#: Tokens of a cell's sets, about.
+CELL_TOKENS = 1 << 21
 #: Signatures that leave a task at once, and about how many a bucket holds.
 SENT, HELD = 1 << 20, 1 << 21
 #: Bits of a node's bitmap above the trees of one task.
@@ -65,15 +70,30 @@ def token_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
                 yield np.unique(shingle_hashes(own, k))
 
 
-def bands(limit: int) -> list[int]:
-    """Lower ends of the size bands, each half as wide again as the one before."""
+@lru_cache(8)
+def bands(percent: int, limit: int = 1 << 31) -> list[int]:
+    """Lower ends of the size bands; linked sets are in one band or in two next to each other."""
     out = [1]
     while out[-1] <= limit:
-        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
+        out.append(max(out[-1] + 1, -(-out[-1] * 100 // percent)))
     return out
 
 
-_BANDS = bands(1 << 31)
+@lru_cache(1 << 16)
+def spare_parts(differ: int, fewest: int) -> tuple[int, int]:
+    """(spare, least): parts more than tokens that may differ, so that a set of the ``fewest`` tokens seldom has more parts of under ``least`` tokens; two, if there are so many spare parts, else one."""
+    best = (float("inf"), 2)
+    for least in (2, 1):
+        for spare in range(2, 2 * differ + 12):
+            parts = differ + 1 + spare
+            full = fewest / parts
+            thin = np.exp(-full) * (1 + full * (least > 1))
+            over = parts * thin + 3 * np.sqrt(parts * thin * (1 - thin)) - spare
+            if over <= 0:
+                return spare, least
+            if least == 1:
+                best = min(best, (over / parts, spare))
+    return best[1], 1
 
 
 def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
@@ -81,26 +101,29 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
     n = len(tokens)
     if not n:
         return np.zeros(0, np.uint64)
-    band = int(np.searchsorted(_BANDS, n, "right")) - 1
+    lower = bands(percent)
+    band = bisect_right(lower, n) - 1
     out = []
     for scheme in (band, band + 1):
-        if scheme > band and n * 100 // percent < _BANDS[scheme]:
+        if scheme > band and n * 100 // percent < lower[scheme]:
             continue
-        largest = _BANDS[scheme + 1] - 1
+        largest = lower[scheme + 1] - 1
         differ = 2 * largest * (100 - percent) // (100 + percent)
         if not differ:
             continue
-        spare = 2 + differ // 50
+        spare, least = spare_parts(differ, -(-lower[scheme] * percent // 100))
         parts = differ + 1 + spare
         part = ((tokens >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        count = np.bincount(part, minlength=parts)
+        sums = np.zeros(parts, np.uint64)
         order = np.argsort(part, kind="stable")
-        used, at = np.unique(part[order], return_index=True)
-        sums = np.add.reduceat(mix(tokens[order] ^ np.uint64(0xA5A5A5A5)), at)
+        used = np.flatnonzero(count)
+        sums[used] = np.add.reduceat(mix(tokens[order] ^ np.uint64(0xA5A5A5A5)), (np.cumsum(count) - count)[used])
+        # of the spare + 1 equal parts of linked sets one has tokens enough, unless a set has more thin parts; such a set gives all
+        kept = np.flatnonzero(count >= least)
+        kept = kept if parts - len(kept) <= spare else np.arange(parts)
         tag = np.uint64((scheme << 40) + parts)
-        out.append(combine(sums, np.full(len(used), tag), used.astype(np.uint64)))
-        if parts - len(used) > spare:
-            empty = np.setdiff1d(np.arange(parts), used).astype(np.uint64)
-            out.append(combine(np.full(len(empty), 1, np.uint64), np.full(len(empty), tag + np.uint64(1 << 62)), empty))
+        out.append(combine(sums[kept], np.full(len(kept), tag), kept.astype(np.uint64)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -192,10 +215,11 @@ def labels_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def parts(rows: DataFrame, on: list[str], chunk: int, by: Column) -> DataFrame:
-    """``rows`` with ``part``: for each key, so many parts that about ``chunk`` rows fall in each, by a hash below 2**32."""
-    large = rows.groupBy(*on).agg(F.count("*").alias("m")).where(F.col("m") > chunk)
-    cut = lookup(rows, large, on, "m").withColumn("part", F.when(F.col("m").isNull(), 0).otherwise((by * F.ceil(F.col("m") / chunk) / F.lit(float(1 << 32))).cast("int")))
-    return saved(cut.drop("m"), "parts")
+    """``rows`` with ``part``: for each key, so many parts that about ``chunk`` rows and CELL_TOKENS tokens fall in each, by a hash below 2**32."""
+    pieces = F.ceil(F.greatest(F.count("*") / F.lit(chunk), F.sum("n_shingles") / F.lit(CELL_TOKENS)))
+    large = rows.groupBy(*on).agg(F.count("*").alias("m"), pieces.alias("pieces")).where("pieces > 1")
+    cut = lookup(rows, large, on, "m").withColumn("part", F.when(F.col("m").isNull(), 0).otherwise((by * F.col("pieces") / F.lit(float(1 << 32))).cast("int")))
+    return saved(cut.drop("m", "pieces"), "parts")
 
 
 def placed(rows: DataFrame, percent: int, chunk: int) -> DataFrame:
@@ -271,8 +295,8 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, chunk: int = CHUNK
     classes = saved(filled.groupBy(*equal).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "classes")
     members = saved(lookup(sets, classes, equal, "copies").select("doc_id", *equal, "low", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("copies")), F.lit(1)).alias("copies")), "members")
     shingles = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    # a set has about 2.6 signatures for each token that may differ, if not so few tokens that the spare parts count
-    buckets = max(1, -(-int(shingles * 2.6 * (100 - percent) / 100) // HELD))
+    # a set has about three signatures for each token that may differ
+    buckets = max(1, -(-int(shingles * 3.1 * (100 - percent) / 100) // HELD))
     groups = components(meetings(docs, k, percent, buckets)).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "grp")
     leaves = placed(saved(members.where("doc_id = rep and n_shingles > 0").join(groups, "doc_id"), "leaves"), percent, chunk)
     wanted = bounded(leaves.select("doc_id", "one", "two", "grp", "band", "cell", "copies"))
