@@ -8,7 +8,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, LongType, StringType, StructField, StructType
 
 
 class CodecError(ValueError):
@@ -63,9 +63,22 @@ def dumps(value: Any, schema: StructType) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
 
 
-CASE = StructType.fromDDL("id string not null, kind string not null, text string, match string, path_scope string, limit bigint, files array<string>, symbols array<struct<identity: string, qualified_name: string>>, tests array<string>, relations array<struct<caller: string, callee: string>>")
-SUITE = StructType.fromDDL("schema_version bigint not null, suite_id string not null, repository string not null, revision string not null").add("cases", ArrayType(CASE, False), False)
-PREPARATION = StructType.fromDDL("semantic_files array<string> not null, test_files array<string> not null, include_directories array<string> not null")
+TEXT, NUMBER, TEXTS = StringType(), LongType(), ArrayType(StringType(), False)
+
+
+def record(**fields: DataType) -> StructType:
+    """A struct; a field whose name ends in an underscore may be null (the underscore isn't part of it)."""
+    return StructType([StructField(n.removesuffix("_"), kind, n.endswith("_")) for n, kind in fields.items()])
+
+
+CASE = record(
+    id=TEXT, kind=TEXT, text_=TEXT, match_=TEXT, path_scope_=TEXT, limit_=NUMBER, files_=TEXTS, symbols_=ArrayType(record(identity=TEXT, qualified_name=TEXT), False), tests_=TEXTS,
+    relations_=ArrayType(record(caller=TEXT, callee=TEXT), False),
+)
+SUITE = record(schema_version=NUMBER, suite_id=TEXT, repository=TEXT, revision=TEXT, cases=ArrayType(CASE, False))
+PREPARATION = record(semantic_files=TEXTS, test_files=TEXTS, include_directories=TEXTS)
+DOMAIN_ROW = record(identity=TEXT, status=TEXT, role_=TEXT, component_=TEXT)
+DOMAIN = record(schema_version=NUMBER, rows=ArrayType(DOMAIN_ROW, False))
 
 
 def load_suite(spark: SparkSession, text: str, revision: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -101,8 +114,7 @@ def prepared_files(text: str, files: DataFrame) -> DataFrame:
 
 def domain_map(text: str, spark: SparkSession) -> DataFrame:
     """identity, status, role, component rows of a domain map; an identity stands there once."""
-    row = StructType.fromDDL("identity string not null, status string not null, role string, component string")
-    value = loads(text, StructType.fromDDL("schema_version bigint not null").add("rows", ArrayType(row, False), False))
+    value = loads(text, DOMAIN)
     if value["schema_version"] != 1:
         raise CodecError("unknown schema version")
     names = [r["identity"] for r in value["rows"]]
@@ -110,7 +122,7 @@ def domain_map(text: str, spark: SparkSession) -> DataFrame:
         raise CodecError("an identity stands there twice")
     if any(r["status"] not in ("recognized", "ambiguous", "unknown") for r in value["rows"]):
         raise CodecError("unknown status")
-    return spark.createDataFrame([tuple(r[f] for f in row.fieldNames()) for r in value["rows"]], row)
+    return spark.createDataFrame([tuple(r[f] for f in DOMAIN_ROW.fieldNames()) for r in value["rows"]], DOMAIN_ROW)
 
 
 def write_report(value: dict[str, Any], path: str) -> None:

@@ -47,6 +47,21 @@ def test_refused_diffs(spark, raw, status):
     assert [(r.status, r.kind) for r in rows] == [(status, None)]
 
 
+@pytest.mark.parametrize(
+    "head",
+    ["index 12..zz\n", "similarity index 999%\n", "old mode 100644\n", "old mode 100644\nold mode 100644\nnew mode 100755\n", "new file mode 100644\ndeleted file mode 100644\n", "rename from x\n", "--- a/y\n+++ b/x\n", "--- /dev/null\n+++ b/x\n"],
+)
+def test_headers_that_are_refused(head):
+    marks = "" if "---" in head else "--- a/x\n+++ b/x\n"
+    with pytest.raises(diffs.Refused):
+        diffs.parse(f"diff --git a/x b/x\n{head}{marks}@@ -1 +1 @@\n-a\n+b\n")
+    for odd in ("\\ some words\n", "\u2028\n", "\f\n"):
+        with pytest.raises(diffs.Refused):
+            diffs.parse(f"--- x\n+++ x\n@@ -1 +1 @@\n-a\n+b\n{odd}")
+    good = diffs.parse("diff --git a/x b/x\nold mode 100644\nnew mode 100755\nindex 12ab..34cd 100755\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a\n+b\n")
+    assert [r["kind"] for r in good] == ["delete", "add"]
+
+
 SOURCE = """class Fix {};
 /* TEST_F(Fix, Hidden) {} */
 TEST_F(Fix, One)
