@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,9 @@ def fingerprint(inventory: DataFrame) -> str:
     return hashlib.sha256(repr(tuple(map(str, row))).encode()).hexdigest()
 
 
+LEASE_SECONDS = 6 * 3600
+
+
 class SnapshotStore:
     """Snapshots of a folder that Spark's file system reaches; the manifest is replaced by a rename."""
 
@@ -72,17 +76,27 @@ class SnapshotStore:
         out = self._fs.create(draft, True)
         out.write(bytearray(json.dumps(asdict(manifest), sort_keys=True).encode()))
         out.close()
-        if self._fs.exists(final):
-            self._fs.delete(final, False)
-        if not self._fs.rename(draft, final):
-            raise OSError("the manifest can't be replaced")
-
-    def publish(self, snapshot: Snapshot, tables: dict[str, DataFrame]) -> Manifest:
-        """Write a new generation beside the others, then point the manifest at it; a failure leaves the last usable one."""
+        # one step: readers see the old manifest or the new one
+        spark = self.spark.sparkContext
+        options = spark._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), spark._jsc.hadoopConfiguration()).rename(self._fs.makeQualified(draft), self._fs.makeQualified(final), options)
+
+    def _lease(self) -> None:
+        """Take the writer's lock; one that is older than LEASE_SECONDS was left by a writer that died."""
         lease = self._path(f"{self.root}/writer.lock")
         self._fs.mkdirs(self._path(self.root))
         if not self._fs.createNewFile(lease):
-            raise FactError("another writer holds the snapshot folder")
+            age = time.time() - self._fs.getFileStatus(lease).getModificationTime() / 1000
+            if age < LEASE_SECONDS:
+                raise FactError("another writer holds the snapshot folder")
+            self._fs.delete(lease, False)
+            if not self._fs.createNewFile(lease):
+                raise FactError("another writer holds the snapshot folder")
+
+    def publish(self, snapshot: Snapshot, tables: dict[str, DataFrame]) -> Manifest:
+        """Write a new generation beside the others, then point the manifest at it; a failure leaves the last usable one."""
+        self._lease()
         before = self.manifest()
         try:
             self._replace(Manifest(before.last_usable, "building"))
@@ -95,7 +109,7 @@ class SnapshotStore:
             self._replace(Manifest(before.last_usable, "failed"))
             raise
         finally:
-            self._fs.delete(lease, False)
+            self._fs.delete(self._path(f"{self.root}/writer.lock"), False)
 
     def read(self, name: str) -> DataFrame:
         """A table of the last usable generation, whose files never change."""
