@@ -5,12 +5,15 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factgraph.operators import index, metrics, textsearch
 from factgraph.sources.workspace import written
 
+#: What each kind of query finds.
+DIMENSION = {"search_symbol": "symbol", "callers": "relation", "callees": "relation", "tests": "test"}
 KINDS = ("text_search", "search_symbol", "declaration", "definition", "references", "callers", "callees", "tests")
 
 
@@ -38,20 +41,28 @@ def execute(kind: str, text: str, tables: dict[str, DataFrame], qualified: bool
 def run(spark: SparkSession, suite: list[dict], tables: dict[str, DataFrame], clock: Callable[[], float] = time.perf_counter) -> DataFrame:
     """One row for each case (case_id, kind, text, expected items): metrics, failure classes, seconds.
 
-    A query that fails is an execution error of its case, not of the suite.
+    A query that fails is an error of its case, not of the suite.
     """
     rows, found = [], None
     for case in suite:
         began = clock()
         try:
             got = written(execute(case["kind"], case["text"], tables, case.get("qualified", False), case.get("limit")).select(F.lit(case["case_id"]).alias("case_id"), "item", "rank"))
-            found, error = got if found is None else found.union(got), False
-        except Exception:  # noqa: BLE001  whatever a backend raises counts against its case
-            error = True
-        rows.append((case["case_id"], case["kind"], error, clock() - began))
+            found, error = got if found is None else found.union(got), None
+        except ValueError:
+            error = "query_rejected"
+        except (KeyError, AnalysisException):
+            error = "index_failure"
+        except OSError:
+            error = "backend_unavailable"
+        except PySparkException:
+            error = "backend_failure"
+        except Exception:  # noqa: BLE001  whatever else a backend raises counts against its case
+            error = "unexpected_error"
+        rows.append((case["case_id"], case["kind"], DIMENSION.get(case["kind"], "file"), error, clock() - began))
     observed = found if found is not None else spark.createDataFrame([], "case_id string, item string, rank long")
     expected = spark.createDataFrame([(c["case_id"], x) for c in suite for x in c["expected"]], "case_id string, item string")
-    cases = spark.createDataFrame(rows, "case_id string, kind string, error boolean, seconds double")
+    cases = spark.createDataFrame(rows, "case_id string, kind string, dimension string, failed string, seconds double").withColumn("error", F.col("failed").isNotNull())
     n = observed.groupBy("case_id").agg(F.count("*").alias("n_observed"))
     wanted = expected.groupBy("case_id").agg(F.count("*").alias("n_expected"))
     first = metrics.matched(expected, observed).groupBy("case_id").agg(F.min("rank").alias("first_rank"))
@@ -59,4 +70,6 @@ def run(spark: SparkSession, suite: list[dict], tables: dict[str, DataFrame], cl
     for t in (n, wanted, first):
         full = full.join(t, "case_id", "left")
     full = full.fillna(0, ["n_observed", "n_expected", "missing", "unexpected"])
-    return full.join(metrics.failure_classes(full), "case_id")
+    typed = lambda items: items.join(cases.select("case_id", "dimension"), "case_id").select("case_id", "dimension", "item", F.col("item").alias("identity"), F.col("item").alias("name"))
+    failures = metrics.failure_classes(cases.select("case_id", F.col("failed").alias("error"), F.array("dimension").alias("evaluated")), typed(expected), typed(observed))
+    return full.drop("dimension", "failed").join(failures, "case_id")

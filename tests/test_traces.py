@@ -86,7 +86,7 @@ def test_runner_scores_each_case(spark):
         {"case_id": "up", "kind": "callers", "text": "B", "expected": ["A"]}, {"case_id": "down", "kind": "callees", "text": "A", "expected": ["B"], "limit": 1},
     ]
     got = {r.case_id: (r.recall, r.failures, r.error) for r in runner.run(spark, suite, tables).collect()}
-    assert got.pop("wrong")[1:] == ("execution_error", True) and got.pop("name") == (0.5, "missing_items", False)
+    assert got.pop("wrong")[1:] == ("query_rejected", True) and got.pop("name") == (0.5, "target_symbol_miss", False)
     assert set(got.values()) == {(1.0, "", False)} and len(got) == 4
 
 
