@@ -1,7 +1,7 @@
 """A training-data pipeline over ``documents``: five stages, each written as Parquet and read as the next one's input.
 
 All but the last return the columns of ``documents``. ``ORACLE_SQL`` is None, as SQL can't
-express the classifier chain or the encoder; the tests hold it against brute force.
+express the classifier chain or the encoder; the tests check every stage on planted rows.
 """
 
 from __future__ import annotations
