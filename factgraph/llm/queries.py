@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factgraph.llm import decontaminate, jaccard_join, licenses, mixture, passages, pitman_yor, quality, secrets_scan, token_store, toxicity
+from factgraph.llm import decontaminate, jaccard_join, licenses, mixture, passages, periodic_runs, pitman_yor, quality, secrets_scan, token_store, toxicity
 from factgraph.llm.tables import table
 
 
@@ -63,6 +64,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.report(found, secrets_scan.train(found)).drop("n_added")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of runs, the strongest one, and digests of runs and collapsed words of every document."""
+    found = periodic_runs.find(table(spark, sf_dir, "documents", "doc_id", "text"), planted=True)
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_pitman_yor": op1_pitman_yor,
     "op2_passages": op2_passages,
@@ -74,5 +81,6 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLES: dict[str, str] = {}
