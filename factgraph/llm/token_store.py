@@ -22,10 +22,8 @@ A document of any length stays whole in one shard.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factgraph.llm.pieces import BytePieces
 from factgraph.llm.tables import partitions, saved
-from factgraph.llm.words import _powers, BYTE_VALUES, mix, text_slices
+from factgraph.llm.words import text_slices
 
 BLOCK = 128
-STOPS = np.frombuffer(b".,:;!?", np.uint8)
 MAGIC = b"PFR1"
 SHARD_TOKENS = 1_000_000
 PERCENTILE = 90
-#: Entries of a worker's cache of encoded pieces; it is emptied when full, which changes speed only.
-CACHE_PIECES = 1_500_000
 
 
 def bit_length(values: np.ndarray) -> np.ndarray:
@@ -139,84 +135,12 @@ def read_shard(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [x if ok else None for x, ok in zip(found, there, strict=True)], lengths, unpack(starts, image[at + 8 * (blocks + 1) :], tokens)
 
 
-class Encoder:
-    """Encodes texts through the tokenizer, each distinct piece once.
-
-    Texts are cut into pieces where white space follows another character, and where
-    an ASCII letter is followed by one of ``.,:;!?``. The byte-level
-    pre-tokenizer always begins a token at such places, so a text's ids are those of
-    its pieces, one after the other. A place behind a white-space character beyond
-    ASCII isn't cut. Special tokens must hold neither white space nor those characters.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-
-    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))
-        at = np.searchsorted(self.keys, keys)
-        self.keys, self.entry = np.insert(self.keys, at, keys), np.insert(self.entry, at, len(self.start) + np.arange(len(keys)))
-        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(length) - length))
-        self.length = np.concatenate((self.length, length))
-        self.flat = np.concatenate((self.flat, flat))
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows of a slice, and how many each row has."""
-        if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        blank = (data == 32) | ((data >= 9) & (data <= 13))
-        letter = ((data | 32) >= 97) & ((data | 32) <= 122)
-        cut = np.zeros(len(data), bool)
-        cut[1:] = (blank[1:] & ~blank[:-1]) | (letter[:-1] & np.isin(data[1:], STOPS))
-        wide = np.flatnonzero(cut & np.concatenate(([False], data[:-1] >= 128)))
-        if len(wide):
-            a, b = data[wide - 1], data[wide - 2]
-            c = data[np.maximum(wide - 3, 0)]
-            far = ((b == 0xC2) & ((a == 0xA0) | (a == 0x85))) | ((b == 0x80) & (c == 0xE2)) | ((b == 0x81) & (c == 0xE2)) | ((b == 0x9A) & (c == 0xE1)) | ((b == 0x80) & (c == 0xE3))
-            cut[wide[far]] = False
-        cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
-        begin = np.flatnonzero(cut)
-        end = np.concatenate((begin[1:], [len(data)]))
-        up, down = _powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=sums[1:])
-        hashes = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
-        keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > CACHE_PIECES:
-            self.clear()
-        at = np.searchsorted(self.keys, keys)
-        new = np.ones(len(keys), bool)
-        inside = at < len(self.keys)
-        new[inside] = self.keys[at[inside]] != keys[inside]
-        if new.any():
-            raw = data.tobytes()
-            self.learn(keys[new], [raw[begin[i] : end[i]].decode("utf-8", "replace") for i in first[new]])
-            at = np.searchsorted(self.keys, keys)
-        entry = self.entry[at][back]
-        start, length = self.start[entry], self.length[entry]
-        until = np.cumsum(length)
-        ids = self.flat[np.repeat(start - until + length, length) + np.arange(until[-1])]
-        until = np.concatenate(([0], until))
-        return ids, np.diff(until[np.searchsorted(begin, offsets)])
-
-
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, BytePieces] = {}
 
 
 def encode_docs(path: str, end_id: int, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids with the end id behind each document, tokens of each document) for runs of rows."""
-    coder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
+    coder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, BytePieces(path))
     for first, data, offsets in text_slices(column):
         ids, counts = coder.encode(data, offsets)
         yield first, np.insert(ids, np.cumsum(counts), end_id), counts + 1

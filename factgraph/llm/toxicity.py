@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factgraph.llm.linear import fit, folds, margins, platt, sigmoid
-from factgraph.llm.words import BYTE_VALUES, _powers, lower_ascii, mix, rows_of, text_slices
+from factgraph.llm.words import Spans, lower_ascii, rows_of, text_slices
 
 CATEGORIES = ("toxic", "toxic_prose", "toxic_junk")
 TRAIN_ROWS = 6000
@@ -60,18 +60,12 @@ def text_features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.n
         last[offsets[1:][full] - 1] = inside[offsets[1:][full] - 1]
         start, end = np.flatnonzero(begin), np.flatnonzero(last) + 1
         rows = rows_of(np.searchsorted(start, offsets))
-        up, down = _powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=sums[1:])
-
-        def hashed(at: np.ndarray, until: np.ndarray, kind: int) -> np.ndarray:
-            return mix((sums[until] - sums[at]) * down[at] + (until - at).astype(np.uint64) + np.uint64(kind << 32))
-
-        owner, found = [rows], [hashed(start, end, 1)]
+        spans = Spans(data)
+        owner, found = [rows], [spans.hashes(start, end, 1)]
         for size in HEADS:
             own = end - start > size
             owner.append(rows[own])
-            found.append(hashed(start[own], start[own] + size, 2))
+            found.append(spans.hashes(start[own], start[own] + size, 2))
         yield first, n, np.concatenate(owner), np.concatenate(found)
 
 

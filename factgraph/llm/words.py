@@ -1,8 +1,10 @@
 """Vectorised word splitting and hashing over Arrow string columns.
 
 A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]``. Words are told
-apart by a 64-bit polynomial hash of their UTF-8 bytes (two different words of a
-corpus with V distinct ones meet with a chance of about V*V / 2**65). A null text
+apart by polynomial hashes of their UTF-8 bytes modulo two primes below 2**31, 62 bits
+in all (two different words of a corpus with V distinct ones meet with a chance of about
+V*V / 2**63; modulo a power of two, words with a pattern could meet whatever the
+multiplier is). A null text
 counts as empty. Work goes over slices of a bounded number of bytes, so one batch
 of long texts does not need memory for all of them at once; a single text is
 never cut.
@@ -17,27 +19,45 @@ import pyarrow as pa
 
 SLICE_BYTES = 2_000_000
 _MULT = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _table() -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-BYTE_VALUES = _table()
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """First n powers of the multiplier and of its inverse modulo 2**64."""
-    have = _POWERS.get("up")
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for name, base in (("up", _MULT), ("down", pow(_MULT, -1, 1 << 64))):
-            values = np.full(size, base & _MASK, np.uint64)
-            values[0] = 1
-            _POWERS[name] = np.multiply.accumulate(values)
-    return _POWERS["up"], _POWERS["down"]
+#: Prime moduli of the hashes, the multiplier of each, and the value that each byte stands for is one more than it.
+MODULI = ((2_147_483_647, 1_640_531_527), (2_147_483_629, 1_235_791_113))
+#: Bytes whose terms (below 2**40) can be summed up in 64 bits.
+SUMMED = 1 << 23
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(prime: int, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least the first n powers of the base and of its inverse."""
+    have = _POWERS.get(prime)
+    if have is None or len(have[0]) < n:
+        out = []
+        for b in (base, pow(base, -1, prime)):
+            values = np.ones(1, np.uint64)
+            while len(values) < max(n, SLICE_BYTES + 1):
+                values = np.concatenate((values, values * np.uint64(pow(b, len(values), prime)) % np.uint64(prime)))
+            out.append(values)
+        have = _POWERS[prime] = tuple(out)
+    return have
+
+
+class Spans:
+    """Hashes of any spans of the same bytes, by prefix sums."""
+
+    def __init__(self, data: np.ndarray):
+        self.parts = []
+        for prime, base in MODULI:
+            up, down = _powers(prime, base, len(data) + 1)
+            terms = up[: len(data)] * (data.astype(np.uint64) + np.uint64(1))
+            if len(data) > SUMMED:
+                terms %= np.uint64(prime)
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(terms, out=sums[1:])
+            self.parts.append((np.uint64(prime), sums, down))
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, kind: int = 0) -> np.ndarray:
+        """uint64 hash of each span; different kinds give different ones."""
+        a, b = ((sums[ends] - sums[starts]) % prime * down[starts] % prime for prime, sums, down in self.parts)
+        return mix((a << np.uint64(31) | b) + np.uint64(kind << 62))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -96,10 +116,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """uint64 hash of every word."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return Spans(data).hashes(starts, ends)
 
 
 def combine(*parts: np.ndarray) -> np.ndarray:

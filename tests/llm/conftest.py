@@ -14,6 +14,14 @@ def prose(seed: int, n: int) -> str:
     return " ".join("".join(rng.choice(("the", "an", "er", "ti", "on", "re", "ou", "é", "ß")) for _ in range(rng.randint(1, 4))) for _ in range(n))
 
 
+def thue_morse() -> tuple[str, str]:
+    """Two different words of 1024 letters that a polynomial hash modulo 2**64 never tells apart."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
 @pytest.fixture(scope="session")
 def texts():
     long = prose(1, 3000)

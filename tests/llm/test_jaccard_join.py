@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from factgraph.llm import jaccard_join, signature_tree
 from factgraph.llm.components import components
+from tests.llm.conftest import thue_morse
 
 
 def brute(texts, k=3, percent=90):
@@ -57,6 +58,10 @@ def test_near_copies_of_many_sizes(spark, texts):
     check(spark, rows)
 
 
+def test_words_that_meet_modulo_a_power_of_two_are_told_apart(spark):
+    check(spark, {i: f"{w} x y" for i, w in enumerate(thue_morse())})
+
+
 def test_chunks_find_links_across_tasks(spark):
     check(spark, variants(3, 40, 120), chunk=7)
 

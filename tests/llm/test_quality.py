@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 from factgraph.llm import quality
+from tests.llm.conftest import thue_morse
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,6 +26,12 @@ def test_counters_match_brute_force(docs, texts):
         assert r.base_failed == failed and r.kept == (not failed)
 
 
+def test_lines_that_meet_modulo_a_power_of_two_are_told_apart(spark):
+    text = "\n".join(thue_morse())
+    row = quality.assess(spark.createDataFrame([(1, text)], "doc_id long, text string"), None).first()
+    assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == brute(text) and row.n_dup_lines == 0
+
+
 def test_model_learns_and_tells_junk(spark):
     from tests.llm.conftest import prose
 

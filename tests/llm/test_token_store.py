@@ -8,6 +8,8 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from factgraph.llm import token_store
+from factgraph.llm.pieces import BytePieces
+from tests.llm.conftest import thue_morse
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -49,6 +51,24 @@ def test_pieces_encode_as_the_whole(text):
     assert got == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids + [2]
 
 
+def test_words_that_meet_modulo_a_power_of_two_are_told_apart(spark):
+    rows = list(enumerate(thue_morse()))
+    tokenizer = Tokenizer.from_file(PATH)
+    got = token_store.read(token_store.write(spark.createDataFrame(rows, "doc_id long, text string"), PATH, 2)).orderBy("doc_id").collect()
+    for r, (_, text) in zip(got, rows, strict=True):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [2]
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_pieces_of_one_hash_keep_their_own_ids(monkeypatch):
+    monkeypatch.setattr(BytePieces, "hashes", lambda self, data, begin, end: (end - begin).astype(np.uint64))
+    tokenizer = Tokenizer.from_file(PATH)
+    text = "there where these those, one two six ten.\n" * 3
+    coder, data = BytePieces(PATH), np.frombuffer(text.encode(), np.uint8)
+    for _ in range(2):
+        assert coder.encode(data, np.array([0, len(data)]))[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_null_ids_repeated_rows_and_empty_table(spark, empty):
     docs = spark.createDataFrame([(None, "a"), (4, "b"), (4, "b")], "doc_id long, text string")
     rows = token_store.read(token_store.write(docs, PATH, 2)).orderBy("start").collect()
