@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm import bpe, decontaminate, jaccard_join, licenses, mixture, passages, periodic_runs, pitman_yor, quality, secrets_scan, token_store, toxicity
+from factgraph.llm import alignment, bpe, decontaminate, jaccard_join, licenses, mixture, passages, periodic_runs, pitman_yor, quality, secrets_scan, token_store, toxicity
 from factgraph.llm.tables import table
 
 
@@ -70,6 +70,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups, links and corpus-wide counts of linked ids of every document."""
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and digest of the ids of every document, and the digest of what they decode to."""
     import public_tokenizers
@@ -89,6 +96,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_alignment": op12_alignment,
     "op13_bpe": op13_bpe,
 }
 ORACLES: dict[str, str] = {}
