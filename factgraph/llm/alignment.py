@@ -39,7 +39,9 @@ from factgraph.llm.tables import saved
 from factgraph.llm.words import text_slices
 
 #: Bytes of the texts of a block, about; a longer text is a block of its own.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
+#: Entries of a worker's cache for each of the two tokenizers.
+CACHE_PIECES = 300_000
 #: Bytes that are aligned at once.
 SLICE_BYTES = 1_000_000
 SPACE = "▁"
@@ -49,7 +51,7 @@ class BpePieces(BytePieces):
     """The byte-level tokenizer with the bytes of each of its tokens."""
 
     def __init__(self, path: str):
-        super().__init__(path, special=False)
+        super().__init__(path, special=False, most=CACHE_PIECES)
         code = {c: b for b, c in enumerate(byte_characters())}
         self.tokens = [b""] * self.tokenizer.get_vocab_size()
         for token, i in self.tokenizer.get_vocab().items():
@@ -69,7 +71,7 @@ class SentencePieces(Pieces):
         self.separable = not any(SPACE in n.lstrip(SPACE) for n in names)
         self.space = self.processor.piece_to_id(SPACE)
         self.tokens = [bytes([int(n[1:-1], 16)]) if self.processor.is_byte(i) else n.replace(SPACE, " ").encode() for i, n in enumerate(names)]
-        super().__init__()
+        super().__init__(CACHE_PIECES)
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
         cut = np.zeros(len(data), bool)

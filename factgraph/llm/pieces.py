@@ -15,14 +15,15 @@ import numpy as np
 from factgraph.llm.words import Spans
 
 STOPS = np.frombuffer(b".,:;!?", np.uint8)
-#: Entries of a worker's cache of encoded pieces; it is emptied when full, which changes speed only.
+#: Entries of a worker's cache of encoded pieces, about 130 bytes each; it is emptied when full, which changes speed only.
 CACHE_PIECES = 1_500_000
 
 
 class Pieces:
-    """Ids of rows through a cache of pieces; subclasses say where pieces begin and encode them."""
+    """Ids of rows through a cache of at most ``most`` pieces; subclasses say where pieces begin and encode them."""
 
-    def __init__(self):
+    def __init__(self, most: int = CACHE_PIECES):
+        self.most = most
         self.clear()
 
     def clear(self) -> None:
@@ -69,7 +70,7 @@ class Pieces:
         begin = np.flatnonzero(cut)
         end = np.concatenate((begin[1:], [len(data)]))
         keys, first, back = np.unique(self.hashes(data, begin, end), return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > CACHE_PIECES:
+        if len(self.keys) + len(keys) > self.most:
             self.clear()
         at = np.searchsorted(self.keys, keys)
         new = np.ones(len(keys), bool)
@@ -103,13 +104,13 @@ class BytePieces(Pieces):
     with ``special`` false their strings are plain text.
     """
 
-    def __init__(self, path: str, special: bool = True):
+    def __init__(self, path: str, special: bool = True, most: int = CACHE_PIECES):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
-        super().__init__()
+        super().__init__(most)
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
         blank = (data == 32) | ((data >= 9) & (data <= 13))
