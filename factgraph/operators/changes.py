@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions import paths, ranges
+from factgraph.operators import intervals
 
+LINES = ("start_line", "end_line")
 TU_EXTENSIONS = ("c", "cc", "cpp", "cxx", "m", "mm")
 
 
@@ -28,11 +30,14 @@ def changed_blocks(diff_lines: DataFrame, hunk: list[str]) -> DataFrame:
 def mapped_symbols(anchors: DataFrame, symbol_ranges: DataFrame) -> DataFrame:
     """Symbols whose extent a changed range meets: anchor_id, symbol_identity, role, relation.
 
-    anchors: anchor_id, file_path, start_line, end_line (whole lines). Joined by file with the extent test behind it.
+    anchors: anchor_id, file_path, start_line, end_line (whole lines). Ranges that share a line are joined by buckets of
+    lines, and the extent test follows.
     """
-    a = anchors.select("anchor_id", F.col("file_path").alias("a_file"), F.col("start_line").alias("a_start_line"), F.lit(1).alias("a_start_column"), F.col("end_line").alias("a_end_line"), F.lit(1).alias("a_end_column"))
-    relation = ranges.extent_relation(ranges.start(a, "a_"), ranges.end(a, "a_"), ranges.start(symbol_ranges), ranges.end(symbol_ranges))
-    return a.join(symbol_ranges, (a["a_file"] == symbol_ranges["file_path"]) & relation.isNotNull()).select("anchor_id", "symbol_identity", "role", relation.alias("relation")).distinct()
+    a = anchors.select("anchor_id", F.col("file_path").alias("a_file"), "start_line", F.lit(1).alias("start_column"), "end_line", F.lit(1).alias("end_column"))
+    extents = symbol_ranges.select("symbol_identity", "role", *ranges.FIELDS)
+    met = intervals.overlapping(a, extents, [("a_file", "file_path")], LINES, LINES)
+    relation = ranges.extent_relation(ranges.start(met, "left."), ranges.end(met, "left."), ranges.start(met, "right."), ranges.end(met, "right."))
+    return met.select("left.anchor_id", "right.symbol_identity", "right.role", relation.alias("relation")).where("relation is not null").distinct()
 
 
 def mapping_status(anchors: DataFrame, matches: DataFrame, sides: DataFrame, files: DataFrame, symbol_counts: DataFrame | None = None, max_candidates: int = 128, max_ranges: int = 512, max_files: int = 128, max_symbols: int = 10_000) -> DataFrame:

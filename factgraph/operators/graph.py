@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factgraph.operators.index import FactError
+from factgraph.operators.ranks import ranked
 from factgraph.sources.workspace import written
 
 KEY = ["src_ns", "src_key", "dst_ns", "dst_key", "relation"]
@@ -82,44 +83,63 @@ def neighbors(nodes: DataFrame, edges: DataFrame, namespace: str, key: str, dire
     return nodes.join(reached, ["namespace", "key"], "left_semi").orderBy("namespace", "key")
 
 
-def traverse(nodes: DataFrame, edges: DataFrame, namespace: str, key: str, max_depth: int, max_nodes: int = 100, max_edges: int = 1000, direction: str = "outgoing", relations: list[str] | None = None) -> Traversal:
-    """Breadth-first search that admits edges one by one, in the order of the parent's rank and the edge's key.
+@dataclass(frozen=True)
+class Search:
+    """Of each seed: visits(seed, rank, namespace, key, depth), edges(seed and KEY), and stops(seed, stopped_by, n_nodes, n_edges).
 
-    An edge beyond ``max_edges`` stops it, or else one that leads to a new node beyond ``max_nodes``; both only when
-    something is turned away. Reaching ``max_depth`` is no truncation. A level is a few window steps, not a loop over edges;
-    the rows of a level are bounded by the budgets.
+    stopped_by is null, edge_limit or node_limit; a seed that is no node has neither visits nor a row in stops.
     """
-    spark = nodes.sparkSession
-    steps = _steps(related(edges, relations).select(*KEY).distinct(), direction)
-    visits = written(nodes.where((F.col("namespace") == namespace) & (F.col("key") == key)).select(F.lit(0).cast("long").alias("rank"), "namespace", "key", F.lit(0).alias("depth")).limit(1))
-    admitted = spark.createDataFrame([], edges.select(*KEY).schema)
-    seen_nodes, seen_edges, stopped = visits.count(), 0, None
-    if not seen_nodes or max_nodes < 1:
-        return Traversal(visits.limit(0), admitted, "node_limit" if seen_nodes else None)
-    for depth in range(max_depth):
-        frontier = visits.where(F.col("depth") == depth).select("rank", F.col("namespace").alias("from_ns"), F.col("key").alias("from_key"))
-        found = steps.join(F.broadcast(frontier), ["from_ns", "from_key"]).join(F.broadcast(admitted), KEY, "left_anti")
-        once = found.withColumn("nth", F.row_number().over(Window.partitionBy(*KEY).orderBy("rank"))).where("nth = 1")
-        # more than the budget's rows can't be admitted, so a level's window is bounded
-        once = once.orderBy("rank", *KEY).limit(max_edges - seen_edges + 1)
-        order = Window.orderBy("rank", *KEY)
-        known = visits.select(F.col("namespace").alias("to_ns"), F.col("key").alias("to_key"), F.lit(True).alias("known"))
-        rows = once.join(F.broadcast(known), ["to_ns", "to_key"], "left").withColumn("i", F.row_number().over(order) - 1)
-        rows = rows.withColumn("is_new", F.col("known").isNull() & (F.row_number().over(Window.partitionBy("to_ns", "to_key").orderBy("rank", *KEY)) == 1))
-        rows = rows.withColumn("new_before", F.coalesce(F.sum(F.col("is_new").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        rows = written(rows.withColumn("block", F.when(F.col("i") + seen_edges >= max_edges, "edge_limit").when(F.col("is_new") & (F.col("new_before") + seen_nodes >= max_nodes), "node_limit")))
-        wall = rows.where("block is not null").orderBy("i").select("i", "block").first()
-        kept = rows if wall is None else rows.where(F.col("i") < wall["i"])
-        new = kept.where("is_new").select((F.col("new_before") + seen_nodes).cast("long").alias("rank"), F.col("to_ns").alias("namespace"), F.col("to_key").alias("key"), F.lit(depth + 1).alias("depth"))
-        admitted, visits = written(admitted.union(kept.select(*KEY))), written(visits.union(new))
-        n = visits.count()
-        seen_edges, grown, seen_nodes = admitted.count(), n - seen_nodes, n
-        if wall is not None:
-            stopped = wall["block"]
-            break
-        if not grown:
+
+    visits: DataFrame
+    edges: DataFrame
+    stops: DataFrame
+
+
+def search(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int, max_nodes: int = 100, max_edges: int = 1000, direction: str = "outgoing", relations: list[str] | None = None) -> Search:
+    """Breadth-first searches from all seeds (seed, namespace, key) at once, level by level, each as if it were the only one.
+
+    A search admits edges one by one, in the order of the parent's rank and the edge's key. An edge beyond ``max_edges``
+    stops it, or else one that leads to a new node beyond ``max_nodes``; both only when something is turned away. Reaching
+    ``max_depth`` is no truncation. The number of jobs grows with the depth alone; places within a search are ranks over
+    sorted partitions, so neither many seeds nor the edges of one node go to one task.
+    """
+    steps = written(_steps(related(edges, relations).select(*KEY).distinct(), direction))
+    at = lambda rows: rows.select("seed", F.col("namespace").alias("to_ns"), F.col("key").alias("to_key"))
+    start = seeds.select("seed", "namespace", "key").join(nodes.select("namespace", "key").distinct(), ["namespace", "key"], "left_semi")
+    visits = written(start.select("seed", F.lit(0).cast("long").alias("rank"), "namespace", "key", F.lit(0).alias("depth")).where(F.lit(max_nodes > 0)))
+    stops = start.select("seed", F.lit(None if max_nodes > 0 else "node_limit").cast("string").alias("stopped_by"), F.lit(min(1, max_nodes)).cast("long").alias("n_nodes"), F.lit(0).cast("long").alias("n_edges"))
+    stops = written(stops)
+    admitted = edges.select(F.lit(None).cast(visits.schema["seed"].dataType).alias("seed"), *KEY).limit(0)
+    for depth in range(max_depth if max_nodes > 0 else 0):
+        frontier = visits.where(F.col("depth") == depth).join(stops.where("stopped_by is null").select("seed"), "seed", "left_semi")
+        found = steps.join(frontier.select("seed", "rank", F.col("namespace").alias("from_ns"), F.col("key").alias("from_key")), ["from_ns", "from_key"])
+        if direction == "both":
+            found = found.join(admitted, ["seed", *KEY], "left_anti")
+        once = found.groupBy("seed", *KEY).agg(F.min(F.struct("rank", "to_ns", "to_key")).alias("f")).select("seed", "f.rank", *KEY, "f.to_ns", "f.to_key")
+        unseen = once.join(at(visits), ["seed", "to_ns", "to_key"], "left_anti").groupBy("seed", "to_ns", "to_key").agg(F.min(F.struct("rank", *KEY)).alias("first"))
+        marked = once.join(unseen, ["seed", "to_ns", "to_key"], "left").withColumn("is_new", F.coalesce(F.col("first") == F.struct("rank", *KEY), F.lit(False))).drop("first")
+        rows = ranked(marked, ["seed", "rank", *KEY], "i", ["seed"], {"n": F.col("is_new").cast("int")}).join(stops.drop("stopped_by"), "seed").withColumn("n", F.col("n") + F.col("n_nodes"))
+        stop = F.when(F.col("i") + F.col("n_edges") >= max_edges, "edge_limit").when(F.col("is_new") & (F.col("n") >= max_nodes), "node_limit")
+        walls = rows.withColumn("by", stop).where("by is not null").groupBy("seed").agg(F.min(F.struct("i", "by")).alias("wall"))
+        taken = written(rows.join(walls, "seed", "left").where("wall is null or i < wall.i").select("seed", *KEY, "is_new", "n", "to_ns", "to_key"))
+        grown = taken.where("is_new").select("seed", F.col("n").alias("rank"), F.col("to_ns").alias("namespace"), F.col("to_key").alias("key"), F.lit(depth + 1).alias("depth"))
+        admitted, visits = admitted.union(taken.select("seed", *KEY)), visits.union(grown)
+        if depth + 1 < max_depth and grown.isEmpty():
+            max_depth = depth + 1
+        more = taken.groupBy("seed").agg(F.count("*").alias("more_edges"), F.count_if("is_new").alias("more_nodes"))
+        plus = lambda c, d: (F.col(c) + F.coalesce(F.col(d), F.lit(0))).alias(c)
+        stops = written(stops.join(more, "seed", "left").join(walls, "seed", "left").select("seed", F.coalesce("stopped_by", F.col("wall")["by"]).alias("stopped_by"), plus("n_nodes", "more_nodes"), plus("n_edges", "more_edges")))
+        if depth + 1 == max_depth:
             break
-    return Traversal(visits.orderBy("rank"), admitted.orderBy(*KEY), stopped)
+    return Search(visits, admitted, stops)
+
+
+def traverse(nodes: DataFrame, edges: DataFrame, namespace: str, key: str, max_depth: int, max_nodes: int = 100, max_edges: int = 1000, direction: str = "outgoing", relations: list[str] | None = None) -> Traversal:
+    """The breadth-first search from one node; see ``search``."""
+    seed = nodes.sparkSession.createDataFrame([(0, namespace, key)], "seed long, namespace string, key string")
+    found = search(nodes, edges, seed, max_depth, max_nodes, max_edges, direction, relations)
+    stop = found.stops.first()
+    return Traversal(found.visits.drop("seed").orderBy("rank"), found.edges.drop("seed").orderBy(*KEY), stop and stop.stopped_by)
 
 
 def reaching(edges: DataFrame, targets: DataFrame, relations: list[str] | None = None, max_depth: int | None = None) -> DataFrame:
@@ -150,7 +170,7 @@ def simple_paths(edges: DataFrame, namespace: str, key: str, max_depth: int = 8,
     """Maximal simple paths from a node: rows path (nodes), edges (keys), length, state (1-based).
 
     A step that would close a cycle is left out and noted. A path ends where no other step goes on, or at ``max_depth``.
-    Depth-first preorder is the order of the arrays of edge keys, so states are numbered by a window over whole levels
+    Depth-first preorder is the order of the arrays of edge keys, so states are numbered by their ranks in it
     instead of a stack; each level keeps the ``max_states`` smallest states, which no later one can come before.
     """
     node = lambda ns, k: F.struct(F.col(ns).alias("namespace"), F.col(k).alias("key"))
@@ -171,10 +191,8 @@ def simple_paths(edges: DataFrame, namespace: str, key: str, max_depth: int = 8,
         if depth == max_depth or children.isEmpty():
             break
         level = written(children.select(F.concat("path", F.array("to")).alias("path"), F.concat("keys", F.array("edge")).alias("keys")).orderBy("keys").limit(max_states))
-    order = Window.orderBy("keys")
     leaf = ~F.col("onward") | (F.col("depth") == max_depth)
-    rows = states.withColumn("state", F.row_number().over(order)).withColumn("leaf", leaf)
-    rows = written(rows.withColumn("before", F.coalesce(F.sum(F.col("leaf").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    rows = written(ranked(states.withColumn("leaf", leaf), ["keys"], "state", sums={"before": F.col("leaf").cast("int")}).withColumn("state", F.col("state") + 1))
     seen = rows.where((F.col("state") <= max_states) & (F.col("before") < max_paths))
     if seen.count() < rows.count():
         issues.add("state_or_path_limit")

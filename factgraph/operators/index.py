@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions import ranges
+from factgraph.operators import intervals
 
 RANGE = list(ranges.FIELDS)
 
@@ -91,10 +92,11 @@ def test_cases(entities: DataFrame, fixture_cases: DataFrame, bodies: DataFrame)
 
 
 def contained_references(references: DataFrame, bodies: DataFrame) -> DataFrame:
-    """References that stand inside a test's body: an equi-join on the file with the range test behind it."""
-    b = bodies.select(F.col("case_identity"), *(F.col(c).alias(f"body_{c}") for c in RANGE))
-    on = (references["file_path"] == b["body_file_path"]) & ranges.contains(ranges.start(b, "body_"), ranges.end(b, "body_"), ranges.start(references), ranges.end(references))
-    return references.join(b, on).select("case_identity", "symbol_identity", *RANGE).distinct()
+    """References that stand inside a test's body: ranges that share a line, joined by buckets of lines, with the exact test behind it."""
+    lines = ("start_line", "end_line")
+    met = intervals.overlapping(references.select("symbol_identity", *RANGE), bodies.select("case_identity", *RANGE), [("file_path", "file_path")], lines, lines)
+    inside = met.where(ranges.contains(ranges.start(met, "right."), ranges.end(met, "right."), ranges.start(met, "left."), ranges.end(met, "left.")))
+    return inside.select("right.case_identity", "left.symbol_identity", *(f"left.{c}" for c in RANGE)).distinct()
 
 
 def tested_symbols(test_references: DataFrame) -> DataFrame:

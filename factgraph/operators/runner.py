@@ -6,10 +6,11 @@ import time
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factgraph.operators import index, metrics, textsearch
+from factgraph.operators.ranks import ranked
 from factgraph.sources.workspace import written
 
 #: What each kind of query finds.
@@ -35,7 +36,7 @@ def execute(kind: str, text: str, tables: dict[str, DataFrame], qualified: bool
     else:
         found = index.contained_references(tables["references"], tables["test_case_bodies"]).where(F.col("symbol_identity") == text).select(F.col("case_identity").alias("item")).distinct()
     found = found.distinct() if limit is None else found.distinct().orderBy("item").limit(limit)
-    return found.select("item", F.row_number().over(Window.orderBy("item")).cast("long").alias("rank"))
+    return ranked(found.select("item"), ["item"]).withColumn("rank", F.col("rank") + 1)
 
 
 def run(spark: SparkSession, suite: list[dict], tables: dict[str, DataFrame], clock: Callable[[], float] = time.perf_counter) -> DataFrame:

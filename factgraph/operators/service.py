@@ -134,9 +134,8 @@ def retrieve(queries: DataFrame, facts: Facts, bound: DataFrame | None = None, b
     """
     bounds = bounds or Bounds()
     spark = queries.sparkSession
-    order = Window.orderBy("channel", "selector", "query_id")
-    ranked = queries.dropDuplicates(["query_id"]).withColumn("number", F.row_number().over(order)) if queries.limit(bounds.queries + 1).count() > bounds.queries else queries.dropDuplicates(["query_id"]).withColumn("number", F.lit(1))
-    own = written(retrieval.guarded(ranked.where(F.col("number") <= bounds.queries).drop("number"), bounds))
+    own = queries.dropDuplicates(["query_id"]).orderBy("channel", "selector", "query_id").limit(bounds.queries)
+    own = written(retrieval.guarded(own, bounds))
     broken = (failed if failed is not None else spark.createDataFrame([], "query_id string, message string")).dropDuplicates(["query_id"])
     live = own.where("refusal is null").join(broken.select("query_id"), "query_id", "left_anti")
     found = written(named(live, facts.symbols, bounds))

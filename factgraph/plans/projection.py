@@ -64,6 +64,6 @@ def duck(name: str) -> str:
 def oracle(sql: str, *facts: str) -> str:
     """DuckDB SQL over the named facts."""
     head = ", ".join(f"{f} AS ({duck(f)})" for f in facts)
-    if sql.startswith("WITH RECURSIVE "):
+    if head and sql.startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {head}, {sql.removeprefix('WITH RECURSIVE ')}"
     return f"WITH {head} {sql}" if head else sql

@@ -684,4 +684,4 @@ def depfile_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-from factgraph.plans import service_queries  # noqa: E402, F401  (registers its queries here)
+from factgraph.plans import service_queries, trace_queries  # noqa: E402, F401  (they register their queries here)
