@@ -10,9 +10,12 @@ MAX_BACKING = 65_536
 
 def line_offsets(files: DataFrame) -> DataFrame:
     """path, line, offset: 0-based code-point offset where each line begins, the end of the file as one line more."""
-    cut = files.select("path", F.length("content").alias("size"), F.split("content", "\n").alias("rows"))
-    starts = F.aggregate("rows", F.array(F.lit(0)), lambda done, r: F.concat(done, F.array(F.element_at(done, -1) + F.length(r) + 1)))
-    return cut.select("path", "size", F.posexplode(starts).alias("at", "offset")).where("at = 0 or offset <= size").select("path", (F.col("at") + 1).cast("long").alias("line"), F.col("offset").cast("long").alias("offset"))
+    # only the lengths of the lines leave the scan; a line's offset is their sum in front of it
+    lengths = files.select("path", F.length("content").alias("size"), F.concat(F.array(F.lit(-1)), F.transform(F.split("content", "\n"), F.length)).alias("lengths"))
+    rows = lengths.select("path", "size", F.posexplode("lengths").alias("at", "length"))
+    so_far = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    starts = rows.withColumn("offset", F.sum(F.col("length") + 1).over(so_far))
+    return starts.where("at = 0 or offset <= size").select("path", (F.col("at") + 1).cast("long").alias("line"), F.col("offset").cast("long").alias("offset"))
 
 
 def position_offsets(positions: DataFrame, files: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.operators import expansion
-from factgraph.plans.projection import fact
+from factgraph.operators import expansion, framework
+from factgraph.plans import codebase
+from factgraph.plans.projection import duck_text, fact
 from factgraph.plans.queries import nodes_of, query
 
 # --- bounded expansion
@@ -58,3 +59,23 @@ def expand_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("key", "status", "diagnostics", "n_nodes", "n_edges")
     new, old = (o.reports.select(F.lit(side).alias("side"), *columns) for side, o in zip(("new", "old"), outcomes, strict=True))
     return new.union(old)
+
+
+# --- framework relations
+
+#: What each method is, by the numbers its text was made of.
+OWNED = f"SELECT *, {codebase.CLASS_ROLE} AS role, CASE WHEN odd = 6 THEN 24 WHEN p % 2 = 0 THEN 0 ELSE 5 END AS target FROM ({duck_text(codebase.METHODS)}) m"
+PROVED = """CASE WHEN odd = 1 THEN 'missing_definition' WHEN odd = 2 THEN 'unsupported_body_template' WHEN odd = 3 THEN 'missing_reference' WHEN odd = 4 THEN 'ambiguous_reference' WHEN odd = 6 THEN 'unknown_ambiguous_or_cross_component_target'
+    WHEN role = 'pattern' AND odd = 5 THEN 'missing_or_ambiguous_semantic_factory_call' WHEN role = 'model' AND p % 2 = 1 THEN 'unsupported_macro_definition' END"""
+
+
+@query(
+    f"""WITH o AS ({OWNED}), known AS (SELECT * FROM o WHERE odd <> 9 AND role IN ('pattern', 'model')) SELECT concat('method:', p) AS source, NULL AS target, NULL AS relation, 'owner' AS rule, 'missing_semantic_parent' AS diagnostic FROM o WHERE odd = 9
+    UNION SELECT concat('class:', class_no), NULL, NULL, 'role', role FROM o WHERE odd <> 9 AND role NOT IN ('pattern', 'model') UNION SELECT concat('class:', class_no), concat('method:', p), 'measure', 'operation', CASE WHEN odd = 8 THEN 'unsupported_declaration_template' END FROM known WHERE odd IN (7, 8)
+    UNION SELECT concat('method:', p), CASE WHEN odd NOT IN (1, 2, 3, 4) THEN concat('nation:', target) END, CASE WHEN odd NOT IN (1, 2) THEN CASE role WHEN 'pattern' THEN 'create' ELSE 'update_property' END END, 'body', {PROVED} FROM known WHERE odd NOT IN (7, 8)
+    UNION SELECT concat('case:', l_orderkey), concat('method:', l_partkey), 'test', 'test', NULL FROM lineitem JOIN o ON o.p = l_partkey WHERE l_linenumber = 1 AND odd <> 9 AND role IN ('pattern', 'model')
+    UNION SELECT CASE WHEN odd = 9 THEN concat('method:', p) ELSE concat('class:', class_no) END, NULL, NULL, 'role', CASE WHEN odd = 9 THEN 'missing_role' ELSE role END FROM lineitem JOIN o ON o.p = l_partkey WHERE l_linenumber = 1 AND (odd = 9 OR role NOT IN ('pattern', 'model')) UNION SELECT 'mock', NULL, NULL, 'mock', 'unsupported_mock_facts'"""
+)
+def framework_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tests = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber = 1").select(F.concat(F.lit("case:"), "l_orderkey").alias("case_identity"), F.concat(F.lit("method:"), "l_partkey").alias("symbol_identity"))
+    return framework.framework_relations(**codebase.tables(spark, sf_dir), tests=tests, **codebase.templates(spark))
