@@ -1,7 +1,9 @@
 """A code base out of the driver's tables: a class for each supplier, a method for each part, texts and facts that fit each other.
 
 Method p belongs to class p % suppliers and stands in its file, in blocks of five lines in the order of the part keys;
-p_size says what is odd about it, as ODD tells.
+p_size says what is odd about it, as ODD tells. A nation is a property class with a writer, a field, a reader and consumers;
+its number modulo 5 says what the chain lacks (1: a call of the writer, 2: a plain write, 3: a consumer; 4 has two). Each
+method has an entry, whose calls lead to it or not by the remainders of its part key.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ ODD = {1: "no definition", 2: "another body", 3: "no reference", 4: "two referen
 BLOCK = 5
 FACTORY, FACTORY_FILE = "core::MakeRef", "core/factory.h"
 MACRO_FILE = "core/macros.h"
-MACROS = {"LAYOUT": "#defineSET_LAYOUT(target,value)do{target->Set(value);}while(false)", "PAINT": "#defineSET_PAINT(target,value)do{target->Set(value);}while(false)"}
+MACROS = {k: f"#defineSET_{k}(target,name,value)do{{target->Update##name(value);}}while(false)" for k in ("LAYOUT", "PAINT")}
 FACTORY_PATTERN = "^MakeRef\\(\\)\\s*\\{\\s*return new T\\(\\);\\s*\\}"
 
 METHODS = """SELECT p_partkey AS p, CAST(p_partkey % s AS bigint) AS class_no, p_size % 10 AS odd, CAST(row_number() OVER (PARTITION BY p_partkey % s ORDER BY p_partkey) - 1 AS bigint) AS k FROM {part}, (SELECT count(*) AS s FROM {supplier}) x"""
@@ -30,7 +32,7 @@ def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(sql, part=spark.read.parquet(f"{sf_dir}/part.parquet"), supplier=spark.read.parquet(f"{sf_dir}/supplier.parquet"))
     kind = F.when(F.col("p") % 2 == 0, "LAYOUT").otherwise("PAINT")
     # nations 0 to 4 and 5 to 9 are the properties of the two components, layout before paint; 10 to 14 are algorithms of the first
-    target = F.when(F.col("odd") == 6, F.lit(24)).when(kind == "LAYOUT", 0).otherwise(5)
+    target = F.when(F.col("odd") == 6, F.lit(24)).when(kind == "LAYOUT", F.col("p") % 5).otherwise(5 + F.col("p") % 5)
     return rows.withColumn("kind", kind).withColumn("target", target).withColumn("role", F.expr(CLASS_ROLE)).withColumn("name", F.when(F.col("odd").isin(7, 8), F.lit("Measure")).otherwise(F.concat(F.lit("Op"), "p"))).withColumn("line", BLOCK * F.col("k") + 1)
 
 
@@ -44,17 +46,19 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     rows = methods(spark, sf_dir)
     before = F.when(c("role") == "model", F.concat(lit("  SET_"), "kind", lit("("))).otherwise(lit("  return MakeRef<"))
     target = F.concat(lit("N"), "target")
-    body = F.when(c("odd") == 2, lit("  return;")).otherwise(F.concat(before, target, F.when(c("role") == "model", lit(", v);")).otherwise(lit(">();"))))
+    body = F.when(c("odd") == 2, lit("  return;")).otherwise(F.concat(before, target, F.when(c("role") == "model", lit(", Width, v);")).otherwise(lit(">();"))))
     block = F.concat("name", lit("(int v)\n{\n"), body, lit("\n}\n\n"))
     declared = F.concat(F.when(c("odd") == 8, lit("  int ")).otherwise(lit("  void ")), "name", lit("(int v) override;\n"))
 
     def joined(text, ending):
         return rows.withColumn("block", text).groupBy("class_no").agg(F.array_sort(F.collect_list(F.struct("p", "block"))).alias("blocks")).select(path(ending).alias("path"), F.array_join(F.transform("blocks", lambda b: b["block"]), "").alias("content"))
 
-    paint = "#define SET_PAINT(target, value) do { target->Set(value); } while (false)\n#define SET_PAINT(other, value)\n"
-    core = spark.createDataFrame([(FACTORY_FILE, "template<class T>\nT MakeRef() {\n  return new T();\n}\n"), (MACRO_FILE, "#define SET_LAYOUT(target, value) \\\n  do { target->Set(value); } \\\n  while (false)\n" + paint)], "path string, content string")
-    files = joined(block, ".cpp").union(joined(declared, ".h")).union(core)
+    paint = "#define SET_PAINT(target, name, value) do { target->Update##name(value); } while (false)\n#define SET_PAINT(other, value)\n"
+    core = spark.createDataFrame([(FACTORY_FILE, "template<class T>\nT MakeRef() {\n  return new T();\n}\n"), (MACRO_FILE, "#define SET_LAYOUT(target, name, value) \\\n  do { target->Update##name(value); } \\\n  while (false)\n" + paint)], "path string, content string")
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(c("n_nationkey").cast("long").alias("n"))
+    own_file = F.concat(lit("prop/"), "n", lit(".cpp"))
+    members = F.concat(lit("UpdateWidth(int v)\n{\n  width_ = v"), F.when(c("n") % 5 == 2, " + 1").otherwise(""), lit(";\n}\n\nGetWidth()\n{\n  return width_;\n}\n"))
+    files = joined(block, ".cpp").union(joined(declared, ".h")).union(core).union(nation.select(own_file, members))
     classes = rows.select("class_no", "role").distinct()
     own = F.when(c("odd") != 9, F.concat(lit("class:"), "class_no"))
     symbols = (
@@ -63,14 +67,30 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         .union(nation.select(F.concat(lit("nation:"), "n"), lit("class"), F.concat(lit("N"), "n"), lit(None).cast("string")))
         .union(spark.createDataFrame([("factory", "function", FACTORY, None)], "identity string, kind string, qualified_name string, parent_identity string"))
     )
+    of = lambda kind: F.concat(lit(f"{kind}:"), "n")
+    null = lit(None).cast("string")
+    for kind, sort, name, parent in (("update", "method", "::UpdateWidth", of("nation")), ("get", "method", "::GetWidth", of("nation")), ("width", "field", "::width_", of("nation")), ("consumer", "function", "Use", null), ("consumer2", "function", "UseToo", null)):
+        symbols = symbols.union(nation.select(of(kind), lit(sort), F.concat(lit("N"), "n", lit(name)), parent))
+    for kind in ("entry", "mid"):
+        symbols = symbols.union(rows.select(F.concat(lit(f"{kind}:"), "p"), lit("function"), F.concat(lit(kind), "p"), null))
     spot = lambda df, identity, role, file, line, column, width: df.select(identity.alias("symbol_identity"), lit(role).alias("role"), file.alias("file_path"), line.cast("long").alias("start_line"), column.cast("long").alias("start_column"), line.cast("long").alias("end_line"), (column + width).cast("long").alias("end_column"))
     method = F.concat(lit("method:"), "p")
     ranges = spot(rows.where("odd <> 1"), method, "definition", path(".cpp"), c("line"), lit(1), lit(1)).union(spot(rows, method, "declaration", path(".h"), c("k") + 1, F.when(c("odd") == 8, lit(7)).otherwise(lit(8)), lit(1)))
     ranges = ranges.union(spot(spark.range(1), lit("factory"), "declaration", lit(FACTORY_FILE), lit(2), lit(3), lit(7)))
+    for kind, line in (("update", 1), ("get", 6)):
+        ranges = ranges.union(spot(nation, of(kind), "definition", own_file, lit(line), lit(1), lit(1)))
+    for kind in ("nation", "width", "consumer", "consumer2"):
+        ranges = ranges.union(spot(nation, of(kind), "declaration", lit(f"{kind}.h"), c("n") + 1, lit(1), lit(1)))
+    ranges = ranges.union(spot(rows.where("p % 11 <> 0"), F.concat(lit("entry:"), "p"), "declaration", lit("entry.h"), c("p") + 1, lit(1), lit(1))).union(spot(rows, F.concat(lit("mid:"), "p"), "declaration", lit("mid.h"), c("p") + 1, lit(1), lit(1)))
     at = (c("line") + 2, F.length(before) + 1, F.length(target))
     referring = rows.where("odd not in (2, 3)")
     references = spot(referring, F.concat(lit("nation:"), "target"), "use", path(".cpp"), *at).union(spot(rows.where("odd = 4"), lit("nation:10"), "use", path(".cpp"), *at)).drop("role")
+    references = references.union(spot(nation, of("width"), "use", own_file, lit(3), lit(3), lit(6)).union(spot(nation, of("width"), "use", own_file, lit(8), lit(10), lit(6))).drop("role"))
     calls = rows.where("role <> 'model' and odd <> 5").select(method.alias("caller"), lit("factory").alias("callee"))
+    calls = calls.union(rows.where("role = 'model' and target % 5 <> 1").select(method, F.concat(lit("update:"), "target")))
+    calls = calls.union(nation.where("n % 5 <> 3").select(of("consumer"), of("get"))).union(nation.where("n % 5 = 4").select(of("consumer2"), of("get")))
+    entry, mid = F.concat(lit("entry:"), "p"), F.concat(lit("mid:"), "p")
+    calls = calls.union(rows.where("p % 3 = 1 or p % 7 = 0").select(entry, method)).union(rows.where("p % 3 = 0 or p % 7 = 0").select(F.explode(F.array(F.struct(entry.alias("a"), mid.alias("b")), F.struct(mid.alias("a"), method.alias("b")))).alias("e")).select("e.a", "e.b"))
     mapped = classes.where("role <> 'missing_role'").select(F.concat(lit("class:"), "class_no").alias("identity"), F.when(c("role").isin("unknown", "ambiguous"), c("role")).otherwise("recognized").alias("status"), "role", F.lit("comp0").alias("component"))
     goal = F.when(c("n") < 5, "layout_property").when(c("n") < 10, "paint_property").otherwise("layout_algorithm")
     mapped = mapped.union(nation.select(F.concat(lit("nation:"), "n"), lit("recognized"), goal, F.when(c("n") < 15, "comp0").otherwise("comp1")))
@@ -82,9 +102,13 @@ def templates(spark: SparkSession) -> dict[str, DataFrame]:
     return {
         "operations": spark.createDataFrame([(role, "Measure", "measure", "^(\\s*void\\s+)(Measure)\\(int v\\) override;") for role in ("pattern", "model")], "role string, name string, relation string, pattern string"),
         "bodies": spark.createDataFrame(
-            [("create", "pattern", "create", "return MakeRef<)(\\w+)>\\(\\);", roles["pattern"], "factory")] + [(k, "model", "update_property", f"SET_{k}\\()(\\w+), \\w+\\);", roles[k], "macro") for k in ("LAYOUT", "PAINT")],
+            [("create", "pattern", "create", "return MakeRef<)(\\w+)>\\(\\);", roles["pattern"], "factory")] + [(k, "model", "update_property", f"SET_{k}\\()(\\w+), \\w+, \\w+\\);", roles[k], "macro") for k in ("LAYOUT", "PAINT")],
             "template string, role string, relation string, pattern string, target_roles array<string>, backing string",
         ),
         "factories": spark.createDataFrame([(FACTORY, FACTORY_FILE, FACTORY_PATTERN)], "qualified_name string, file_path string, pattern string"),
         "macros": spark.createDataFrame([(k, MACRO_FILE, f"SET_{k}", text) for k, text in MACROS.items()], "template string, file_path string, name string, expansion string"),
     }
+
+
+#: Idioms of setters: name, pattern and the role of what they set.
+SETTERS = [(k, f"SET_{k}\\()(\\w+), (\\w+), \\w+\\);", role) for k, role in (("LAYOUT", "layout_property"), ("PAINT", "paint_property"))]

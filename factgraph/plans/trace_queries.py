@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.operators import expansion, framework
+from factgraph.operators import expansion, framework, property_trace
 from factgraph.plans import codebase
 from factgraph.plans.projection import duck_text, fact
 from factgraph.plans.queries import nodes_of, query
@@ -64,7 +64,7 @@ def expand_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- framework relations
 
 #: What each method is, by the numbers its text was made of.
-OWNED = f"SELECT *, {codebase.CLASS_ROLE} AS role, CASE WHEN odd = 6 THEN 24 WHEN p % 2 = 0 THEN 0 ELSE 5 END AS target FROM ({duck_text(codebase.METHODS)}) m"
+OWNED = f"SELECT *, {codebase.CLASS_ROLE} AS role, CASE WHEN odd = 6 THEN 24 WHEN p % 2 = 0 THEN p % 5 ELSE 5 + p % 5 END AS target FROM ({duck_text(codebase.METHODS)}) m"
 PROVED = """CASE WHEN odd = 1 THEN 'missing_definition' WHEN odd = 2 THEN 'unsupported_body_template' WHEN odd = 3 THEN 'missing_reference' WHEN odd = 4 THEN 'ambiguous_reference' WHEN odd = 6 THEN 'unknown_ambiguous_or_cross_component_target'
     WHEN role = 'pattern' AND odd = 5 THEN 'missing_or_ambiguous_semantic_factory_call' WHEN role = 'model' AND p % 2 = 1 THEN 'unsupported_macro_definition' END"""
 
@@ -79,3 +79,26 @@ PROVED = """CASE WHEN odd = 1 THEN 'missing_definition' WHEN odd = 2 THEN 'unsup
 def framework_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     tests = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber = 1").select(F.concat(F.lit("case:"), "l_orderkey").alias("case_identity"), F.concat(F.lit("method:"), "l_partkey").alias("symbol_identity"))
     return framework.framework_relations(**codebase.tables(spark, sf_dir), tests=tests, **codebase.templates(spark))
+
+
+# --- property traces
+
+#: Paths from the entry of each method, chains from its property on, and what is missing, by the numbers.
+PROPERTY = f"""o AS ({OWNED}), b AS (SELECT *, role = 'model' AND odd IN (0, 5) AND p % 2 = 0 AS bound, CASE WHEN odd = 9 OR role NOT IN ('model', 'ambiguous') THEN 'unknown_or_cross_component_model' WHEN role = 'ambiguous' THEN 'ambiguous_model_role' END AS g1,
+    CASE WHEN role = 'model' THEN CASE odd WHEN 3 THEN 'missing_property_reference' WHEN 4 THEN 'ambiguous_property_identity' WHEN 6 THEN 'ambiguous_property_role_conflict' END END AS g2, CASE WHEN odd <> 9 AND role = 'ambiguous' THEN 'ambiguous_call_role' END AS g3 FROM o),
+    d AS (SELECT p, concat('entry:', p, '>method:', p) AS path, true AS ended FROM o WHERE p % 3 = 1 OR p % 7 = 0 UNION ALL SELECT p, concat('entry:', p, '>mid:', p, '>method:', p), true FROM o WHERE p % 3 = 0 OR p % 7 = 0 UNION ALL SELECT p, concat('entry:', p), false FROM o WHERE p % 3 = 2 AND p % 7 <> 0),
+    t(k, rest, g4) AS (VALUES (0, '>update:N>width:N>get:N>consumer:N', NULL), (1, '', 'missing_property_writer'), (2, '>update:N', 'unsupported_property_write'), (3, '>update:N>width:N', 'missing_downstream_consumer'), (4, '>update:N>width:N>get:N>consumer:N', NULL), (4, '>update:N>width:N>get:N>consumer2:N', NULL)),
+    r AS (SELECT b.p, d.path, CASE WHEN ended AND bound THEN concat('nation:', target, replace(t.rest, 'N', CAST(target AS varchar))) ELSE '' END AS chain, array_to_string(list_sort(list_filter(CASE WHEN ended THEN [g1, g2, g3, CASE WHEN g1 IS NULL AND g2 IS NULL AND NOT bound THEN 'missing_update_binding' END, CASE WHEN bound THEN t.g4 END, CASE WHEN b.p % 11 = 0 THEN 'missing_source_location' END]
+    ELSE ['missing_setter_call'] END, lambda x: x IS NOT NULL)), ',') AS gaps FROM b JOIN d ON d.p = b.p LEFT JOIN t ON ended AND bound AND t.k = target % 5)"""
+
+
+@query(f"WITH {PROPERTY} SELECT r.p AS trace, path, chain, gaps, CASE WHEN n > 1 OR vague THEN 'ambiguous' WHEN gaps = '' THEN 'complete' ELSE 'incomplete' END AS status FROM r JOIN (SELECT p, count(*) AS n, bool_or(contains(gaps, 'ambiguous_')) AS vague FROM r GROUP BY p) s ON s.p = r.p")
+def property_trace_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = codebase.tables(spark, sf_dir)
+    updates = framework.framework_relations(**base, tests=spark.createDataFrame([], "case_identity string, symbol_identity string"), **codebase.templates(spark)).where("relation = 'update_property' and diagnostic is null")
+    p = F.col("p_partkey").cast("long")
+    requests = spark.read.parquet(f"{sf_dir}/part.parquet").select(p.alias("trace"), F.concat(F.lit("entry:"), p).alias("seed"), F.concat(F.lit("method:"), p).alias("setter"), F.lit("comp0").alias("component"))
+    components = spark.createDataFrame([("comp0",), ("comp1",)], "component string")
+    found = property_trace.property_traces(requests, **base, updates=updates, templates=codebase.SETTERS, components=components)
+    rows = found.paths.join(found.summary.select("trace", "status"), "trace")
+    return rows.select("trace", F.array_join("path", ">").alias("path"), F.array_join("chain", ">").alias("chain"), F.array_join("gaps", ",").alias("gaps"), "status")
