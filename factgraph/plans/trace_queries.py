@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.operators import expansion, framework, property_trace
+from factgraph.operators import creation_trace, expansion, framework, property_trace
 from factgraph.plans import codebase
 from factgraph.plans.projection import duck_text, fact
 from factgraph.plans.queries import nodes_of, query
@@ -83,6 +83,7 @@ def framework_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- property traces
 
+COMPONENTS = [("comp0",), ("comp1",)]
 #: Paths from the entry of each method, chains from its property on, and what is missing, by the numbers.
 PROPERTY = f"""o AS ({OWNED}), b AS (SELECT *, role = 'model' AND odd IN (0, 5) AND p % 2 = 0 AS bound, CASE WHEN odd = 9 OR role NOT IN ('model', 'ambiguous') THEN 'unknown_or_cross_component_model' WHEN role = 'ambiguous' THEN 'ambiguous_model_role' END AS g1,
     CASE WHEN role = 'model' THEN CASE odd WHEN 3 THEN 'missing_property_reference' WHEN 4 THEN 'ambiguous_property_identity' WHEN 6 THEN 'ambiguous_property_role_conflict' END END AS g2, CASE WHEN odd <> 9 AND role = 'ambiguous' THEN 'ambiguous_call_role' END AS g3 FROM o),
@@ -98,7 +99,31 @@ def property_trace_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     updates = framework.framework_relations(**base, tests=spark.createDataFrame([], "case_identity string, symbol_identity string"), **codebase.templates(spark)).where("relation = 'update_property' and diagnostic is null")
     p = F.col("p_partkey").cast("long")
     requests = spark.read.parquet(f"{sf_dir}/part.parquet").select(p.alias("trace"), F.concat(F.lit("entry:"), p).alias("seed"), F.concat(F.lit("method:"), p).alias("setter"), F.lit("comp0").alias("component"))
-    components = spark.createDataFrame([("comp0",), ("comp1",)], "component string")
+    components = spark.createDataFrame(COMPONENTS, "component string")
     found = property_trace.property_traces(requests, **base, updates=updates, templates=codebase.SETTERS, components=components)
     rows = found.paths.join(found.summary.select("trace", "status"), "trace")
     return rows.select("trace", F.array_join("path", ">").alias("path"), F.array_join("chain", ">").alias("chain"), F.array_join("gaps", ",").alias("gaps"), "status")
+
+
+# --- creation traces
+
+CREATION = f"""m AS (SELECT *, role IN ('pattern', 'model') AND comp = 'comp1' AS other, CASE WHEN v = 7 THEN 'view:2' WHEN v = 8 THEN 'view:3' WHEN v = 9 THEN 'view:1' ELSE 'view:0' END AS view FROM (SELECT *, CASE WHEN p % 9 = 0 THEN 'comp1' ELSE 'comp0' END AS comp FROM ({OWNED}) o) x),
+    n AS (SELECT *, p % 5 = 4 AS direct, role = 'ambiguous' OR other OR v = 12 AS stopped, NOT other AND (role IN ('model', 'ambiguous') OR v <> 11) AS led,
+    CASE v WHEN 1 THEN 'missing_definition' WHEN 10 THEN 'unsupported_pattern_callback' WHEN 2 THEN 'unsupported_pattern_argument' WHEN 4 THEN 'ambiguous_reference' WHEN 3 THEN 'missing_argument_reference' WHEN 5 THEN 'missing_allocation_call' WHEN 6 THEN 'ambiguous_allocation_call' WHEN 7 THEN 'unknown_pattern_role' WHEN 8 THEN 'ambiguous_role'
+    ELSE CASE WHEN (v = 9) <> (comp = 'comp1') THEN 'different_component_or_role' END END AS arg FROM m),
+    r AS (SELECT *, CASE WHEN NOT direct AND (p % 4 = 3 OR NOT led) THEN 0 WHEN stopped OR v = 11 THEN 1 ELSE 2 END AS far FROM n)"""
+
+
+@query(
+    f"""WITH {CREATION} SELECT p AS trace, concat(CASE WHEN direct THEN '' ELSE concat('start:', p, CASE WHEN far > 0 THEN '>' ELSE '' END) END, CASE WHEN direct OR far > 0 THEN concat('make:', p) ELSE '' END, CASE WHEN far = 2 THEN CASE WHEN v = 10 THEN '>frame:get' ELSE '>frame:create' END ELSE '' END) AS path,
+    CASE WHEN far = 2 AND arg IS NULL THEN view END AS pattern, gaps, CASE WHEN contains(gaps, 'ambiguous_') THEN 'ambiguous' WHEN gaps = '' THEN 'complete' ELSE 'incomplete' END AS status FROM (SELECT *, array_to_string(list_sort(list_filter([CASE WHEN far < 2 THEN 'missing_creation_relation' END, CASE WHEN far < 2 OR arg IS NOT NULL THEN 'missing_pattern_stage' END,
+    CASE WHEN far = 2 THEN arg END, CASE WHEN far = 2 AND direct AND role = 'model' THEN 'missing_entry_stage' END, CASE WHEN far = 2 AND role <> 'model' THEN 'missing_model_stage' END, CASE WHEN far = 1 AND role = 'ambiguous' THEN 'ambiguous_role' END, CASE WHEN far = 1 AND other THEN 'different_component' END, CASE WHEN far = 1 AND v = 12 THEN 'missing_source_location' END], lambda x: x IS NOT NULL)), ',') AS gaps FROM r) z"""
+)
+def creation_trace_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = codebase.tables(spark, sf_dir)
+    p = F.col("p_partkey").cast("long")
+    requests = spark.read.parquet(f"{sf_dir}/part.parquet").select(p.alias("trace"), F.concat(F.when(p % 5 == 4, "make:").otherwise("start:"), p).alias("seed"), F.when(p % 9 == 0, "comp1").otherwise("comp0").alias("component"))
+    frames = creation_trace.Frames(codebase.FRAME_CLASS, codebase.FRAME_FILE, ("CreateFrameNode",), ("GetOrCreateFrameNode",))
+    found = creation_trace.creation_traces(requests, **base, components=spark.createDataFrame(COMPONENTS, "component string"), factories=codebase.templates(spark)["factories"], frames=frames, pattern=codebase.MAKING)
+    rows = found.paths.join(found.summary.select("trace", "status"), "trace")
+    return rows.select("trace", F.array_join("path", ">").alias("path"), "pattern", F.array_join("gaps", ",").alias("gaps"), "status")
