@@ -6,7 +6,7 @@ context is a restaurant, and all of them share the unigram restaurant as parent,
 base gives every training token and one unknown token the same chance.
 
 Texts are read once, into blocks of about ``BLOCK_TOKENS`` tokens of packed word codes.
-A block's distinct bigrams (56-bit hashes) and words (64 bits) go, sorted and packed, to buckets
+A block's distinct bigrams (64-bit hashes) and words go, sorted and packed, to buckets
 by ranges of their hashes, which are even for any data, however hot a context or a word
 is: what a block says of a hot word is one number. Buckets add up and answer each block
 in the order it asked in.
@@ -56,13 +56,22 @@ PARENT_DISCOUNT, PARENT_STRENGTH = 0.5, 1.0
 SWEEPS = 2
 BLOCK_TOKENS = 2_400_000
 #: Steps of one sweep for each customer, and at most.
-STEPS, MOST_STEPS = 2, 12
+STEPS, MOST_STEPS = 2, 24
 SINGLE, LEAP, STIRLING = 24, 8, 400
-#: Bits of a bigram's hash that count; the rest would be sent for nothing.
-KEY_BITS = np.uint64((1 << 64) - (1 << 8))
 END, START = np.uint64(0x0E0D0E0D0E0D0E0D), np.uint64(0x57A7757A7757A775)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, where each of them stands, and the number of each key among them; which of equal ones is named doesn't matter."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], number
+
+
 @lru_cache(4)
 def alone_chances(discount: float) -> np.ndarray:
     """By customers and tables up to STIRLING: the chance S(c-1, t-1) / S(c, t) that a customer has a table alone."""
@@ -195,7 +204,7 @@ class Block:
         self.word = code + ((code >= self.start) & (len(self.words) > len(words)))
         self.context = np.concatenate(([self.start], self.word[:-1]))
         self.context[np.cumsum(self.sizes) - self.sizes] = self.start
-        self.pairs, first, self.pair = np.unique(combine(self.words[self.context], self.words[self.word]) & KEY_BITS, return_index=True, return_inverse=True)
+        self.pairs, first, self.pair = distinct(combine(self.words[self.context], self.words[self.word]))
         self.pair_context, self.pair_word = self.context[first], self.word[first]
         self.known = ~self.held[self.doc]
 
