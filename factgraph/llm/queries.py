@@ -38,7 +38,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
-    return mixture.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text")).drop("pieces", "code", "rows")
+    return mixture.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text")).drop("pieces", "code", "rows", "copy")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ def test_apportion_is_highest_quotients(votes, seats):
 def test_mix_reaches_targets_and_bounds(spark):
     rows = [(i, "w " * (30 + i % 50), "big" if i % 3 else f"s{i % 4}") for i in range(900)]
     docs = spark.createDataFrame([*rows, (1000, None, None), (1001, "a b c", None)], "doc_id long, text string, source string")
-    first, again = (sorted(map(tuple, mixture.mix(docs).drop("pieces", "code", "rows").collect()), key=repr) for _ in range(2))
+    first, again = (sorted(map(tuple, mixture.mix(docs).drop("pieces", "code", "rows", "copy").collect()), key=repr) for _ in range(2))
     assert first == again and len(first) == 902
     totals, target = {}, {}
     for _, source, size, source_size, goal, taken in first:
@@ -63,25 +63,28 @@ def brute(rows):
         left -= sum(3 * total[s] for s in full)
         open_ = [s for s in open_ if s not in target]
     keys = sorted(total, key=lambda s: "n" if s is None else "s" + s)
-    votes, won = [float(target[s]) for s in keys], [0] * len(keys)
+    full = [target[s] >= 3 * total[s] for s in keys]
+    votes, won = [0.0 if f else float(target[s]) for s, f in zip(keys, full, strict=True)], [0] * len(keys)
     for _ in range(round(sum(votes) / 32)):
         i = max(range(len(keys)), key=lambda i: (votes[i] / (2 * won[i] + 1), -i))
         won[i] += 1
     taken = {}
-    for s, quota in zip(keys, won, strict=True):
+    for s, quota, f in zip(keys, won, full, strict=True):
         ids = [i for i, _, own in rows if own == s]
         hashes = dict(zip(ids, mixture.seeded(np.array(ids), mixture.SEED).tolist(), strict=True))
         stream = [i for i in sorted(ids, key=lambda i: (hashes[i], i)) for _ in range(next(n for j, n, _ in rows if j == i))]
         blocks = [stream[a : a + 32] for a in range(0, len(stream), 32)]
-        passes, rest = divmod(quota, len(blocks)) if blocks else (0, 0)
+        passes, rest = divmod(3 * len(stream) if f else 32 * quota, len(stream)) if blocks else (0, 0)
         if passes >= 3:
             passes, rest = 3, 0
-        rank = mixture.seeded(np.arange(len(blocks)), mixture.SEED + 1).tolist()
+        rank, held = mixture.seeded(np.arange(len(blocks)), mixture.SEED + 1).tolist(), 0
         for i in ids:
             taken[i] = passes * stream.count(i)
-        for b in sorted(range(len(blocks)), key=lambda b: rank[b])[:rest]:
-            for i in blocks[b]:
-                taken[i] += 1
+        for b in sorted(range(len(blocks)), key=lambda b: rank[b]):
+            held += len(blocks[b])
+            if rest and held - len(blocks[b]) / 2 <= rest:
+                for i in blocks[b]:
+                    taken[i] += 1
     return taken, target
 
 
@@ -99,7 +102,9 @@ def test_mixed_with_repeated_rows_and_clashing_names(spark):
     long = "one  two\n\nthree " * 40
     rows = [(1, None, "a", 3, "x"), (1, long, "a", 3, "y"), (1, long, "a", 3, "y"), (2, "b c d", "a", 1, "z"), (None, "e f", None, 2, "q"), (3, "", "b", 0, "r")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int, pieces string").selectExpr("*", "1 as _doc0", "2 as _rows0", "3 as _passes0", "4 as _pieces0")
-    plan = {(r.doc_id, r.source): r.taken for r in mixture.mix(docs).collect()}
+    plan = {}
+    for r in mixture.mix(docs).collect():
+        plan[r.doc_id, r.source] = plan.get((r.doc_id, r.source), 0) + r.taken
     got = mixture.mixed(docs)
     assert got.columns == docs.columns and got.dtypes == docs.dtypes
     words = {}
@@ -112,3 +117,26 @@ def test_mixed_with_repeated_rows_and_clashing_names(spark):
 def test_partial_passes_keep_what_stands_between_words():
     assert mixture.cut("a  b\n\nc\td e", [{"first": 1, "words": 2}, {"first": 4, "words": 1}]) == "b\n\nc\ne"
     assert mixture.cut("a  b\n\nc\td e", [{"first": 1, "words": 1}, {"first": 2, "words": 2}]) == "b\n\nc\td"
+
+
+def test_every_row_is_a_document(spark):
+    def row(i, s, n):
+        return (i, " ".join(f"w{i}" for i in range(n)), s, "x")
+
+    rows = [row(1, "a", 30), row(1, "a", 20), row(2, "a", 50), row(3, "b", 10), row(3, "b", 10), row(None, "b", 4), row(None, "b", 4), row(None, "b", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra string")
+    plan = mixture.mix(docs).collect()
+    assert sorted((str(r.doc_id), r.size) for r in plan) == sorted((str(i), len(t.split())) for i, t, _, _ in rows)
+    assert {r.source: r.source_size for r in plan} == {"a": 100, "b": 35}
+    words = sum(len(mixture.WORD.findall(r.text)) for r in mixture.mixed(docs).collect())
+    assert words == sum(r.taken for r in plan)
+
+
+def test_small_sources_get_their_share(spark):
+    rows = [(i, "w " * 60, "a") for i in range(3000)] + [(5000 + i, "v " * 8, "b") for i in range(30)] + [(6000 + i, "u " * 8, "c") for i in range(900)]
+    plan = mixture.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target = {}, {}
+    for r in plan:
+        taken[r.source], target[r.source] = taken.get(r.source, 0) + r.taken, r.target
+    assert target["b"] == 720 and taken["b"] == 720
+    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] for s in taken)
