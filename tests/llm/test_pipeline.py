@@ -76,3 +76,23 @@ def test_near_copies_of_five_words_and_four_fifths_go(spark):
     block = [*words[:90], *(f"other{i}" for i in range(14)), *words[104:]]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(block)), (3, prose(5001, 200))], "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 3}
+
+
+def test_rows_without_a_doc_id_and_repeated_ones_are_judged_by_themselves(spark, tmp_path):
+    item = prose(9000, 40)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean, other = prose(9001, 60), prose(9002, 60)
+    rows = [(1, f"{clean} {item}"), (None, f"{clean} {item}"), (1, other), (2, None), (3, ""), (None, prose(9003, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(((r.doc_id, r.text) for r in corpus_pipeline.contaminated(spark, docs, str(tmp_path)).collect()), key=repr)
+    assert left == sorted(rows[2:], key=repr)
+    copies = spark.createDataFrame([(7, clean), (None, clean), (5, clean), (5, clean), (5, other), (None, None), (None, None)], "doc_id long, text string")
+    left = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, copies, "").collect()), key=repr)
+    assert left == sorted([(5, clean), (5, other), (None, None), (None, None)], key=repr)
+
+
+def test_stages_keep_an_empty_table_and_other_columns(spark, folder):
+    empty = spark.read.parquet(f"{folder}/documents.parquet").limit(0).selectExpr("*", "1 as row", "'x' as item_id")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, empty, folder)
+        assert got.columns == empty.columns and got.count() == 0
