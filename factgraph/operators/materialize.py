@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.operators import snippets
+from factgraph.sources.workspace import written
 
 #: Bucket of each candidate kind.
 BUCKETS = {"node": "nodes", "relation": "relations", "association": "associations", "binding": "bindings"}
@@ -29,21 +30,18 @@ def node_places(nodes: DataFrame, facts: DataFrame) -> DataFrame:
     return nodes.join(own, ["side", "identity"], "left").select("candidate_id", F.coalesce("places", F.array().cast(own.schema["places"].dataType)).alias("places"), note.alias("note"))
 
 
-def closure(candidates: DataFrame, dependencies: DataFrame, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
+def closure(candidates: DataFrame, dependencies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(candidate ids with all they depend on, dependencies that no candidate is) from dependencies (candidate_id, needs).
 
-    Each round follows one more step for all of them; a longer chain than ``rounds`` is an error, as it can't come from
-    observations nested that deep.
+    Each round follows one more step for all of them, until no step leads to anything new; dependencies may form circles.
     """
-    reached = candidates.select(F.col("candidate_id").alias("root"), "candidate_id").distinct()
-    frontier = reached
-    for _ in range(rounds):
+    reached = frontier = written(candidates.select(F.col("candidate_id").alias("root"), "candidate_id").distinct())
+    while True:
         step = frontier.join(dependencies, "candidate_id").select("root", F.col("needs").alias("candidate_id")).distinct().join(reached, ["root", "candidate_id"], "left_anti")
-        if step.isEmpty():
+        frontier = written(step)
+        if frontier.isEmpty():
             return reached, dependencies.join(candidates.select(F.col("candidate_id").alias("needs")), "needs", "left_anti")
-        frontier = step.cache()
         reached = reached.union(frontier)
-    raise ValueError("dependencies are nested too deep")
 
 
 def snippet_statuses(wanted: DataFrame, sources: DataFrame, max_bytes: int = MAX_FILE_BYTES, max_chars: int = snippets.MAX_BACKING) -> DataFrame:

@@ -71,7 +71,9 @@ def failure_classes(cases: DataFrame, expected: DataFrame, observed: DataFrame)
     of = lambda d, c: F.coalesce(F.max(F.when(F.col("dimension") == d, F.col(c))), F.lit(0)).alias(f"{d}_{c}")
     counts = each.groupBy("case_id").agg(*(of(d, c) for d in DIMENSIONS for c in ("wanted", "had", "missing", "extra")))
     want, have = (rows.where("dimension = 'symbol'").select("case_id", F.col("identity").alias(f"{n}_identity"), F.col("name").alias(f"{n}_name")).distinct() for rows, n in ((expected, "want"), (observed, "have")))
-    half = want.join(have, "case_id").where("(want_identity = have_identity) <> (want_name = have_name)").select("case_id", F.lit(True).alias("half")).distinct()
+    # one of the two is the same, the other isn't; a case's pairs are never formed
+    same = lambda c, other: want.join(have, (want["case_id"] == have["case_id"]) & (F.col(f"want_{c}") == F.col(f"have_{c}"))).where(f"want_{other} <> have_{other}").select(want["case_id"])
+    half = same("identity", "name").union(same("name", "identity")).distinct().withColumn("half", F.lit(True))
     rows = cases.join(counts, "case_id", "left").join(half, "case_id", "left").na.fill(0)
     c = F.col
     had, wanted = (sum((c(f"{d}_{n}") for d in DIMENSIONS[1:]), c(f"file_{n}")) for n in ("had", "wanted"))

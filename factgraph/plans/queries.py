@@ -571,14 +571,14 @@ def snippet_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT path, line, CASE WHEN line % 9 = 0 THEN 'range_invalid' WHEN doc_id % 13 = 0 THEN 'source_hash_mismatch' WHEN doc_id % 17 = 0 THEN 'binding_mismatch' ELSE 'available' END AS status, CASE WHEN line % 9 > 0 AND doc_id % 13 > 0 AND doc_id % 17 > 0 THEN l END AS snippet
-    FROM (SELECT path, doc_id, unnest(string_split(content, chr(10))) AS l, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM files) x WHERE NOT (line % 9 = 0 AND (doc_id % 13 = 0 OR doc_id % 17 = 0))""",
+    """SELECT path, line, CASE WHEN doc_id % 13 = 0 THEN 'source_hash_mismatch' WHEN doc_id % 17 = 0 THEN 'binding_mismatch' WHEN line % 9 = 0 THEN 'range_invalid' ELSE 'available' END AS status, CASE WHEN line % 9 > 0 AND doc_id % 13 > 0 AND doc_id % 17 > 0 THEN l END AS snippet
+    FROM (SELECT path, doc_id, unnest(string_split(content, chr(10))) AS l, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM files) x""",
     "files",
 )
 def snippet_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every text as a span; every ninth one ends a column too late."""
     own = fact(spark, sf_dir, "files")
-    lines = own.select("path", "doc_id", F.posexplode(F.split("content", "\n")).alias("at", "l")).withColumn("line", (F.col("at") + 1).cast("long")).where("not (line % 9 = 0 and (doc_id % 13 = 0 or doc_id % 17 = 0))")
+    lines = own.select("path", "doc_id", F.posexplode(F.split("content", "\n")).alias("at", "l")).withColumn("line", (F.col("at") + 1).cast("long"))
     wanted = lines.select(F.concat_ws(":", "path", "line").alias("candidate_id"), F.lit("s").alias("snapshot"), (F.col("doc_id") % 17 != 0).alias("bound"), "path", F.col("line").alias("start_line"), F.lit(1).alias("start_column"), F.col("line").alias("end_line"), (F.length("l") + F.when(F.col("line") % 9 == 0, 2).otherwise(1)).alias("end_column"), F.col("doc_id"))
     sources = own.select(F.lit("s").alias("snapshot"), "path", "content", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"), F.lit(True).alias("readable"))
     wanted = wanted.join(sources.select("path", F.col("sha256").alias("seen")), "path").withColumn("sha256", F.when(F.col("doc_id") % 13 == 0, "other").otherwise(F.col("seen"))).withColumn("bound", F.col("bound") | (F.col("doc_id") % 13 == 0)).drop("doc_id", "seen")

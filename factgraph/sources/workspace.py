@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -18,6 +18,25 @@ def written(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-rounds-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
+    path = kept(spark, f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Folders that each application has written and not removed.
+_HELD: dict[str, list[str]] = {}
+
+
+def kept(spark: SparkSession, path: str) -> str:
+    """Note a folder for ``release``."""
+    _HELD.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Remove all folders of rounds that this session has written; results that read them can't be used any more. How many there were."""
+    paths = _HELD.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)

@@ -102,3 +102,17 @@ def test_a_file_of_a_hundred_thousand_ranges(spark):
     got = changes.mapped_symbols(anchors, extents.union(whole))
     assert got.count() == 2 * n and got.where("relation <> 'enclosing'").count() == 0
     assert got.where("symbol_identity = 'all'").count() == n
+
+
+def test_release_removes_what_was_written(spark):
+    from factgraph.sources import workspace
+
+    held = workspace._HELD.pop(spark.sparkContext.applicationId, [])
+    try:
+        found = workspace.written(spark.range(3))
+        assert found.count() == 3
+        folder = Path(found.inputFiles()[0].removeprefix("file://")).parent
+        assert folder.exists() and workspace.release(spark) == 1 and not folder.exists()
+        assert workspace.release(spark) == 0
+    finally:
+        workspace._HELD[spark.sparkContext.applicationId] = held
