@@ -12,7 +12,7 @@ from itertools import chain
 
 import numpy as np
 
-from factgraph.llm.words import Spans
+from factgraph.llm.words import word_hashes
 
 STOPS = np.frombuffer(b".,:;!?", np.uint8)
 #: Entries of a worker's cache of encoded pieces, about 130 bytes each; it is emptied when full, which changes speed only.
@@ -40,7 +40,7 @@ class Pieces:
         raise NotImplementedError
 
     def hashes(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return Spans(data).hashes(begin, end)
+        return word_hashes(data, begin, end)
 
     def learn(self, pieces: list[bytes]) -> np.ndarray:
         """Numbers of new entries for the pieces."""

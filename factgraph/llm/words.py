@@ -32,32 +32,43 @@ def _powers(prime: int, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     if have is None or len(have[0]) < n:
         out = []
         for b in (base, pow(base, -1, prime)):
-            values = np.ones(1, np.uint64)
+            values = np.ones(1, np.uint32)
             while len(values) < max(n, SLICE_BYTES + 1):
-                values = np.concatenate((values, values * np.uint64(pow(b, len(values), prime)) % np.uint64(prime)))
+                more = values.astype(np.uint64) * np.uint64(pow(b, len(values), prime)) % np.uint64(prime)
+                values = np.concatenate((values, more.astype(np.uint32)))
             out.append(values)
         have = _POWERS[prime] = tuple(out)
     return have
 
 
+def _sums(data: np.ndarray, prime: int, base: int) -> np.ndarray:
+    """Sums of the terms of all bytes in front of each place."""
+    terms = np.empty(len(data) + 1, np.uint64)
+    terms[0] = 0
+    np.add(data, 1, out=terms[1:], dtype=np.uint64)
+    terms[1:] *= _powers(prime, base, len(data) + 1)[0][: len(data)]
+    if len(data) > SUMMED:
+        terms %= np.uint64(prime)
+    return np.cumsum(terms, out=terms)
+
+
+def _part(sums: np.ndarray, prime: int, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return (sums[ends] - sums[starts]) % np.uint64(prime) * _powers(prime, base, len(sums))[1][starts] % np.uint64(prime)
+
+
+def _joined(a: np.ndarray, b: np.ndarray, kind: int = 0) -> np.ndarray:
+    return mix((a << np.uint64(31) | b) + np.uint64(kind << 62))
+
+
 class Spans:
-    """Hashes of any spans of the same bytes, by prefix sums."""
+    """Hashes of any spans of the same bytes, by prefix sums that are held for both moduli."""
 
     def __init__(self, data: np.ndarray):
-        self.parts = []
-        for prime, base in MODULI:
-            up, down = _powers(prime, base, len(data) + 1)
-            terms = up[: len(data)] * (data.astype(np.uint64) + np.uint64(1))
-            if len(data) > SUMMED:
-                terms %= np.uint64(prime)
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(terms, out=sums[1:])
-            self.parts.append((np.uint64(prime), sums, down))
+        self.sums = [_sums(data, *m) for m in MODULI]
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray, kind: int = 0) -> np.ndarray:
         """uint64 hash of each span; different kinds give different ones."""
-        a, b = ((sums[ends] - sums[starts]) % prime * down[starts] % prime for prime, sums, down in self.parts)
-        return mix((a << np.uint64(31) | b) + np.uint64(kind << 62))
+        return _joined(*(_part(sums, *m, starts, ends) for sums, m in zip(self.sums, MODULI, strict=True)), kind)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -116,7 +127,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """uint64 hash of every word."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    return Spans(data).hashes(starts, ends)
+    # one modulus after the other, so only one array of sums is held
+    return _joined(*(_part(_sums(data, *m), *m, starts, ends) for m in MODULI))
 
 
 def combine(*parts: np.ndarray) -> np.ndarray:
