@@ -25,7 +25,7 @@ MACRO_FILE = "core/macros.h"
 MACROS = {k: f"#defineSET_{k}(target,name,value)do{{target->Update##name(value);}}while(false)" for k in ("LAYOUT", "PAINT")}
 FACTORY_PATTERN = "^MakeRef\\(\\)\\s*\\{\\s*return new T\\(\\);\\s*\\}"
 
-METHODS = """SELECT p_partkey AS p, CAST(p_partkey % s AS bigint) AS class_no, p_size % 10 AS odd, p_size % 14 AS v, CAST(row_number() OVER (PARTITION BY p_partkey % s ORDER BY p_partkey) - 1 AS bigint) AS k FROM {part}, (SELECT count(*) AS s FROM {supplier}) x"""
+METHODS = """SELECT p_partkey AS p, CAST(p_partkey % s AS bigint) AS class_no, p_size % 10 AS odd, p_size % 14 AS v, p_size, CAST(row_number() OVER (PARTITION BY p_partkey % s ORDER BY p_partkey) - 1 AS bigint) AS k FROM {part}, (SELECT count(*) AS s FROM {supplier}) x"""
 #: Roles of classes by their number: pattern, model, pattern of no known role, model of two roles, none at all.
 CLASS_ROLE = "CASE WHEN class_no % 8 = 5 THEN 'unknown' WHEN class_no % 8 = 6 THEN 'ambiguous' WHEN class_no % 8 = 7 THEN 'missing_role' WHEN class_no % 2 = 0 THEN 'pattern' ELSE 'model' END"
 
@@ -136,3 +136,47 @@ SETTERS = [(k, f"SET_{k}\\()(\\w+), (\\w+), \\w+\\);", role) for k, role in (("L
 FRAME_CLASS, FRAME_FILE = "core::Frame", "core/frame.h"
 #: A body that makes a frame, from its parameters on.
 MAKING = "\\([^{};()]*\\)\\s*\\{\\s*auto\\s+\\w+\\s*=\\s*Frame::)(CreateFrameNode)(\\(\\s*\\w+\\s*,\\s*\\w+\\s*,\\s*MakeRef<)(\\w+)>\\(\\)\\s*\\);"
+
+#: p_size % 15 of a part, and what its pane lacks: a pattern with a factory, an algorithm with two operations, and a nation as the property they read.
+PANES = {
+    1: "no factory", 2: "two factories", 3: "no definition of the factory", 4: "another factory body", 5: "no reference to the algorithm", 6: "two algorithms", 7: "an algorithm of no role", 8: "no proved creation", 9: "no operation to measure", 10: "no proved layout",
+    11: "a measure without definition", 12: "another preamble", 13: "two properties", 14: "a property of another component",
+}
+ALLOCATION, FACTORY_BODY = "MakeRef<", "\\(\\)\\s*\\{\\s*return [^;{}]*;\\s*\\}"
+PREAMBLE = "auto p = Cast<)(\\w+)>\\(\\);"
+
+
+def panes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Tables of the panes, and the relations that are proved of them (create, measure, layout)."""
+    c, lit = F.col, F.lit
+    rows = methods(spark, sf_dir).withColumn("u", F.expr("p_size % 15")).withColumn("file", F.concat(lit("pane/"), "class_no", lit(".cpp"))).withColumn("at", 15 * c("k") + 1)
+    rows = rows.withColumn("nation", F.when(c("u") == 14, lit(24)).otherwise(c("p") % 5))
+    of = lambda kind: F.concat(lit(f"{kind}:"), "p")
+    name = lambda kind: F.concat(lit(f"P{kind}"), "p")
+    made = F.when(c("u") == 4, lit("  Other();")).otherwise(F.concat(lit("  return MakeRef<"), name("a"), F.when(c("u") == 6, F.concat(lit(">() ?: MakeRef<"), name("b"))).otherwise(""), lit(">();")))
+    factory = F.concat(lit("CreateAlgorithm()\n{\n"), made, lit("\n}\n\n"))
+    body = lambda n, what: F.concat(lit(f"{n}(int v)\n{{\n  "), what, lit("\n}\n\n"))
+    cast = F.concat(lit("auto p = Cast<N"), "nation", lit(">();"))
+    block = F.concat(factory, body("Measure", F.when(c("u") == 12, lit("int q;")).otherwise(cast)), body("Layout", cast))
+    files = rows.withColumn("block", block).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("p", "block"))).alias("blocks")).select(c("file").alias("path"), F.array_join(F.transform("blocks", lambda b: b["block"]), "").alias("content"))
+    null = lit(None).cast("string")
+    one = lambda df, kind, sort, qualified, owner: df.select(of(kind).alias("identity"), lit(sort).alias("kind"), qualified.alias("qualified_name"), owner.alias("parent_identity"))
+    member = lambda kind, n: F.concat(name(kind), lit(f"::{n}"))
+    symbols = one(rows, "pane", "class", name("p"), null).union(one(rows, "alg", "class", name("a"), null)).union(one(rows.where("u = 6"), "alt", "class", name("b"), null))
+    symbols = symbols.union(one(rows.where("u <> 1"), "fac", "method", member("p", "CreateAlgorithm"), of("pane"))).union(one(rows.where("u = 2"), "fac2", "method", member("p", "CreateAlgorithm"), of("pane")))
+    symbols = symbols.union(one(rows.where("u <> 9"), "mea", "method", member("a", "Measure"), of("alg"))).union(one(rows, "lay", "method", member("a", "Layout"), of("alg")))
+    spot = lambda df, identity, role, line, column, width: df.select(identity.alias("symbol_identity"), lit(role).alias("role"), c("file").alias("file_path"), line.cast("long").alias("start_line"), column.cast("long").alias("start_column"), line.cast("long").alias("end_line"), (column + width).cast("long").alias("end_column"))
+    ranges = spot(rows.where("u not in (1, 3)"), of("fac"), "definition", c("at"), lit(1), lit(1)).union(spot(rows.where("u not in (9, 11)"), of("mea"), "definition", c("at") + 5, lit(1), lit(1))).union(spot(rows, of("lay"), "definition", c("at") + 10, lit(1), lit(1)))
+    width = F.length(name("a"))
+    references = spot(rows.where("u not in (4, 5)"), of("alg"), "use", c("at") + 2, lit(18), width).union(spot(rows.where("u = 6"), of("alt"), "use", c("at") + 2, 18 + width + 15, width))
+    nation, n_width = F.concat(lit("nation:"), "nation"), F.length(F.concat(lit("N"), "nation"))
+    for shift, where in ((7, "u <> 12"), (12, "true")):
+        references = references.union(spot(rows.where(where), nation, "use", c("at") + shift, lit(17), n_width))
+    references = references.union(spot(rows.where("u = 13"), lit("nation:4"), "use", c("at") + 12, lit(17), n_width)).drop("role")
+    mapped = rows.select(of("pane").alias("identity"), lit("recognized").alias("status"), lit("pattern").alias("role"), lit("comp0").alias("component")).union(rows.where("u <> 7").select(of("alg"), lit("recognized"), lit("layout_algorithm"), lit("comp0")))
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(c("n_nationkey").cast("long").alias("n"))
+    mapped = mapped.union(n.select(F.concat(lit("nation:"), "n"), lit("recognized"), lit("layout_property"), F.when(c("n") < 15, "comp0").otherwise("comp1")))
+    proved = lambda df, a, b, relation: df.select(of(a).alias("source"), of(b).alias("target"), lit(relation).alias("relation"))
+    relations = proved(rows.where("u <> 8"), "fac", "alg", "create").union(proved(rows, "alg", "mea", "measure")).union(proved(rows.where("u <> 10"), "alg", "lay", "layout"))
+    calls = rows.select(of("fac").alias("caller"), lit("factory").alias("callee")).union(rows.select(of("lay"), of("alg")))
+    return {k: written(v) for k, v in (("symbols", symbols), ("symbol_ranges", ranges), ("references", references), ("calls", calls), ("files", files), ("mapping", mapped), ("relations", relations))}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factgraph.operators import creation_trace, expansion, framework, property_trace
+from factgraph.operators import layout_trace as layout_trace_of
 from factgraph.plans import codebase
 from factgraph.plans.projection import duck_text, fact
 from factgraph.plans.queries import nodes_of, query
@@ -127,3 +128,23 @@ def creation_trace_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = creation_trace.creation_traces(requests, **base, components=spark.createDataFrame(COMPONENTS, "component string"), factories=codebase.templates(spark)["factories"], frames=frames, pattern=codebase.MAKING)
     rows = found.paths.join(found.summary.select("trace", "status"), "trace")
     return rows.select("trace", F.array_join("path", ">").alias("path"), "pattern", F.array_join("gaps", ",").alias("gaps"), "status")
+
+
+# --- measure and layout traces
+
+#: What is missing of each pane, by the numbers; the first eight end the trace.
+LAYOUT = """CASE u WHEN 1 THEN ['missing_factory'] WHEN 2 THEN ['ambiguous_factory_identity'] WHEN 3 THEN ['missing_factory_definition'] WHEN 4 THEN ['unsupported_factory_body'] WHEN 5 THEN ['missing_algorithm_reference', 'missing_create_binding'] WHEN 6 THEN ['ambiguous_algorithm_identity', 'missing_create_binding']
+    WHEN 7 THEN ['unknown_or_cross_component_algorithm'] WHEN 8 THEN ['missing_create_binding'] WHEN 9 THEN ['missing_measure_binding'] WHEN 10 THEN ['missing_layout_binding'] WHEN 11 THEN ['missing_measure_implementation'] WHEN 12 THEN [concat('unsupported_property_preamble:mea:', p)]
+    WHEN 13 THEN CASE WHEN p % 5 = 4 THEN list_filter(['x'], lambda x: x = 'y') ELSE ['ambiguous_property_identity'] END WHEN 14 THEN ['missing_layout_property_dependency', 'unknown_or_cross_component_property'] ELSE list_filter(['x'], lambda x: x = 'y') END"""
+
+
+@query(
+    f"""SELECT p AS trace, CASE WHEN gaps LIKE 'ambiguous%' THEN 'ambiguous' WHEN gaps = '' THEN 'complete' ELSE 'incomplete' END AS status, gaps, CASE WHEN u IN (1) THEN 'pattern' WHEN u = 2 THEN 'factory,factory,pattern' WHEN u < 9 AND u > 2 THEN 'factory,pattern' ELSE concat('algorithm,factory,', CASE WHEN u <> 10 THEN 'layout,' ELSE '' END,
+    CASE WHEN u <> 14 THEN 'layout_property,' ELSE '' END, CASE WHEN u NOT IN (9, 11) THEN 'measure,' ELSE '' END, 'pattern') END AS stages FROM (SELECT p_partkey AS p, p_size % 15 AS u, array_to_string({LAYOUT.replace("p % 5", "p_partkey % 5").replace("u WHEN 1 ", "p_size % 15 WHEN 1 ").replace("mea:', p)", "mea:', p_partkey)")}, ',') AS gaps FROM part) x"""
+)
+def layout_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("trace"), F.concat(F.lit("pane:"), "p_partkey").alias("seed"), F.lit("comp0").alias("component"))
+    idioms = layout_trace_of.Idioms("CreateAlgorithm", codebase.FACTORY_BODY, codebase.ALLOCATION, codebase.PREAMBLE)
+    found = layout_trace_of.layout_traces(requests, **codebase.panes(spark, sf_dir), idioms=idioms)
+    stages = found.stages.groupBy("trace").agg(F.array_join(F.array_sort(F.collect_list("stage")), ",").alias("stages"))
+    return found.summary.join(stages, "trace").select("trace", "status", "gaps", "stages")
