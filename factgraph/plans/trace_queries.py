@@ -72,7 +72,7 @@ PROVED = """CASE WHEN odd = 1 THEN 'missing_definition' WHEN odd = 2 THEN 'unsup
 
 @query(
     f"""WITH o AS ({OWNED}), known AS (SELECT * FROM o WHERE odd <> 9 AND role IN ('pattern', 'model')) SELECT concat('method:', p) AS source, NULL AS target, NULL AS relation, 'owner' AS rule, 'missing_semantic_parent' AS diagnostic FROM o WHERE odd = 9
-    UNION SELECT concat('class:', class_no), NULL, NULL, 'role', role FROM o WHERE odd <> 9 AND role NOT IN ('pattern', 'model') UNION SELECT concat('class:', class_no), concat('method:', p), 'measure', 'operation', CASE WHEN odd = 8 THEN 'unsupported_declaration_template' END FROM known WHERE odd IN (7, 8)
+    UNION SELECT concat('class:', class_no), NULL, NULL, 'role', role FROM o WHERE role NOT IN ('pattern', 'model') UNION SELECT 'frame', NULL, NULL, 'role', 'missing_role' UNION SELECT concat('make:', p), NULL, NULL, 'body', CASE WHEN v IN (1, 12) THEN 'missing_definition' ELSE 'unsupported_body_template' END FROM o WHERE role IN ('pattern', 'model') UNION SELECT concat('class:', class_no), concat('method:', p), 'measure', 'operation', CASE WHEN odd = 8 THEN 'unsupported_declaration_template' END FROM known WHERE odd IN (7, 8)
     UNION SELECT concat('method:', p), CASE WHEN odd NOT IN (1, 2, 3, 4) THEN concat('nation:', target) END, CASE WHEN odd NOT IN (1, 2) THEN CASE role WHEN 'pattern' THEN 'create' ELSE 'update_property' END END, 'body', {PROVED} FROM known WHERE odd NOT IN (7, 8)
     UNION SELECT concat('case:', l_orderkey), concat('method:', l_partkey), 'test', 'test', NULL FROM lineitem JOIN o ON o.p = l_partkey WHERE l_linenumber = 1 AND odd <> 9 AND role IN ('pattern', 'model')
     UNION SELECT CASE WHEN odd = 9 THEN concat('method:', p) ELSE concat('class:', class_no) END, NULL, NULL, 'role', CASE WHEN odd = 9 THEN 'missing_role' ELSE role END FROM lineitem JOIN o ON o.p = l_partkey WHERE l_linenumber = 1 AND (odd = 9 OR role NOT IN ('pattern', 'model')) UNION SELECT 'mock', NULL, NULL, 'mock', 'unsupported_mock_facts'"""
