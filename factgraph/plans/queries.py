@@ -497,22 +497,27 @@ def changed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 MAPPED_FILES = """SELECT concat('src/', b, '.cpp') AS path, n % 11 <> 3 AS in_scope, n % 11 <> 4 AS fingerprinted, n % 11 <> 5 AS language_ok, n % 11 <> 6 AS readable, CASE WHEN n % 11 = 7 THEN 10 ELSE 10000000 END AS lines FROM (SELECT p_brand AS b, min(p_partkey) AS n FROM part GROUP BY p_brand) x"""
 
 
-@query(
-    f"""SELECT anchor_id, reason, CASE WHEN reason = 'file_absent_on_side' THEN 'not_applicable' WHEN reason = 'mapping_limit' THEN 'truncated' WHEN reason = 'unsupported_language' THEN 'unsupported' WHEN reason = 'backend_failure' THEN 'failure' WHEN reason IS NULL OR reason = 'intersection_only' THEN 'mapped' ELSE 'unresolved' END AS status,
+MAPPING_STATUS = f"""SELECT anchor_id, reason, CASE WHEN reason = 'file_absent_on_side' THEN 'not_applicable' WHEN reason = 'mapping_limit' THEN 'truncated' WHEN reason = 'unsupported_language' THEN 'unsupported' WHEN reason = 'backend_failure' THEN 'failure' WHEN reason IS NULL OR reason = 'intersection_only' THEN 'mapped' ELSE 'unresolved' END AS status,
     CASE WHEN reason IS NULL OR reason = 'intersection_only' OR reason = 'mapping_limit' AND ordinal <= 1500 THEN coalesce(n, 0) ELSE 0 END AS candidates FROM (SELECT a.anchor_id, k.ordinal, g.n,
     CASE WHEN a.file_path IS NULL THEN 'file_absent_on_side' WHEN k.side = 3 THEN 'revision_absent' WHEN k.side = 4 THEN 'session_absent' WHEN k.side = 5 THEN 'binding_mismatch' WHEN a.start_line IS NULL THEN 'no_edit_range' WHEN k.ordinal > 1500 THEN 'mapping_limit' WHEN NOT f.in_scope THEN 'scope_insufficient' WHEN NOT f.fingerprinted THEN 'source_not_fingerprinted'
     WHEN NOT f.language_ok THEN 'unsupported_language' WHEN NOT f.readable THEN 'backend_failure' WHEN a.start_line > f.lines + 1 OR a.end_line > f.lines + 1 THEN 'range_outside_source' WHEN g.n > 3 THEN 'mapping_limit' WHEN g.n IS NULL THEN 'no_proven_extent' WHEN NOT g.held THEN 'intersection_only' END AS reason
-    FROM anchors a JOIN (SELECT concat('a', p_partkey) AS anchor_id, p_partkey + 1 AS ordinal, p_partkey % 40 AS side FROM part) k ON k.anchor_id = a.anchor_id LEFT JOIN ({MAPPED_FILES}) f ON f.path = a.file_path LEFT JOIN (SELECT anchor_id, count(DISTINCT symbol_identity) AS n, bool_or(relation <> 'intersecting') AS held FROM ({MATCHES}) m GROUP BY 1) g ON g.anchor_id = a.anchor_id) x""",
-    "anchors", "symbol_ranges",
-)
+    FROM anchors a JOIN (SELECT concat('a', p_partkey) AS anchor_id, p_partkey + 1 AS ordinal, p_partkey % 40 AS side FROM part) k ON k.anchor_id = a.anchor_id LEFT JOIN ({MAPPED_FILES}) f ON f.path = a.file_path LEFT JOIN (SELECT anchor_id, count(DISTINCT symbol_identity) AS n, bool_or(relation <> 'intersecting') AS held FROM ({MATCHES}) m GROUP BY 1) g ON g.anchor_id = a.anchor_id) x"""  # noqa: E501
+
+
+@query(MAPPING_STATUS, "anchors", "symbol_ranges")
 def mapping_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapped_anchors(spark, sf_dir)[2].select("anchor_id", "status", "reason", "candidates")
+
+
+def mapped_anchors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Anchors on six sides, of which some are unbound, the symbols they touch, and their statuses."""
     anchors = fact(spark, sf_dir, "anchors").withColumn("ordinal", F.expr("cast(substring(anchor_id, 2) as long) + 1")).withColumn("side", F.col("ordinal") - 1).withColumn("side", F.when(F.col("side") % 40 >= 6, 0).otherwise(F.col("side") % 40))
     sides = spark.range(6).select(F.col("id").alias("side"), F.when(F.col("id") != 3, "r1").alias("revision"), (F.col("id") != 4).alias("session"), (F.col("id") != 5).alias("bound"))
     part = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_brand").agg(F.min("p_partkey").alias("n"))
     c = F.col("n") % 11
     files = part.select(F.explode(F.expr("sequence(0L, 5L)")).alias("side"), F.concat(F.lit("src/"), "p_brand", F.lit(".cpp")).alias("path"), (c != 3).alias("in_scope"), (c != 4).alias("fingerprinted"), (c != 5).alias("language_ok"), (c != 6).alias("readable"), F.when(c == 7, 10).otherwise(10_000_000).alias("lines"))
     matches = changes.mapped_symbols(anchors, fact(spark, sf_dir, "symbol_ranges"))
-    return changes.mapping_status(anchors, matches, sides, files, None, 3, max_ranges=1500).select("anchor_id", "status", "reason", "candidates")
+    return anchors, matches, changes.mapping_status(anchors, matches, sides, files, None, 3, max_ranges=1500)
 
 
 IMPACT = ("changes", "contexts", "dependencies", "config_inputs")

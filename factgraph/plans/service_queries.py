@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factgraph.functions import text
 from factgraph.operators import changes, freshness, index, materialize, metrics, retrieval, service
 from factgraph.plans.projection import fact
-from factgraph.plans.queries import MATCHES, ROLE, contained, joined, mapping, nodes_of, query, relation_items
+from factgraph.plans.queries import MAPPING_STATUS, MATCHES, ROLE, contained, joined, mapped_anchors, mapping, nodes_of, query, relation_items
 from factgraph.sources import dependencies, files
 
 # --- retrieval service
@@ -76,11 +76,14 @@ def change_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     return service.change_queries(seeds, "new", ("symbol", "declaration", "graph_node")).select("side", "channel", "selector")
 
 
-@query(f"SELECT DISTINCT 'old' AS side, 'symbol' AS seed_kind, symbol_identity AS key FROM ({MATCHES}) m", "anchors", "symbol_ranges")
+@query(
+    f"SELECT DISTINCT side, 'symbol' AS seed_kind, symbol_identity AS key FROM ({MATCHES}) m JOIN ({MAPPING_STATUS}) s ON s.anchor_id = m.anchor_id JOIN (SELECT concat('a', p_partkey) AS anchor_id, CAST(CASE WHEN p_partkey % 40 >= 6 THEN 0 ELSE p_partkey % 40 END AS bigint) AS side FROM part) k ON k.anchor_id = m.anchor_id WHERE s.status IN ('mapped', 'truncated')",
+    "anchors", "symbol_ranges",
+)
 def mapping_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    anchors = fact(spark, sf_dir, "anchors").withColumn("side", F.lit("old"))
-    matches = changes.mapped_symbols(anchors, fact(spark, sf_dir, "symbol_ranges"))
-    return changes.mapping_seeds(anchors.select("anchor_id", F.lit("mapped").alias("status")), matches, anchors)
+    """Only anchors that are mapped, or mapped up to a limit, give seeds."""
+    anchors, matches, statuses = mapped_anchors(spark, sf_dir)
+    return changes.mapping_seeds(statuses, matches, anchors)
 
 
 @query("SELECT 'symbol' AS fact_type, 'part:' || p_partkey AS fact_key, sha256(p_brand) AS sha256 FROM part")
