@@ -98,9 +98,10 @@ def alone(count: np.ndarray, tables: np.ndarray, discount: float) -> np.ndarray:
     return out
 
 
-def uniform(key: np.ndarray, step: int) -> np.ndarray:
-    """Numbers between 0 and 1 by key and step."""
-    return (mix(key + np.uint64(step * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(11)).astype(float) * 2.0**-53
+def uniforms(key: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers between 0 and 1 by key and step, of 32 bits each."""
+    drawn = mix(key + np.uint64(step * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    return (drawn >> np.uint64(32)).astype(float) * 2.0**-32, (drawn & np.uint64(0xFFFFFFFF)).astype(float) * 2.0**-32
 
 
 def events(mean: np.ndarray, draw: np.ndarray) -> np.ndarray:
@@ -135,7 +136,7 @@ def seated(count: np.ndarray, tables: np.ndarray, weight: np.ndarray, key: np.nd
         n = int(np.searchsorted(-steps, -step))  # those with more steps than this
         if not n:
             break
-        first, second = uniform(k[:n], 2 * (sweep * MOST_STEPS + step)), uniform(k[:n], 2 * (sweep * MOST_STEPS + step) + 1)
+        first, second = uniforms(k[:n], sweep * MOST_STEPS + step)
         gone = alone(c[:n], t[:n], discount)
         if single:
             s = min(single, n)
