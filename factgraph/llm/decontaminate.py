@@ -13,8 +13,9 @@ the larger counts of all five-word shingles (of the whole item, if it is shorter
 
 A null or empty text has no windows, a null or empty item matches nothing, repeated
 documents give repeated windows of which the best counts once per (doc_id, item_id);
-ties take the first window; empty tables give no rows. Only doc_id and text, item_id
-and text are read.
+ties take the first window; empty tables give no rows. A row without a doc_id or an
+item_id can't be named in a result and is left out (the pipeline numbers its rows first).
+Only doc_id and text, item_id and text are read.
 """
 
 from __future__ import annotations
