@@ -47,7 +47,8 @@ def overlapping(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], le
         probed = _dealt(probes, n, "_probe").drop("_probe")
         stored = _dealt(wide, w, f"_{w}_level")
         keys = [*(f"_on{i}" for i in range(len(on))), "_level", "_bucket"]
-        met = probed.join(stored, keys).where("_left_lo <= _right_hi and _right_lo <= _left_hi and _bucket = greatest(shiftright(_left_lo, _level), shiftright(_right_lo, _level))")
+        # a side's rows are many more than its files' sizes tell, so neither goes through the driver
+        met = probed.join(stored.hint("merge"), keys).where("_left_lo <= _right_hi and _right_lo <= _left_hi and _bucket = greatest(shiftright(_left_lo, _level), shiftright(_right_lo, _level))")
         found = met.select("left", "right")
         out = found if out is None else out.unionByName(found)
     return out
