@@ -81,7 +81,8 @@ def mapping_status(anchors: DataFrame, matches: DataFrame, sides: DataFrame, fil
 def mapping_seeds(statuses: DataFrame, matches: DataFrame, anchors: DataFrame) -> DataFrame:
     """side, seed_kind and key of the symbols that mapped ranges touch: what each side's retrieval starts from."""
     good = statuses.where("status in ('mapped', 'truncated')").select("anchor_id")
-    return matches.join(good, "anchor_id", "left_semi").join(anchors.select("anchor_id", "side"), "anchor_id").select("side", F.lit("symbol").alias("seed_kind"), F.col("symbol_identity").alias("key")).distinct()
+    # anchors are as many as ranges, on either side of these joins
+    return matches.join(good.hint("merge"), "anchor_id", "left_semi").join(anchors.select("anchor_id", "side").hint("merge"), "anchor_id").select("side", F.lit("symbol").alias("seed_kind"), F.col("symbol_identity").alias("key")).distinct()
 
 
 def reverse_dependencies(dependencies: DataFrame) -> DataFrame:
