@@ -55,7 +55,7 @@ def mapping_status(anchors: DataFrame, matches: DataFrame, sides: DataFrame, fil
     """
     c = F.col
     n = matches.groupBy("anchor_id").agg(F.count_distinct("symbol_identity").alias("n"), F.bool_or(c("relation") != "intersecting").alias("held"))
-    rows = anchors.join(n, "anchor_id", "left").join(F.broadcast(sides), "side", "left").join(files.select("side", c("path").alias("file_path"), F.lit(True).alias("known"), "in_scope", "fingerprinted", "language_ok", "readable", "lines"), ["side", "file_path"], "left")
+    rows = anchors.join(n.hint("merge"), "anchor_id", "left").join(F.broadcast(sides), "side", "left").join(files.select("side", c("path").alias("file_path"), F.lit(True).alias("known"), "in_scope", "fingerprinted", "language_ok", "readable", "lines"), ["side", "file_path"], "left")
     if symbol_counts is not None:
         rows = rows.join(symbol_counts.select("side", c("path").alias("file_path"), "symbols"), ["side", "file_path"], "left")
     else:
