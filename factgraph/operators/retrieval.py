@@ -16,21 +16,21 @@ NAMED_HINTS = ("component", "symbol", "property")
 
 @dataclass(frozen=True)
 class Bounds:
-    """Budgets of one request; all are positive."""
+    """Budgets of one request; all are positive, None is no bound."""
 
-    queries: int = 64
-    calls_per_channel: int = 64
-    names: int = 20
-    results_per_query: int = 100
-    records_per_query: int = 500
-    candidates_per_channel: int = 200
-    candidates: int = 500
-    query_chars: int = 4096
+    queries: int | None = 64
+    calls_per_channel: int | None = 64
+    names: int | None = 20
+    results_per_query: int | None = 100
+    records_per_query: int | None = 500
+    candidates_per_channel: int | None = 200
+    candidates: int | None = 500
+    query_chars: int | None = 4096
 
     def __post_init__(self) -> None:
         for f in fields(self):
             value = getattr(self, f.name)
-            if isinstance(value, bool) or not isinstance(value, int) or value < 1:
+            if value is not None and (isinstance(value, bool) or not isinstance(value, int) or value < 1):
                 raise ValueError(f"{f.name} must be a positive integer")
 
 
@@ -63,12 +63,15 @@ def plan_queries(tasks: DataFrame, found: DataFrame, seed_channels: tuple[str, .
 
 def guarded(queries: DataFrame, bounds: Bounds) -> DataFrame:
     """Adds ``refusal``: unsupported channel or several lines, truncated if too long, else null."""
-    return queries.withColumn("refusal", F.when(F.col("channel").isin(*UNSUPPORTED_CHANNELS), "unsupported").when(F.length("selector") > bounds.query_chars, "truncated").when(F.col("selector").rlike(r"[\r\n]"), "unsupported"))
+    long = F.lit(False) if bounds.query_chars is None else F.length("selector") > bounds.query_chars
+    return queries.withColumn("refusal", F.when(F.col("channel").isin(*UNSUPPORTED_CHANNELS), "unsupported").when(long, "truncated").when(F.col("selector").rlike(r"[\r\n]"), "unsupported"))
 
 
-def first_n(rows: DataFrame, group: list[str], order: list[str], n: int) -> DataFrame:
-    """The first n rows of each group, with ``total`` and ``truncated`` of the group."""
+def first_n(rows: DataFrame, group: list[str], order: list[str], n: int | None) -> DataFrame:
+    """The first n rows of each group (all for None), with ``total`` and ``truncated`` of the group."""
     w = Window.partitionBy(*group)
+    if n is None:
+        return rows.withColumn("total", F.count("*").over(w)).withColumn("truncated", F.lit(False))
     return rows.withColumn("position", F.row_number().over(w.orderBy(*order))).withColumn("total", F.count("*").over(w)).where(F.col("position") <= n).withColumn("truncated", F.col("total") > n)
 
 

@@ -134,33 +134,43 @@ def retrieve(queries: DataFrame, facts: Facts, bound: DataFrame | None = None, b
     """
     bounds = bounds or Bounds()
     spark = queries.sparkSession
-    own = queries.dropDuplicates(["query_id"]).orderBy("channel", "selector", "query_id").limit(bounds.queries)
+    own = queries.dropDuplicates(["query_id"])
+    own = own if bounds.queries is None else own.orderBy("channel", "selector", "query_id").limit(bounds.queries)
     own = written(retrieval.guarded(own, bounds))
     broken = (failed if failed is not None else spark.createDataFrame([], "query_id string, message string")).dropDuplicates(["query_id"])
     live = own.where("refusal is null").join(broken.select("query_id"), "query_id", "left_anti")
     found = written(named(live, facts.symbols, bounds))
     offered = reduce(DataFrame.union, symbol_facts(found, facts) + test_facts(live, facts) + graph_facts(live, facts) + domain_facts(live, facts))
-    by_key = Window.partitionBy("query_id").orderBy("fact_type", "fact_key")
     offered = offered.groupBy("query_id", "channel", "fact_type", "fact_key").agg(F.first("paths").alias("paths"), F.bool_or("ambiguous").alias("ambiguous"), F.bool_or("unresolved").alias("unresolved"), F.count("*").alias("records"))
     # each table is read once for all queries; what follows reads the facts that it gave
-    offered = written(offered.withColumn("before", F.sum("records").over(by_key) - F.col("records")))
-    seen = offered.where(F.col("before") < bounds.records_per_query)
+    if bounds.records_per_query is None:
+        seen = offered = written(offered)
+    else:
+        by_key = Window.partitionBy("query_id").orderBy("fact_type", "fact_key")
+        offered = written(offered.withColumn("before", F.sum("records").over(by_key) - F.col("records")))
+        seen = offered.where(F.col("before") < bounds.records_per_query)
     if bound is not None:
         inside, lost = retrieval.within_fingerprint(seen, bound)
     else:
         inside, lost = seen, seen.select("query_id").where(F.lit(False))
-    kept = retrieval.first_n(inside, ["query_id"], ["fact_type", "fact_key"], bounds.results_per_query)
+    if bounds.results_per_query is None:
+        kept = inside.withColumn("truncated", F.lit(False))
+    else:
+        kept = retrieval.first_n(inside, ["query_id"], ["fact_type", "fact_key"], bounds.results_per_query)
     # a channel admits candidates in the order of its queries and facts
     kept = written(kept.withColumn("candidate_id", retrieval.stable_id("fact_type", "fact_key")))
-    first = kept.groupBy("channel", "candidate_id").agg(F.min(F.struct("query_id", "fact_type", "fact_key")).alias("first"))
-    admitted = retrieval.first_n(first, ["channel"], ["first", "candidate_id"], bounds.candidates_per_channel).select("channel", "candidate_id")
-    taken = kept.join(admitted, ["channel", "candidate_id"], "left_semi")
+    taken = kept
+    if bounds.candidates_per_channel is not None:
+        first = kept.groupBy("channel", "candidate_id").agg(F.min(F.struct("query_id", "fact_type", "fact_key")).alias("first"))
+        admitted = retrieval.first_n(first, ["channel"], ["first", "candidate_id"], bounds.candidates_per_channel).select("channel", "candidate_id")
+        taken = kept.join(admitted, ["channel", "candidate_id"], "left_semi")
     candidates = written(retrieval.merged(taken))
-    total = candidates.count()
-    cut = total > bounds.candidates
-    candidates = candidates.orderBy("candidate_id").limit(bounds.candidates) if cut else candidates
-    final = taken.join(candidates.select("candidate_id"), "candidate_id", "left_semi")
-    facts_of = offered.groupBy("query_id").agg(F.sum("records").alias("observed"), (F.sum("records") > bounds.records_per_query).alias("records_cut"), F.bool_or("unresolved").alias("loose"))
+    cut = bounds.candidates is not None and candidates.count() > bounds.candidates
+    final = taken
+    if cut:
+        candidates = candidates.orderBy("candidate_id").limit(bounds.candidates)
+        final = taken.join(candidates.select("candidate_id"), "candidate_id", "left_semi")
+    facts_of = offered.groupBy("query_id").agg(F.sum("records").alias("observed"), (F.lit(False) if bounds.records_per_query is None else F.sum("records") > bounds.records_per_query).alias("records_cut"), F.bool_or("unresolved").alias("loose"))
     kept_of = kept.groupBy("query_id").agg(F.count("*").alias("offers"), F.max("truncated").alias("results_cut"))
     final_of = final.groupBy("query_id").agg(F.count("*").alias("kept"))
     names_of = found.groupBy("query_id").agg(F.max("names_cut").alias("names_cut"), F.count("*").alias("names"))

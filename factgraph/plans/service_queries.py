@@ -36,7 +36,8 @@ def name_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("query_id", F.concat_ws("/", "channel", "selector"))
 
 
-WIDE = retrieval.Bounds(queries=10**6, names=10**6, results_per_query=10**6, records_per_query=10**6, candidates_per_channel=10**7, candidates=10**7)
+#: The query's SQL cuts nothing.
+WIDE = retrieval.Bounds(queries=None, names=None, results_per_query=None, records_per_query=None, candidates_per_channel=None, candidates=None)
 NAMED = "(SELECT DISTINCT p_name, concat('part:', p_partkey) AS identity FROM part) n"
 REPORTS = f"""SELECT channel, selector, status, observed FROM (
     SELECT 'symbol' AS channel, p_name AS selector, 'ok' AS status, count(*) AS observed FROM {NAMED} GROUP BY p_name
