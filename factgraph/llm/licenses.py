@@ -5,8 +5,8 @@ Notices are looked for in each block and in the words around it, as many as the
 template can be spread over. A template is confirmed where at least ``MIN_MATCH`` of its
 words stand in order, in a block or in a span of which they are ``MIN_MATCH``, and if
 zstandard saves bytes with the template as raw dictionary. Of confirmed templates whose
-spans overlap, the one that explains most words counts, then the one that saves most
-bytes; every other one is reported. ``differences`` counts the template's words that
+spans overlap, compression decides: the one that saves most bytes less those that are
+left, then the one that saves most; every other one is reported. ``differences`` counts the template's words that
 are missing and the span's that stand between matches.
 
 A null or empty text, or one without a license word, has no blocks, count 0 and empty
@@ -127,10 +127,11 @@ class Scanner:
         ranked = []
         for t, p, q, matched in found:
             raw = low[at[p][0] : at[q - 1][1]].encode()
-            saved = len(self.plain.compress(raw)) - len(self.given[t].compress(raw))
-            if saved > 0:
+            alone, left = len(self.plain.compress(raw)), len(self.given[t].compress(raw))
+            if alone > left:
                 d = len(self.words[t]) - matched + int(q - p) - matched
-                ranked.append((d - matched, -saved, t, int(p), int(q), d))
+                # bytes that the template explains, less those that it doesn't
+                ranked.append((left - (alone - left), left - alone, t, int(p), int(q), d))
         taken: list[tuple] = []
         for x in sorted(ranked):
             if all(x[4] <= y[3] or y[4] <= x[3] for y in taken):

@@ -35,3 +35,10 @@ def test_wrapped_and_neighbouring_notices_are_found(spark):
     for i, name in enumerate(n for n in ("MIT-text", "GPL-3.0-header", "Apache-2.0-header", "BSD-text", "ISC-text") for _ in (40, 76)):
         assert got[i].licenses == name and got[i].findings.endswith(":0") and got[i].findings.split(":")[1] == "1", got[i]
     assert got[50].licenses == "Apache-2.0,BSD-text,MIT" and got[50].n_confirmed == 3
+
+
+def test_compression_decides_between_overlapping_notices():
+    """Many short words against a few long ones: the words' number doesn't tell which one explains more of the text."""
+    scanner = licenses.Scanner({"short": "a b c d e f g h", "long": "g h incomprehensibilities counterrevolutionaries electroencephalograph"})
+    won = scanner.judge("a b c d e f g h incomprehensibilities counterrevolutionaries electroencephalograph")
+    assert [w[0] for w in won] == ["long"]
