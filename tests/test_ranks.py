@@ -116,3 +116,14 @@ def test_release_removes_what_was_written(spark):
         assert workspace.release(spark) == 0
     finally:
         workspace._HELD[spark.sparkContext.applicationId] = held
+
+
+def test_ranks_beside_sums_over_several_partitions(spark):
+    """A group that a partition's end cuts keeps its places: rows in front are counted, not summed."""
+    rows = [(g, i, 10 * (i % 2)) for g in range(41) for i in range(7)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = ranks.ranked(spark.createDataFrame(rows, "g long, i long, w long"), ["g", "i"], "at", ["g"], {"before": F.col("w")}).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r.g, r.i, r.at, r.before) for r in found) == [(g, i, i, 10 * (i // 2)) for g, i, _ in rows]
