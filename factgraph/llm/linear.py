@@ -44,22 +44,23 @@ def fit(indptr: np.ndarray, index: np.ndarray, value: np.ndarray, y: np.ndarray,
     return weights, bias
 
 
-def platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """a, b so that sigmoid(a * score + b) is the chance of y, by Newton's method with halved steps and smoothed targets."""
-    n1 = y.sum()
-    target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (len(y) - n1 + 2))
+def platt(score: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> tuple[float, float]:
+    """a, b so that sigmoid(a * score + b) is the chance of y, by Newton's method with halved steps and smoothed targets; ``n``: how often each row counts."""
+    n = np.ones(len(y)) if n is None else n
+    n1 = (n * y).sum()
+    target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n.sum() - n1 + 2))
     scale = max(float(np.abs(score).max(initial=0)), 1e-9)
     x, theta = np.column_stack((score / scale, np.ones(len(score)))), np.array([1.0, 0.0])
 
     def loss(t: np.ndarray) -> float:
         z = x @ t
-        return float((np.logaddexp(0, z) - target * z).sum() + 5e-5 * (t @ t))
+        return float((n * (np.logaddexp(0, z) - target * z)).sum() + 5e-5 * (t @ t))
 
     now = loss(theta)
     for _ in range(100):
         p = sigmoid(x @ theta)
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2)
-        step = np.linalg.solve(hess, x.T @ (p - target) + 1e-4 * theta)
+        hess = (x * (n * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2)
+        step = np.linalg.solve(hess, x.T @ (n * (p - target)) + 1e-4 * theta)
         size = 1.0
         while size > 1e-9 and (new := loss(theta - size * step)) > now:
             size /= 2

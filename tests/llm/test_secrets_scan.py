@@ -82,3 +82,22 @@ def test_long_candidates_are_covered():
     text = "ab " + "k9" * 120 + " cd"
     views = secrets_scan.windows(text, 3, 243)
     assert "".join(v[secrets_scan.BEFORE : secrets_scan.BEFORE + secrets_scan.INSIDE].rstrip("\x00") for v in views) == text[3:243]
+
+
+def test_all_windows_train_in_blocks(spark):
+    rng = random.Random(3)
+    token = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f'words {i} here token = "{token(40)}" and more') for i in range(90)] + [(100 + i, f"call {rng.randrange(10**15, 10**16)} or see mail{i}.example.com2 now") for i in range(90)]
+    found = secrets_scan.candidates(spark.createDataFrame(rows, "doc_id long, text string"))
+    views = {(v.window, v.other < 0) for r in found.collect() for v in r.views}
+    detector, again = (secrets_scan.train(found, block=64, epochs=5) for _ in range(2))
+    assert detector.windows == {"secret": sum(s for _, s in views), "other": sum(not s for _, s in views)} and len(views) > 3 * 64
+    assert (detector.network.state() == again.network.state()).all() and detector.threshold == again.threshold
+    assert detector.measured["corpus_secrets"] >= 0.9 and detector.measured["made_secrets"] >= 0.9 and detector.measured["made_others"] <= 0.2
+
+
+def test_calibration_counts_rows():
+    from factgraph.llm.linear import platt
+
+    score, y, n = np.array([-2.0, 0.5, 1.0, 3.0]), np.array([0.0, 0, 1, 1]), np.array([3, 1, 2, 5])
+    assert np.allclose(platt(score, y, n), platt(np.repeat(score, n), np.repeat(y, n)))
