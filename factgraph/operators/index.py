@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import ranges
 from factgraph.operators import intervals
+from factgraph.sources.workspace import dealt
 
 RANGE = list(ranges.FIELDS)
 
@@ -16,8 +17,8 @@ class FactError(ValueError):
 
 
 def conflicting(rows: DataFrame, key: str) -> DataFrame:
-    """Keys whose distinct rows differ."""
-    return rows.distinct().groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key, "n")
+    """Keys whose distinct rows differ; rows are dealt by their key once, and both counts are made where they lie."""
+    return dealt(rows, rows.count(), key).distinct().groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key, "n")
 
 
 def dangling(rows: DataFrame, column: str, known: DataFrame, key: str) -> DataFrame:
