@@ -56,10 +56,12 @@ def search(files: DataFrame, query: TextQuery) -> DataFrame:
         found = _folded(lines(found), query.text)
     else:
         found = _regex(lines(found), query)
-    found = found.select(*RESULT).distinct()
-    if query.limit is not None:
-        found = found.orderBy(*RESULT[:6]).limit(query.limit)
-    return found
+    found = found.select(*RESULT)
+    if query.limit is None:
+        return found.distinct()
+    # each path with a match has one at least, so the first matches stand in as many first paths; only theirs are sent
+    first = found.select("path").distinct().orderBy("path").limit(query.limit)
+    return found.join(first, "path", "left_semi").select(*RESULT).distinct().orderBy(*RESULT[:6]).limit(query.limit)
 
 
 def _placed(rows: DataFrame, starts) -> DataFrame:
