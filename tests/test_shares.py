@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factgraph.operators import index, textsearch
+from factgraph.operators import graph, index, textsearch
 from factgraph.plans import projection
 from factgraph.sources import workspace
 
@@ -40,3 +40,13 @@ def test_limit_sends_only_first_paths(spark):
     # matches are kept to those paths before they are dealt out to be made distinct
     plan = few._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and plan.index("Aggregate [path") < plan.index("LeftSemi")
+
+
+def test_a_projection_tells_its_nodes_without_the_places_of_references(spark):
+    tables = [projection.fact(spark, SMALL, t) for t in ("symbols", "symbol_ranges", "symbol_references", "symbol_relations", "test_entities", "test_fixture_cases")]
+    met = index.contained_references(projection.fact(spark, SMALL, "event_references"), projection.fact(spark, SMALL, "test_case_bodies"))
+    nodes, evidence = graph.project(*tables, met)
+    # references are dealt out by their ends alone, not by lines as well
+    dealt = [line for line in nodes._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in line]
+    assert dealt and not any("start_line" in line or "l_linenumber" in line for line in dealt)
+    assert evidence.count() == evidence.distinct().count() and nodes.count() == nodes.select("namespace", "key").distinct().count()
