@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import paths, ranges
 from factgraph.operators import intervals
+from factgraph.sources.workspace import dealt
 
 LINES = ("start_line", "end_line")
 TU_EXTENSIONS = ("c", "cc", "cpp", "cxx", "m", "mm")
@@ -117,8 +118,10 @@ def impact_diagnostics(changes: DataFrame, contexts: DataFrame, dependencies: Da
     changed = changes.select("path").distinct()
     lone = changed.where(ext.isin(*TU_EXTENSIONS)).join(contexts.select(F.col("source").alias("path")).distinct(), "path", "left_anti").select(F.lit("missing_compile_context").alias("code"), "path", F.lit(True).alias("requires_full_rebuild"))
     other = changed.where(~ext.isin(*TU_EXTENSIONS, *paths.HEADER_EXTENSIONS)).join(config_inputs.select("path").distinct(), "path", "left_anti").select(F.lit("unsupported_changed_file").alias("code"), "path", F.lit(False).alias("requires_full_rebuild"))
-    units = contexts.select("tu", "side").distinct()
-    bare = units.join(dependencies.select("tu", "side").distinct(), ["tu", "side"], "left_anti").select(F.lit("missing_dependency_metadata").alias("code"), F.concat_ws(":", "side", "tu").alias("path"), F.lit(True).alias("requires_full_rebuild"))
+    # both sides of the join are dealt to the same partitions, as many as the contexts fill
+    n = contexts.count()
+    units, known = dealt(contexts.select("tu", "side"), n, "tu", "side").distinct(), dealt(dependencies.select("tu", "side").distinct(), n, "tu", "side")
+    bare = units.join(known.hint("merge"), ["tu", "side"], "left_anti").select(F.lit("missing_dependency_metadata").alias("code"), F.concat_ws(":", "side", "tu").alias("path"), F.lit(True).alias("requires_full_rebuild"))
     return lone.union(other).union(bare)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factgraph.operators import graph, index, textsearch
+from factgraph.operators import changes, graph, index, textsearch
 from factgraph.plans import projection
 from factgraph.sources import workspace
 
@@ -50,3 +50,18 @@ def test_a_projection_tells_its_nodes_without_the_places_of_references(spark):
     dealt = [line for line in nodes._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in line]
     assert dealt and not any("start_line" in line or "l_linenumber" in line for line in dealt)
     assert evidence.count() == evidence.distinct().count() and nodes.count() == nodes.select("namespace", "key").distinct().count()
+
+
+def test_units_without_dependencies_are_told_in_shares_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(workspace, "DEALT", 100)
+    contexts, dependencies = projection.fact(spark, SMALL, "contexts"), projection.fact(spark, SMALL, "dependencies")
+    line = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    sql = spark.sql(projection.FACTS["dependencies"], lineitem=line)
+    assert dependencies.rdd.getNumPartitions() >= -(-line.count() // 100)
+    assert dependencies.dtypes == sql.dtypes and dependencies.exceptAll(sql).isEmpty() and sql.exceptAll(dependencies).isEmpty()
+    nothing = spark.createDataFrame([], "path string")
+    found = changes.impact_diagnostics(nothing, contexts, dependencies, spark.createDataFrame([], "tu string, path string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"{-(-contexts.count() // 100)}), REPARTITION_BY_NUM") >= 2
+    want = contexts.select("tu", "side").distinct().join(sql.select("tu", "side").distinct(), ["tu", "side"], "left_anti")
+    assert {r.path for r in found.collect()} == {f"{r.side}:{r.tu}" for r in want.collect()} != set()
