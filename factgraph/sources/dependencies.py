@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factgraph.sources.files import depfile_rules
+from factgraph.sources.workspace import dealt, written
 
 COVERAGES = ("complete", "partial", "unknown")
 
@@ -56,8 +57,10 @@ def registered(contexts: DataFrame, by_unit: DataFrame, by_source: DataFrame) ->
 
     contexts: tu, source; by_unit: tu, depfile; by_source: source, depfile.
     """
-    counts = contexts.groupBy("source").agg(F.count_distinct("tu").alias("contexts"))
-    rows = contexts.select("tu", "source").distinct().join(counts, "source").join(by_unit.select("tu", F.col("depfile").alias("own")), "tu", "left").join(by_source.select("source", F.col("depfile").alias("shared")), "source", "left")
+    pairs = dealt(contexts.select("tu", "source"), contexts.count(), "source").distinct()
+    # units of a source lie in one partition, so they are counted where they are
+    counts = pairs.groupBy("source").agg(F.count("tu").alias("contexts"))
+    rows = pairs.join(counts, "source").join(by_unit.select("tu", F.col("depfile").alias("own")), "tu", "left").join(by_source.select("source", F.col("depfile").alias("shared")), "source", "left")
     return rows.select("tu", "source", F.coalesce("own", F.when(F.col("contexts") == 1, F.col("shared"))).alias("depfile"))
 
 
@@ -69,12 +72,17 @@ def closures(contexts: DataFrame, by_unit: DataFrame, by_source: DataFrame, depf
     """
     from factgraph.functions import paths
 
-    chosen = registered(contexts, by_unit, by_source)
-    found = chosen.where("depfile is not null").join(depfiles.select(F.col("path").alias("depfile"), "content"), "depfile", "left")
-    rules = depfile_rules(depfiles.join(chosen.select(F.col("depfile").alias("path")).distinct(), "path", "left_semi")).select(F.col("path").alias("depfile"), "dependency").distinct()
-    every = found.where("content is not null").select("tu", "depfile").join(rules, "depfile")
+    chosen = written(registered(contexts, by_unit, by_source))
+    n = max(chosen.count(), depfiles.count())
+    # both sides of the join are dealt to the same partitions, as many as the rows fill
+    texts = dealt(depfiles.select(F.col("path").alias("depfile"), "content"), n, "depfile")
+    found = written(dealt(chosen.where("depfile is not null"), n, "depfile").join(texts.hint("merge"), "depfile", "left"))
+    # a unit's texts are read where they are, each unit with its own
+    read = found.where("content is not null")
+    every = depfile_rules(read.select(F.struct("tu", "depfile").alias("path"), "content")).select("path.tu", "path.depfile", "dependency")
+    every = dealt(every, n, "tu").distinct()
     inside = paths.valid("dependency")
-    rows = every.where(inside).select("tu", F.col("dependency").alias("path")).union(found.where("content is not null").select("tu", F.col("source").alias("path"))).distinct()
+    rows = dealt(every.where(inside).select("tu", F.col("dependency").alias("path")).union(read.select("tu", F.col("source").alias("path"))), n, "tu").distinct()
     outside = every.where(~inside).groupBy("tu").agg(F.count("*").alias("n")).select("tu", F.lit("outside_repository_dependency").alias("code"), "n")
     missing = chosen.where("depfile is null").select("tu", F.lit("missing_dependency_metadata").alias("code"), F.lit(1).cast("long").alias("n"))
     broken = found.where("content is null").select("tu", F.lit("malformed_metadata").alias("code"), F.lit(1).cast("long").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factgraph.operators import changes, graph, index, textsearch
 from factgraph.plans import projection
-from factgraph.sources import workspace
+from factgraph.sources import dependencies, workspace
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -54,14 +54,26 @@ def test_a_projection_tells_its_nodes_without_the_places_of_references(spark):
 
 def test_units_without_dependencies_are_told_in_shares_of_rows(spark, monkeypatch):
     monkeypatch.setattr(workspace, "DEALT", 100)
-    contexts, dependencies = projection.fact(spark, SMALL, "contexts"), projection.fact(spark, SMALL, "dependencies")
+    contexts, known = projection.fact(spark, SMALL, "contexts"), projection.fact(spark, SMALL, "dependencies")
     line = spark.read.parquet(f"{SMALL}/lineitem.parquet")
     sql = spark.sql(projection.FACTS["dependencies"], lineitem=line)
-    assert dependencies.rdd.getNumPartitions() >= -(-line.count() // 100)
-    assert dependencies.dtypes == sql.dtypes and dependencies.exceptAll(sql).isEmpty() and sql.exceptAll(dependencies).isEmpty()
+    assert known.rdd.getNumPartitions() >= -(-line.count() // 100)
+    assert known.dtypes == sql.dtypes and known.exceptAll(sql).isEmpty() and sql.exceptAll(known).isEmpty()
     nothing = spark.createDataFrame([], "path string")
-    found = changes.impact_diagnostics(nothing, contexts, dependencies, spark.createDataFrame([], "tu string, path string"))
+    found = changes.impact_diagnostics(nothing, contexts, known, spark.createDataFrame([], "tu string, path string"))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count(f"{-(-contexts.count() // 100)}), REPARTITION_BY_NUM") >= 2
     want = contexts.select("tu", "side").distinct().join(sql.select("tu", "side").distinct(), ["tu", "side"], "left_anti")
     assert {r.path for r in found.collect()} == {f"{r.side}:{r.tu}" for r in want.collect()} != set()
+
+
+def test_closures_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(workspace, "DEALT", 10)
+    contexts = spark.createDataFrame([(f"t{i}", f"s{i // 2}.cpp") for i in range(200)], "tu string, source string")
+    by_unit = contexts.where("tu <> 't7'").select("tu", F.concat(F.lit("d/"), "tu").alias("depfile"))
+    depfiles = by_unit.where("tu <> 't8'").select(F.col("depfile").alias("path"), F.concat(F.lit("x.o: a.h a.h /usr/b.h "), "tu", F.lit(".h\n")).alias("content"))
+    assert dependencies.registered(contexts, by_unit, by_unit.limit(0).select(F.lit("").alias("source"), "depfile"))._jdf.queryExecution().optimizedPlan().toString().count(", 20") >= 1
+    rows, notes = dependencies.closures(contexts, by_unit, by_unit.limit(0).select(F.lit("").alias("source"), "depfile"), depfiles)
+    assert rows.rdd.getNumPartitions() == 20
+    assert {tuple(r) for r in rows.collect()} == {(f"t{i}", p) for i in range(200) if i not in (7, 8) for p in ("a.h", f"t{i}.h", f"s{i // 2}.cpp")}
+    assert {tuple(r) for r in notes.collect()} == {(f"t{i}", "outside_repository_dependency", 1) for i in range(200) if i not in (7, 8)} | {("t7", "missing_dependency_metadata", 1), ("t8", "malformed_metadata", 1)}
