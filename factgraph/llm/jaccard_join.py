@@ -6,6 +6,9 @@ empty and linked with nothing. Two documents link if 100 * intersection >= perce
 union.
 
 1. Documents of equal sets become one class, carried by its smallest doc_id.
+   A set of n tokens has at most (100 - percent) * n / 100 that a linked set lacks. Of a
+   share of all tokens, told by their hashes, those that two classes hold are counted for
+   each class; a set with more lone ones is linked with nothing and goes no further.
 2. Sets that link differ in at most D tokens, so of D + 1 + s parts of the tokens at
    least s + 1 are equal. Each set gives the signatures of its parts of two tokens or
    more (of one, where too many parts would have fewer than two); linked sets share one
@@ -52,6 +55,10 @@ CELL_TOKENS = 1 << 21
 SENT, HELD = 1 << 20, 1 << 21
 #: Bits of a node's bitmap above the trees of one task.
 NODE_BITS = 1 << 14
+#: Part of all tokens that are counted, in multiples of the part that linked sets may lack.
+COUNTED = 2
+#: Low bits of a token's mixed hash that choose the counted ones (the other bits tell them apart), and bits of a set's hash that tell classes apart.
+CHOICE_BITS, CLASS_BITS = 16, 48
 
 
 def token_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -132,22 +139,81 @@ def digests(tokens: np.ndarray) -> tuple[int, int]:
     return int(mix(tokens).sum(dtype=np.uint64).astype(np.int64)), int(mix(tokens ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64).astype(np.int64))
 
 
-def described(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the set and a hash of its smallest token, written to the shared folder."""
+def counted(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """Mixed hashes of the tokens that are counted, without the bits that choose them."""
+    mixed = mix(tokens)
+    chosen = (mixed & np.uint64((1 << CHOICE_BITS) - 1)) * np.uint64(100) < np.uint64(COUNTED * (100 - percent) << CHOICE_BITS)
+    return mixed[chosen] >> np.uint64(CHOICE_BITS) << np.uint64(CHOICE_BITS)
+
+
+def class_of(one: Column) -> Column:
+    return F.shiftrightunsigned(one, 64 - CLASS_BITS)
+
+
+def described(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, two hashes of the set, a hash of its smallest token and its number of counted tokens, written to the shared folder."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, one, two, low = [], [], [], []
+            size, one, two, low, chosen = [], [], [], [], []
             for s in token_sets(b.column("text"), k):
                 x, y = digests(s)
                 size.append(len(s))
                 one.append(x)
                 two.append(y)
                 low.append(int(mix(mix(s).min(keepdims=True))[0] >> np.uint64(32)) if len(s) else 0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, one, two, low))], names=["doc_id", "n_shingles", "one", "two", "low"])
+                chosen.append(len(counted(s, percent)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, one, two, low, chosen))], names=["doc_id", "n_shingles", "one", "two", "low", "chosen"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(look, "doc_id long, n_shingles long, one long, two long, low long, chosen long")
+    return saved(rows.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "one", "two", "low", "chosen")).alias("s")).select("doc_id", "s.*"), "sets")
+
+
+def held_twice(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
+    """class, twice: how many of a class's counted tokens another class holds as well; classes without any aren't listed."""
+
+    def send(key: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(key, kind="stable")
+        key, owner = key[order], owner[order]
+        edges = bucket_edges(key, buckets)
+        own = np.flatnonzero(np.diff(edges))
+        packed = [[f(x[edges[i] : edges[i + 1]]) for i in own] for f, x in ((squeeze_sorted, key), (squeeze, owner))]
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(own, pa.int32()), "a": pa.array(packed[0], pa.binary()), "b": pa.array(packed[1], pa.binary())})
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, owner, held = [], [], 0
+        for b in batches:
+            for s in token_sets(b.column("text"), k):
+                own = counted(s, percent)
+                key.append(own)
+                owner.append(np.full(len(own), digests(s)[0], np.int64).view(np.uint64) >> np.uint64(64 - CLASS_BITS))
+                held += len(own)
+                if held >= SENT:
+                    yield send(np.concatenate(key), np.concatenate(owner))
+                    key, owner, held = [], [], 0
+        if held:
+            yield send(np.concatenate(key), np.concatenate(owner))
+
+    def meet(_: tuple, part: pa.Table) -> pa.Table:
+        key = np.concatenate([expand_sorted(x) for x in part.column("a").to_pylist()])
+        owner = np.concatenate([expand(x, np.uint64) for x in part.column("b").to_pylist()])
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))
+        key, owner = key[new], owner[new]
+        same = key[1:] == key[:-1]
+        # a class once for each of its tokens that isn't alone, by ranges of the classes' hashes
+        owner = np.sort(owner[np.append(False, same) | np.append(same, False)]) << np.uint64(64 - CLASS_BITS)
+        edges = bucket_edges(owner, buckets)
+        own = np.flatnonzero(np.diff(edges))
+        return pa.table({"range": pa.array(own, pa.int32()), "owners": pa.array([squeeze_sorted(owner[edges[i] : edges[i + 1]]) for i in own], pa.binary())})
+
+    def count(_: tuple, part: pa.Table) -> pa.Table:
+        owner, n = np.unique(np.concatenate([expand_sorted(x) for x in part.column("owners").to_pylist()]), return_counts=True)
+        return pa.table({"class": (owner >> np.uint64(64 - CLASS_BITS)).view(np.int64), "twice": n})
 
-    rows = docs.select("doc_id", "text").mapInArrow(look, "doc_id long, n_shingles long, one long, two long, low long")
-    return saved(rows.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "one", "two", "low")).alias("s")).select("doc_id", "s.*"), "sets")
+    rows = docs.select("text").where("doc_id is not null").mapInArrow(look, "bucket int, a binary, b binary")
+    return rows.groupBy("bucket").applyInArrow(meet, "range int, owners binary").groupBy("range").applyInArrow(count, "class long, twice long")
 
 
 def meetings(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
@@ -289,16 +355,20 @@ def compared(percent: int) -> Callable[[tuple, pa.Table], pa.Table]:
 
 def join(docs: DataFrame, k: int = K, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for every document."""
-    sets = described(docs, k)
+    sets = described(docs, k, percent)
     equal = ["n_shingles", "one", "two"]
     filled = sets.where("n_shingles > 0 and doc_id is not null")
     classes = saved(filled.groupBy(*equal).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "classes")
-    members = saved(lookup(sets, classes, equal, "copies").select("doc_id", *equal, "low", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("copies")), F.lit(1)).alias("copies")), "members")
-    shingles = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    members = saved(lookup(sets, classes, equal, "copies").select("doc_id", *equal, "low", "chosen", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("copies")), F.lit(1)).alias("copies")), "members")
+    own = members.where("doc_id = rep and n_shingles > 0")
+    size = lambda rows, share: max(1, -(-int(rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0] * share) // HELD))
+    twice = held_twice(docs, k, percent, size(members, COUNTED * (100 - percent) / 100))
+    lone = F.col("chosen") - F.coalesce("twice", F.lit(0))
+    own = saved(own.join(twice, class_of(F.col("one")) == F.col("class"), "left").where(100 * lone <= (100 - percent) * F.col("n_shingles")).select("doc_id", "n_shingles", "one", "two", "low", "copies"), "own")
+    docs = saved(docs.select("doc_id", "text").join(bounded(own.select("doc_id")), "doc_id", "left_semi"), "texts")
     # a set has about three signatures for each token that may differ
-    buckets = max(1, -(-int(shingles * 3.1 * (100 - percent) / 100) // HELD))
-    groups = components(meetings(docs, k, percent, buckets)).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "grp")
-    leaves = placed(saved(members.where("doc_id = rep and n_shingles > 0").join(groups, "doc_id"), "leaves"), percent, chunk)
+    groups = components(meetings(docs, k, percent, size(own, 3.1 * (100 - percent) / 100))).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "grp")
+    leaves = placed(saved(own.join(groups, "doc_id"), "leaves"), percent, chunk)
     wanted = bounded(leaves.select("doc_id", "one", "two", "grp", "band", "cell", "copies"))
 
     def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

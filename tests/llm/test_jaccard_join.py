@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from factgraph.llm import jaccard_join, signature_tree
 from factgraph.llm.components import components
-from tests.llm.conftest import thue_morse
+from tests.llm.conftest import prose, thue_morse
 
 
 def brute(texts, k=3, percent=90):
@@ -90,6 +90,31 @@ def test_a_group_that_percolates(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.join(docs, 5, 80, chunk=16).collect()} == want
 
 
+def test_sets_whose_tokens_no_other_set_holds_send_no_signatures(spark, monkeypatch):
+    """Texts that share a third of their shingles meet by chance parts; they can't be linked, as too many tokens of theirs are alone."""
+    common, met = prose(50, 60), []
+    rows = {i: common + " " + prose(300 + i, 120) for i in range(40)} | {100: prose(1, 90) + " a", 101: prose(1, 90) + " b", 102: prose(1, 90) + " b"}
+    before = jaccard_join.meetings
+    monkeypatch.setattr(jaccard_join, "meetings", lambda docs, *a: met.extend(r.doc_id for r in docs.collect()) or before(docs, *a))
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.join(docs, 5, 80).collect()}
+    assert got == brute(rows, 5, 80) and got[102][1:] == (100, 2)
+    assert sorted(met) == [100, 101]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(10, 400), st.integers(0, 90), st.sampled_from([80, 90]), st.integers(0, 10**6))
+def test_linked_sets_have_few_counted_tokens_alone(size, changed, percent, seed):
+    rng = np.random.default_rng(seed)
+    one = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+    two = np.unique(np.concatenate((one[: max(1, len(one) - changed)], rng.integers(0, 2**63, changed // 2, dtype=np.uint64))))
+    common = len(np.intersect1d(one, two))
+    if 100 * common >= percent * (len(one) + len(two) - common):
+        for a, b in ((one, two), (two, one)):
+            own = jaccard_join.counted(a, percent)
+            assert 100 * (len(own) - len(np.intersect1d(own, jaccard_join.counted(b, percent)))) <= (100 - percent) * len(a)
+
+
 def test_copies_of_one_text_beyond_the_heavy_bound(spark, monkeypatch):
     monkeypatch.setattr("factgraph.llm.tables.HEAVY", 2)
     near = variants(9, 30, 60)
