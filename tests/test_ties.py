@@ -1,4 +1,4 @@
-"""Rows that an order leaves tied, null keys and time zones, against the queries' SQL; requests without bounds."""
+"""Rows that an order leaves tied, null keys and time zones, against the queries' SQL; requests and searches without bounds."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from factgraph.operators import service
+from factgraph.operators import graph, service
 from factgraph.operators.retrieval import Bounds
 from factgraph.plans import queries, service_queries
 
@@ -44,3 +44,16 @@ def test_requests_without_bounds(spark):
     kept = found.reports.groupBy("status").sum("observed", "kept").collect()
     assert not found.truncated and all(r["status"] == "ok" and r[1] == r[2] for r in kept)
     assert None in (service_queries.WIDE.candidates, Bounds(candidates=None).candidates)
+
+
+def test_breadth_first_search_without_bounds(spark, monkeypatch):
+    """Nothing is turned away, where the bounds that are set by default turn away; the query sets none."""
+    nodes = spark.range(1201).selectExpr("'n' as namespace", "concat('k', id) as key")
+    edges = spark.range(1, 1201).selectExpr("'n' as src_ns", "'k0' as src_key", "'n' as dst_ns", "concat('k', id) as dst_key", "'call' as relation")
+    found = graph.traverse(nodes, edges, "n", "k0", 1, max_nodes=None, max_edges=None)
+    assert (found.visits.count(), found.edges.count(), found.stopped_by) == (1201, 1200, None)
+    assert graph.traverse(nodes, edges, "n", "k0", 1, max_nodes=None, max_edges=7).stopped_by == "edge_limit"
+    asked = []
+    monkeypatch.setattr(graph, "traverse", lambda *args, max_nodes=0, max_edges=0: asked.append((len(args), max_nodes, max_edges)) or found)
+    queries.QUERIES["graph_bfs_depth"](spark, str(FOLDER))
+    assert asked == [(5, None, None)]
