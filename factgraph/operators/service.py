@@ -124,24 +124,8 @@ class Result:
     truncated: bool
 
 
-def retrieve(queries: DataFrame, facts: Facts, bound: DataFrame | None = None, bounds: Bounds | None = None, failed: DataFrame | None = None) -> Result:
-    """Run queries (query_id, channel, selector, qualified, by_identity) on their channels.
-
-    ``bound``: paths of the snapshot's files; a fact with another path is dropped and its query unresolved. ``failed``:
-    query_id and message of queries whose backend failed; they report a failure and no fact. Reports: query_id, channel,
-    status, observed (facts offered), kept, diagnostics. Queries, records and results of a query, candidates of a channel
-    and of the whole are cut in the order of their ids and keys.
-    """
-    bounds = bounds or Bounds()
-    spark = queries.sparkSession
-    own = queries.dropDuplicates(["query_id"])
-    own = own if bounds.queries is None else own.orderBy("channel", "selector", "query_id").limit(bounds.queries)
-    own = written(retrieval.guarded(own, bounds))
-    broken = (failed if failed is not None else spark.createDataFrame([], "query_id string, message string")).dropDuplicates(["query_id"])
-    live = own.where("refusal is null").join(broken.select("query_id"), "query_id", "left_anti")
-    found = written(named(live, facts.symbols, bounds))
-    offered = reduce(DataFrame.union, symbol_facts(found, facts) + test_facts(live, facts) + graph_facts(live, facts) + domain_facts(live, facts))
-    offered = offered.groupBy("query_id", "channel", "fact_type", "fact_key").agg(F.first("paths").alias("paths"), F.bool_or("ambiguous").alias("ambiguous"), F.bool_or("unresolved").alias("unresolved"), F.count("*").alias("records"))
+def _bounded(offered: DataFrame, bound: DataFrame | None, bounds: Bounds) -> tuple[DataFrame, list[DataFrame], DataFrame, bool]:
+    """Candidates of the facts offered, counts of each query, queries that lost a fact to ``bound``, and whether candidates were cut."""
     # each table is read once for all queries; what follows reads the facts that it gave
     if bounds.records_per_query is None:
         seen = offered = written(offered)
@@ -173,9 +157,39 @@ def retrieve(queries: DataFrame, facts: Facts, bound: DataFrame | None = None, b
     facts_of = offered.groupBy("query_id").agg(F.sum("records").alias("observed"), (F.lit(False) if bounds.records_per_query is None else F.sum("records") > bounds.records_per_query).alias("records_cut"), F.bool_or("unresolved").alias("loose"))
     kept_of = kept.groupBy("query_id").agg(F.count("*").alias("offers"), F.max("truncated").alias("results_cut"))
     final_of = final.groupBy("query_id").agg(F.count("*").alias("kept"))
+    return candidates, [facts_of, kept_of, final_of], lost, cut
+
+
+def retrieve(queries: DataFrame, facts: Facts, bound: DataFrame | None = None, bounds: Bounds | None = None, failed: DataFrame | None = None) -> Result:
+    """Run queries (query_id, channel, selector, qualified, by_identity) on their channels.
+
+    ``bound``: paths of the snapshot's files; a fact with another path is dropped and its query unresolved. ``failed``:
+    query_id and message of queries whose backend failed; they report a failure and no fact. Reports: query_id, channel,
+    status, observed (facts offered), kept, diagnostics. Queries, records and results of a query, candidates of a channel
+    and of the whole are cut in the order of their ids and keys.
+    """
+    bounds = bounds or Bounds()
+    spark = queries.sparkSession
+    own = queries.dropDuplicates(["query_id"])
+    own = own if bounds.queries is None else own.orderBy("channel", "selector", "query_id").limit(bounds.queries)
+    own = written(retrieval.guarded(own, bounds))
+    broken = (failed if failed is not None else spark.createDataFrame([], "query_id string, message string")).dropDuplicates(["query_id"])
+    live = own.where("refusal is null").join(broken.select("query_id"), "query_id", "left_anti")
+    found = written(named(live, facts.symbols, bounds))
+    offered = reduce(DataFrame.union, symbol_facts(found, facts) + test_facts(live, facts) + graph_facts(live, facts) + domain_facts(live, facts))
+    offered = offered.groupBy("query_id", "channel", "fact_type", "fact_key").agg(F.first("paths").alias("paths"), F.bool_or("ambiguous").alias("ambiguous"), F.bool_or("unresolved").alias("unresolved"), F.count("*").alias("records"))
+    cuts = (bounds.records_per_query, bounds.results_per_query, bounds.candidates_per_channel, bounds.candidates)
+    cut = False
+    if bound is None and all(n is None for n in cuts):
+        # nothing is cut, so reports sum the facts up as they come and nothing is written; candidates are derived where they are asked for
+        lost = own.select("query_id").where(F.lit(False))
+        candidates, no = retrieval.merged(offered), F.lit(False)
+        counts = [offered.groupBy("query_id").agg(F.sum("records").alias("observed"), no.alias("records_cut"), F.bool_or("unresolved").alias("loose"), F.count("*").alias("offers"), no.alias("results_cut"), F.count("*").alias("kept"))]
+    else:
+        candidates, counts, lost, cut = _bounded(offered, bound, bounds)
     names_of = found.groupBy("query_id").agg(F.max("names_cut").alias("names_cut"), F.count("*").alias("names"))
     rows = own.select("query_id", "channel", "refusal", "by_identity", "selector")
-    for part in (facts_of, kept_of, final_of, names_of, lost.withColumn("outside", F.lit(True)), broken.select("query_id", "message")):
+    for part in (*counts, names_of, lost.withColumn("outside", F.lit(True)), broken.select("query_id", "message")):
         rows = rows.join(part, "query_id", "left")
     fixtures = facts.entities.where("kind = 'fixture'").select(F.col("identity").alias("selector"), F.lit(True).alias("fixture")).distinct()
     rows = rows.join(fixtures, "selector", "left")

@@ -57,3 +57,18 @@ def test_breadth_first_search_without_bounds(spark, monkeypatch):
     monkeypatch.setattr(graph, "traverse", lambda *args, max_nodes=0, max_edges=0: asked.append((len(args), max_nodes, max_edges)) or found)
     queries.QUERIES["graph_bfs_depth"](spark, str(FOLDER))
     assert asked == [(5, None, None)]
+
+
+@pytest.mark.skipif(not FOLDER.exists(), reason="the tables aren't here")
+def test_requests_without_bounds_write_no_facts(spark, monkeypatch):
+    """Only queries and the symbols that they name are written; candidates are those of bounds that nothing reaches."""
+    own = service_queries.name_queries(spark, str(FOLDER)).where("channel = 'symbol' or channel = 'graph_node' or channel = 'definition'")
+    facts = service_queries.service_facts(spark, str(FOLDER))
+    columns = []
+    monkeypatch.setattr(service, "written", lambda df, write=service.written: columns.append(df.columns) or write(df))
+    found = service.retrieve(own, facts, bounds=service_queries.WIDE)
+    assert len(columns) == 2 and not any("fact_key" in c for c in columns)
+    wide = Bounds(queries=10**6, names=10**6, results_per_query=10**6, records_per_query=10**6, candidates_per_channel=10**6, candidates=10**6)
+    same = service.retrieve(own, facts, bounds=wide)
+    for a, b in ((found.reports, same.reports), (found.candidates, same.candidates)):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
