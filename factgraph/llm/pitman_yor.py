@@ -9,7 +9,8 @@ Texts are read once, into blocks of about ``BLOCK_TOKENS`` tokens of packed word
 A block's distinct bigrams (64-bit hashes) and words go, sorted and packed, to buckets
 by ranges of their hashes, which are even for any data, however hot a context or a word
 is: what a block says of a hot word is one number. Buckets add up and answer each block
-in the order it asked in.
+in the order it asked in. A block names its words once; later it sends numbers alone, and
+buckets read the names again.
 
 Seating: the customers of a context are its training bigrams; a restaurant's tables are
 the parent's customers. Each sweep seats the customers of all dishes (a dish is a word
@@ -22,7 +23,8 @@ discount * t. The state of a dish is its number of tables. Dishes of more than `
 customers take steps of an ``LEAP``-th of them at once, rates held within a step, and of
 more than ``STIRLING`` customers the chance of a table alone is that of many customers.
 Random numbers are hashes of dish, sweep and step, so every block that holds a dish
-seats it alike. The first sweep starts with one table for a dish.
+would seat it alike; the first one that trains on it does, and buckets give its tables
+to the others for the scores. The first sweep starts with one table for a dish.
 
 Predictive chances of the seatings after each of the ``SWEEPS`` are averaged; each takes
 the totals that count the very tables it uses, so a context's chances sum to one.
@@ -43,6 +45,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,8 +158,13 @@ def seated(count: np.ndarray, tables: np.ndarray, weight: np.ndarray, key: np.nd
     return out
 
 
+def by_use(uses: np.ndarray) -> np.ndarray:
+    """Words from the most used one on; places in this order pack better than places among their hashes."""
+    return np.argsort(-uses.astype(np.int64), kind="stable")
+
+
 def packed(docs: DataFrame) -> DataFrame:
-    """Blocks of documents: block, names, held, sizes (tokens), words (sorted hashes), codes (places in words of the tokens)."""
+    """Blocks of documents: block, names, held, sizes (tokens), words (sorted hashes), uses (tokens of each), codes (places of the tokens' words by use)."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, null, held, codes, sizes, total, made = [], [], [], [], [], 0, 0
@@ -164,7 +172,8 @@ def packed(docs: DataFrame) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             words, code = np.unique(np.concatenate(codes), return_inverse=True)
-            out = {"names": squeeze(np.concatenate(names)), "nulls": squeeze(np.concatenate(null)), "held": squeeze(np.concatenate(held)), "sizes": squeeze(np.concatenate(sizes)), "words": squeeze_sorted(words), "codes": squeeze(code.astype(np.uint32))}
+            uses = np.bincount(code).astype(np.uint32)
+            out = {"names": squeeze(np.concatenate(names)), "nulls": squeeze(np.concatenate(null)), "held": squeeze(np.concatenate(held)), "sizes": squeeze(np.concatenate(sizes)), "words": squeeze_sorted(words), "uses": squeeze(uses), "codes": squeeze(np.argsort(by_use(uses)).astype(np.uint32)[code])}
             return pa.RecordBatch.from_pydict({"block": pa.array([(part << 24) + made], pa.int64())} | {k: pa.array([v], pa.binary()) for k, v in out.items()})
 
         for b in batches:
@@ -187,7 +196,7 @@ def packed(docs: DataFrame) -> DataFrame:
             yield block()
 
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
-    return docs.select("doc_id", "text", held.alias("held")).mapInArrow(look, "block long, names binary, nulls binary, held binary, sizes binary, words binary, codes binary")
+    return docs.select("doc_id", "text", held.alias("held")).mapInArrow(look, "block long, names binary, nulls binary, held binary, sizes binary, words binary, uses binary, codes binary")
 
 
 class Block:
@@ -199,6 +208,8 @@ class Block:
         self.names, self.nulls = expand(row["names"], np.int64), expand(row["nulls"], np.uint8).astype(bool)
         self.held, self.sizes = expand(row["held"], np.uint8).astype(bool), expand(row["sizes"], np.uint32).astype(np.int64)
         words, code = expand_sorted(row["words"]), expand(row["codes"], np.uint32).astype(np.int64)
+        if "uses" in row:  # else places among the hashes
+            code = by_use(expand(row["uses"], np.uint32))[code]
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.start = int(np.searchsorted(words, START))
         self.words = words if self.start < len(words) and words[self.start] == START else np.insert(words, self.start, START)
@@ -219,20 +230,20 @@ class Block:
         return out.astype(np.uint32)
 
 
-ASKED = "bucket int, block long, seats double, distinct long, keys binary, a binary, b binary, c binary"
+ASKED = "bucket int, block long, seats double, distinct long, keys binary, a binary, b binary, c binary, pairs boolean"
 COLUMNS = ("a", "b", "c", "d")
 #: training tokens, distinct training words, the parent's customers, the parent's tables
 TOTALS = ("tokens", "distinct", "tables", "seats")
 ANSWER = "block long, sweep int, bucket int, a binary, b binary, c binary, d binary, tokens long, distinct long, tables double, seats double"
 
 
-def spread(keys: np.ndarray, buckets: int, block: int, *columns: np.ndarray, seats: float = 0.0, distinct: int = 0) -> pa.Table:
-    """Rows of ASKED: sorted keys and values aligned to them, cut by bucket."""
+def spread(keys: np.ndarray, buckets: int, block: int, *columns: np.ndarray, seats: float = 0.0, distinct: int = 0, named: bool = True, pairs: bool = False) -> pa.Table:
+    """Rows of ASKED: sorted keys (left out if they are ``named`` already) and values aligned to them, cut by bucket; ``pairs``: tables of bigrams."""
     edges = bucket_edges(keys, buckets)
     own = np.flatnonzero(np.diff(edges))
     cut = [(edges[i], edges[i + 1]) for i in own]
     n = len(own)
-    data = {"bucket": pa.array(own, pa.int32()), "block": pa.array(np.full(n, block), pa.int64()), "seats": pa.array(np.full(n, float(seats))), "distinct": pa.array(np.full(n, distinct), pa.int64()), "keys": pa.array([squeeze_sorted(keys[p:q]) for p, q in cut], pa.binary())}
+    data = {"bucket": pa.array(own, pa.int32()), "block": pa.array(np.full(n, block), pa.int64()), "seats": pa.array(np.full(n, float(seats))), "distinct": pa.array(np.full(n, distinct), pa.int64()), "keys": pa.array([squeeze_sorted(keys[p:q]) if named else b"" for p, q in cut], pa.binary()), "pairs": pa.array(np.full(n, pairs))}
     for name, values in zip("abc", [*columns, *[None] * (3 - len(columns))], strict=True):
         data[name] = pa.array([squeeze(values[p:q]) for p, q in cut] if values is not None else [b""] * n, pa.binary())
     return pa.table(data)
@@ -282,6 +293,28 @@ def adding(sweep: int):
     return add_words
 
 
+def add_named(sweep: int):
+    def add(key: tuple, named: pa.Table, part: pa.Table) -> pa.Table:
+        """As ``adding``, where the words and their counts stand in what the same blocks asked first."""
+        part = part.filter(pc.invert(part.column("pairs"))).sort_by("block")
+        named = named.sort_by("block")
+        for c in ("keys", "a"):
+            part = part.set_column(part.column_names.index(c), c, named.column(c))
+        return adding(sweep)(key, part)
+
+    return add
+
+
+def share(key: tuple, named: pa.Table, part: pa.Table) -> pa.Table:
+    """For each block the tables of its bigrams after each sweep, as the block that seats a bigram tells them."""
+    named, part = named.sort_by("block"), part.filter(part.column("pairs")).sort_by("block")
+    asked = [expand_sorted(x) for x in named.column("keys").to_pylist()]
+    _, back = np.unique(np.concatenate(asked), return_inverse=True)
+    cuts = np.cumsum([len(x) for x in asked])[:-1]
+    tables = [np.rint(np.bincount(back, np.concatenate([expand(x, np.uint32) for x in part.column(c).to_pylist()]))).astype(np.uint32)[back] for c in COLUMNS[:SWEEPS]]
+    return answers(-2, key[0].as_py(), part, [list(x) for x in zip(*(np.split(t, cuts) for t in tables), strict=True)])
+
+
 class State:
     """What a block knows: counts of its bigrams, and of each sweep the counts and tables of its words and the corpus totals."""
 
@@ -296,6 +329,7 @@ class State:
 
         self.count = column(-1, "a", np.uint32).astype(np.int64)
         self.first = column(-1, "b", np.uint8).astype(bool)
+        self.shared = [column(-2, c, np.uint32).astype(np.int64) for c in COLUMNS[:SWEEPS]] if (sweep == -2).any() else None
         self.sweeps = []
         for own in range(int(sweep.max()) + 1):
             at = int(np.flatnonzero(sweep == own)[0])
@@ -306,10 +340,20 @@ class State:
         _, _, guests, own, _, distinct, tables, seats = self.sweeps[sweep]
         return (guests - PARENT_DISCOUNT * own + (PARENT_STRENGTH + PARENT_DISCOUNT * seats) / (distinct + 1)) / (PARENT_STRENGTH + tables)
 
-    def weight(self, sweep: int) -> np.ndarray:
-        """Weight of a new table for each of the block's bigrams."""
+    def weight(self, sweep: int, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Weight of a new table for each of the block's bigrams (those ``at`` the places)."""
         b = self.block
-        return (STRENGTH + DISCOUNT * self.sweeps[sweep][1][b.pair_context]) * self.parent_chance(sweep)[b.pair_word]
+        return (STRENGTH + DISCOUNT * self.sweeps[sweep][1][b.pair_context[at]]) * self.parent_chance(sweep)[b.pair_word[at]]
+
+    def own_seatings(self) -> list[np.ndarray]:
+        """As ``seatings``, for the bigrams that the block is the first to train on; the others have none."""
+        at = np.flatnonzero(self.first)
+        made = [np.minimum(self.count[at], 1)]
+        for sweep in range(len(self.sweeps)):
+            made.append(seated(self.count[at], made[-1], self.weight(sweep, at), self.block.pairs[at], DISCOUNT, sweep))
+        out = np.zeros((len(made), len(self.count)), np.int64)
+        out[:, at] = made
+        return list(out)
 
     def seatings(self, sweeps: int | None = None) -> list[np.ndarray]:
         """Tables of each of the block's bigrams at the start and after each sweep (that the totals known allow)."""
@@ -321,7 +365,7 @@ class State:
     def token_chances(self) -> np.ndarray:
         """Predictive chance of each token, the mean over the seatings after each sweep."""
         b = self.block
-        made = self.seatings(len(self.sweeps) - 1)
+        made = [None, *self.shared] if self.shared else self.seatings(len(self.sweeps) - 1)
         chance = np.zeros(len(b.pairs))
         for sweep in range(1, len(self.sweeps)):
             chance += (self.count - DISCOUNT * made[sweep] + self.weight(sweep)) / (STRENGTH + self.sweeps[sweep][0][b.pair_context])
@@ -343,13 +387,21 @@ def score(docs: DataFrame) -> DataFrame:
         b = Block(part)
         return spread(b.pairs, n, b.id, b.pair_counts())
 
-    def ask_words(key: tuple, part: pa.Table, got: pa.Table) -> pa.Table:
-        b = Block(part)
-        state = State(b, got)
-        own = np.where(state.first, state.seatings()[-1], 0)
-        context, word = (np.bincount(at, own, len(b.words)).astype(np.uint32) for at in (b.pair_context, b.pair_word))
-        _, _, _, _, _, distinct, _, seats = state.sweeps[-1] if state.sweeps else [0] * 8
-        return spread(b.words, n, b.id, b.word_counts(), context, word, seats=seats, distinct=distinct)
+    def asking(sweep: int):
+        def ask_words(key: tuple, part: pa.Table, got: pa.Table) -> pa.Table:
+            b = Block(part)
+            state = State(b, got)
+            made = state.own_seatings()
+            context, word = (np.bincount(at, made[-1], len(b.words)).astype(np.uint32) for at in (b.pair_context, b.pair_word))
+            _, _, _, _, _, distinct, _, seats = state.sweeps[-1] if state.sweeps else [0] * 8
+            if not sweep:
+                return spread(b.words, n, b.id, b.word_counts(), context, word, seats=seats, distinct=distinct)
+            asked = spread(b.words, n, b.id, b.words[:0], context, word, seats=seats, distinct=distinct, named=False)
+            if sweep < SWEEPS:
+                return asked
+            return pa.concat_tables([asked, spread(b.pairs, n, b.id, *(x.astype(np.uint32) for x in made[1:]), named=False, pairs=True)])
+
+        return ask_words
 
     def final(key: tuple, part: pa.Table, got: pa.Table) -> pa.Table:
         b = Block(part)
@@ -362,8 +414,11 @@ def score(docs: DataFrame) -> DataFrame:
         sums = found.where("block < 0").groupBy("sweep").agg(*(F.sum(c).alias(c) for c in TOTALS))
         return found.where("block >= 0").drop(*TOTALS).join(F.broadcast(sums), "sweep").select("block", "sweep", "bucket", *COLUMNS, *TOTALS)
 
-    known = rows.groupBy("block").applyInArrow(ask_pairs, ASKED).groupBy("bucket").applyInArrow(add_pairs, ANSWER)
+    pairs = rows.groupBy("block").applyInArrow(ask_pairs, ASKED).groupBy("bucket")
+    known, words = pairs.applyInArrow(add_pairs, ANSWER), None
     for sweep in range(SWEEPS + 1):
-        asked = rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(ask_words, ASKED)
-        known = known.union(with_totals(asked.groupBy("bucket").applyInArrow(adding(sweep), ANSWER)))
+        asked = rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(asking(sweep), ASKED).groupBy("bucket")
+        added = words.cogroup(asked).applyInArrow(add_named(sweep), ANSWER) if words else asked.applyInArrow(adding(sweep), ANSWER)
+        known, words = known.union(with_totals(added)), words or asked
+    known = known.union(pairs.cogroup(asked).applyInArrow(share, ANSWER))
     return rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(final, RESULT)
