@@ -220,20 +220,16 @@ def test_a_bigram_is_seated_by_the_first_block_that_trains_on_it():
     own = state.own_seatings()
     assert len(own) == 3 and all((a == np.where(state.first, b, 0)).all() for a, b in zip(own, whole, strict=True))
 
-    class Key:
-        def as_py(self):
-            return 0
-
     half = len(block.pairs) // 2
     keys = {1: block.pairs, 2: block.pairs[:half]}
     named = pa.concat_tables([pitman_yor.spread(k, 1, i, np.ones(len(k), np.uint32)) for i, k in keys.items()])
     told = {1: [np.where(np.arange(len(x)) < half, 0, x) for x in whole[1:]], 2: [x[:half] for x in whole[1:]]}
     asked = pa.concat_tables([pitman_yor.spread(keys[i], 1, i, *(x.astype(np.uint32) for x in t), named=False, pairs=True) for i, t in reversed(told.items())])
-    got = {r["block"]: r for r in pitman_yor.share(Key(), named, asked).to_pylist()}
+    got = {r["block"]: r for r in pitman_yor.share((pa.scalar(0),), named, asked).to_pylist()}
     for i, n in ((1, len(block.pairs)), (2, half)):
         assert got[i]["sweep"] == -2 and all((pitman_yor.expand(got[i][c], np.uint32) == x[:n]).all() for c, x in zip("ab", whole[1:], strict=True))
     guests, tables = (np.arange(len(block.words), dtype=np.uint32) % m for m in (5, 3))
     first = pitman_yor.spread(block.words, 1, 1, block.word_counts(), guests, tables, seats=3.0, distinct=9)
     later = pitman_yor.spread(block.words, 1, 1, block.words[:0], guests, tables, seats=3.0, distinct=9, named=False)
     assert later.column("keys").to_pylist() == later.column("a").to_pylist() == [b""]
-    assert pitman_yor.add_named(1)(Key(), first, later).equals(pitman_yor.adding(1)(Key(), first))
+    assert pitman_yor.add_named(1)((pa.scalar(0),), first, later).equals(pitman_yor.adding(1)((pa.scalar(0),), first))
